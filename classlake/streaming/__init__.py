@@ -1,0 +1 @@
+"""No streaming operators: the workload is one bounded batch per load."""
