@@ -67,21 +67,24 @@ def cut(df: DataFrame) -> DataFrame:
 def fixpoint(
     seed: DataFrame,
     step: Step,
-    hops: int = 3,
+    hops: int = 4,
     max_rounds: int = 100_000,
+    depth: str | None = None,
 ) -> DataFrame:
     """Least set of rows that holds ``seed`` and is closed under ``step``.
 
     ``step`` maps rows to successor rows of the same schema and must
     distribute over union (each output row follows from one input row).  One
     round chains ``hops`` applications in a single job; only rows first seen
-    in the last hop feed the next round.
+    in the last hop feed the next round.  ``depth`` names an output column for
+    the least number of steps from the seed.
     """
     cols = seed.columns
+    out = cols if depth is None else [*cols, depth]
     spark = seed.sparkSession
     frontier = cut(seed.distinct())
-    known = [frontier]
-    for _ in range(max_rounds):
+    known = [frontier if depth is None else frontier.withColumn(depth, F.lit(0).cast("long"))]
+    for turn in range(max_rounds):
         layers = []
         current = frontier
         for hop in range(hops):
@@ -94,11 +97,13 @@ def fixpoint(
         seen = known[0]
         for part in known[1:]:
             seen = seen.unionByName(part)
+        if depth is not None:
+            found = found.withColumn(depth, (F.col("_hop") + F.lit(turn * hops + 1)).cast("long"))
         fresh, path = _write(found.join(seen, cols, "left_anti"))
         if fresh.isEmpty():
             _drop(spark, path)
             return seen
-        known.append(fresh.select(cols))
+        known.append(fresh.select(out))
         if len(known) > 24:
             merged = known[0]
             for part in known[1:]:
@@ -177,23 +182,66 @@ def pointer_double(links: DataFrame, keys: list[str], node: str, target: str) ->
     """Follow functional links to their end in logarithmically many rounds.
 
     ``links(keys, node, target)`` has at most one row per node and no cycle;
-    the result maps each node to the last node of its chain.
+    the result maps each node to the last node of its chain and tells the
+    number of ``steps`` to it.
     """
-    cols = [*keys, node, target]
+    cols = [*keys, node, target, "steps"]
 
     def step(cur: DataFrame) -> DataFrame:
-        ahead = cur.select(*keys, F.col(node).alias(target), F.col(target).alias("_t2"))
+        ahead = cur.select(*keys, F.col(node).alias(target), F.col(target).alias("_t2"),
+                           F.col("steps").alias("_s2"))
         return (
             cur.join(ahead, [*keys, target], "left")
-            .withColumn(target, F.coalesce("_t2", target))
-            .select(cols)
+            .select(*keys, node, F.coalesce("_t2", target).alias(target),
+                    (F.col("steps") + F.coalesce("_s2", F.lit(0))).alias("steps"))
         )
 
     def changed(new: DataFrame, old: DataFrame) -> DataFrame:
         was = old.select(*keys, node, F.col(target).alias("_was"))
         return new.join(was, [*keys, node]).filter(F.col(target) != F.col("_was"))
 
-    return converge(links.select(cols), step, changed)
+    return converge(
+        links.select(*keys, node, target, F.lit(1).cast("long").alias("steps")), step, changed
+    ).select(cols)
+
+
+def looping(links: DataFrame, keys: list[str], node: str, target: str) -> DataFrame:
+    """Nodes of a functional graph whose chain never ends: (keys, node).
+
+    After as many doublings as the longest possible chain needs, a chain that
+    ends points at a node without a link; the others lead into a cycle.
+    """
+    current = cut(links.select(*keys, node, target))
+    size = current.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(size).bit_length()):
+        ahead = current.select(*keys, F.col(node).alias(target), F.col(target).alias("_t2"))
+        current = cut(
+            current.join(ahead, [*keys, target], "left")
+            .select(*keys, node, F.coalesce("_t2", target).alias(target)))
+    linked = links.select(*keys, F.col(node).alias(target))
+    return current.join(linked, [*keys, target], "left_semi").select(*keys, node)
+
+
+def ancestors(links: DataFrame, keys: list[str], node: str, target: str, out: str) -> DataFrame:
+    """All (keys, node, out) with ``out`` strictly up the functional, acyclic links.
+
+    Doubles the reach of every row per round, so a chain of length n takes
+    about log2(n) rounds.
+    """
+    jump = links.select(*keys, node, F.col(target).alias("_j"))
+    pairs = cut(jump.select(*keys, node, F.col("_j").alias(out)))
+    jump = cut(jump)
+    while True:
+        ahead = pairs.select(*keys, F.col(node).alias("_j"), F.col(out).alias("_o"))
+        grown = cut(
+            pairs.unionByName(
+                jump.join(ahead, [*keys, "_j"]).select(*keys, node, F.col("_o").alias(out)))
+            .distinct())
+        further = jump.select(*keys, F.col(node).alias("_j"), F.col("_j").alias("_j2"))
+        jump = cut(jump.join(further, [*keys, "_j"]).select(*keys, node, F.col("_j2").alias("_j")))
+        pairs = grown
+        if jump.isEmpty():
+            return pairs
 
 
 def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None,
@@ -244,7 +292,7 @@ def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None,
     return found.unionByName(single.select(node, F.col(node).alias("component")))
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame, hops: int = 3) -> DataFrame:
+def strong_components(edges: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
     """Strongly connected components: (node, component), label = least node.
 
     Nodes without an incoming or outgoing live edge are trimmed as singletons;

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classlake import iterate
@@ -10,27 +10,366 @@ from classlake.iterate import cut, fixpoint
 
 
 def arcs(edges: DataFrame) -> DataFrame:
-    """Distinct (unit, node, to) with names that never clash with a frontier."""
+    """Distinct (unit, node, _to) with names that never clash with a frontier."""
     return edges.select("unit", F.col("src").alias("node"), F.col("dst").alias("_to")).distinct()
 
 
+def reverse(edges: DataFrame) -> DataFrame:
+    return edges.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def entries_of(nodes: DataFrame) -> DataFrame:
     """Entry node of each unit: its least node."""
     return nodes.groupBy("unit").agg(F.min("node").alias("node"))
 
 
-def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
-    """(unit, node) reachable from the entry of the unit."""
+# ---------------------------------------------------------------- reachability
+
+
+def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None,
+              depth: str | None = None) -> DataFrame:
+    """(unit, node) reachable from the entries of the unit."""
     out = cut(arcs(edges))
     seed = (entries_of(nodes) if entries is None else entries).select("unit", "node")
     return fixpoint(
         seed,
         lambda f: f.join(out, ["unit", "node"]).select("unit", F.col("_to").alias("node")),
+        depth=depth,
     )
 
 
 def drop_dead(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges that survive removal of everything unreachable."""
-    live = reachable(nodes, edges)
+    """Nodes and edges left after removing everything unreachable."""
+    live = cut(reachable(nodes, edges))
     kept = edges.join(live.withColumnRenamed("node", "src"), ["unit", "src"], "left_semi")
-    return live, kept
+    return live, cut(kept)
+
+
+def unreachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.join(reachable(nodes, edges), ["unit", "node"], "left_anti")
+
+
+# ---------------------------------------------------------------- contraction
+
+
+def bypass(edges: DataFrame, gotos: DataFrame, removable: DataFrame) -> DataFrame:
+    """Edges after dropping jump-only nodes: predecessors go to the final target.
+
+    ``gotos(unit, node, target)`` links every node that ends in an
+    unconditional jump; nodes whose jumps lead round a circle are left alone.
+    ``removable(unit, node)`` are the nodes that hold nothing but the jump.
+    """
+    circular = iterate.looping(gotos, ["unit"], "node", "target")
+    links = gotos.join(removable, ["unit", "node"], "left_semi").join(
+        circular, ["unit", "node"], "left_anti")
+    final = iterate.pointer_double(links, ["unit"], "node", "target")
+    gone = final.select("unit", F.col("node").alias("src"))
+    moved = final.select("unit", F.col("node").alias("dst"), F.col("target").alias("_t"))
+    return (
+        edges.join(gone, ["unit", "src"], "left_anti")
+        .join(moved, ["unit", "dst"], "left")
+        .select("unit", "src", F.coalesce("_t", "dst").alias("dst"), "ord")
+    )
+
+
+def chains(nodes: DataFrame, edges: DataFrame, blocked: DataFrame | None = None,
+           split: DataFrame | None = None) -> DataFrame:
+    """Straight-line chains of a graph without dead nodes: (unit, head, pos, node).
+
+    A node joins its predecessor when that has no other successor, it has no
+    other predecessor and is not an entry.  ``blocked(unit, node)`` nodes
+    (exception handlers) never join; ``split(unit, src, dst)`` edges connect
+    nodes of different protected ranges and never merge.
+    """
+    outs = edges.groupBy("unit", "src").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    ins = edges.groupBy("unit", "dst").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    ok = (
+        edges.select("unit", "src", "dst")
+        .join(outs.select("unit", "src"), ["unit", "src"], "left_semi")
+        .join(ins.select("unit", "dst"), ["unit", "dst"], "left_semi")
+        .join(entries_of(nodes).withColumnRenamed("node", "dst"), ["unit", "dst"], "left_anti")
+    )
+    if blocked is not None:
+        ok = ok.join(blocked.select("unit", F.col("node").alias("dst")), ["unit", "dst"], "left_anti")
+    if split is not None:
+        ok = ok.join(split, ["unit", "src", "dst"], "left_anti")
+    links = ok.select("unit", F.col("dst").alias("node"), F.col("src").alias("head"))
+    heads = iterate.pointer_double(links, ["unit"], "node", "head")
+    found = heads.select("unit", "head", F.col("steps").alias("pos"), "node")
+    rest = nodes.join(found.select("unit", "node"), ["unit", "node"], "left_anti")
+    return found.unionByName(
+        rest.select("unit", F.col("node").alias("head"), F.lit(0).cast("long").alias("pos"), "node"))
+
+
+# ---------------------------------------------------------------- dominance
+
+
+def dominators(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Reflexive dominator pairs of live nodes: (unit, n, d).
+
+    Starts from the ancestors in a breadth-first tree, which contain all
+    dominators, and deletes (n, d) whenever a predecessor of n lacks d.  Work
+    grows with nodes times tree depth, never with all node pairs of a unit.
+    Several entries act as several roots.
+    """
+    dist = cut(reachable(nodes, edges, entries, depth="depth"))
+    return _dominators(edges, dist)
+
+
+def _dominators(edges: DataFrame, dist: DataFrame) -> DataFrame:
+    here = dist.select("unit", F.col("node").alias("src"), F.col("depth").alias("_ds"))
+    there = dist.select("unit", F.col("node").alias("dst"), F.col("depth").alias("_dd"))
+    live = cut(edges.select("unit", "src", "dst").distinct()
+               .join(here, ["unit", "src"]).join(there, ["unit", "dst"]).filter("_dd > 0"))
+    tree = (
+        live.filter("_dd = _ds + 1").groupBy("unit", F.col("dst").alias("n"))
+        .agg(F.min("src").alias("p")))
+    above = iterate.ancestors(tree, ["unit"], "n", "p", "d")
+    own = dist.select("unit", F.col("node").alias("n"), F.col("node").alias("d"))
+    has = cut(above.unionByName(own))
+    has_p = has.select("unit", F.col("n").alias("src"), "d")
+    lacking = (
+        above.join(live.select("unit", F.col("dst").alias("n"), "src"), ["unit", "n"])
+        .join(has_p, ["unit", "src", "d"], "left_anti")
+        .select("unit", "n", "d"))
+    out = live.select("unit", F.col("src").alias("n"), F.col("dst").alias("_to"))
+    candidates = above.select("unit", F.col("n").alias("_to"), "d")
+
+    def spread(f: DataFrame) -> DataFrame:
+        return (
+            f.join(out, ["unit", "n"]).filter("_to <> d")
+            .join(candidates, ["unit", "_to", "d"], "left_semi")
+            .select("unit", F.col("_to").alias("n"), "d"))
+
+    deleted = fixpoint(lacking, spread)
+    return has.join(deleted, ["unit", "n", "d"], "left_anti")
+
+
+def immediate_dominators(nodes: DataFrame, edges: DataFrame,
+                         entries: DataFrame | None = None) -> DataFrame:
+    """(unit, node, idom): the strict dominator nearest to the node; roots have none."""
+    dist = cut(reachable(nodes, edges, entries, depth="depth"))
+    dom = _dominators(edges, dist)
+    level = dist.select("unit", F.col("node").alias("d"), "depth")
+    return (
+        dom.filter("n <> d").join(level, ["unit", "d"])
+        .groupBy("unit", F.col("n").alias("node")).agg(F.max_by("d", "depth").alias("idom")))
+
+
+def unit_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Strongly connected components inside each unit: (unit, node, component)."""
+    key = lambda c: F.struct(F.col("unit").alias("unit"), F.col(c).alias("node"))
+    scc = iterate.strong_components(
+        edges.select(key("src").alias("src"), key("dst").alias("dst")),
+        nodes.select(key("node").alias("node")))
+    return scc.select("node.unit", "node.node", F.col("component.node").alias("component"))
+
+
+def exit_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of components that no edge leaves: (unit, node, component)."""
+    comp = cut(unit_components(nodes, edges))
+    s = comp.select("unit", F.col("node").alias("src"), F.col("component").alias("cs"))
+    d = comp.select("unit", F.col("node").alias("dst"), F.col("component").alias("cd"))
+    left = (
+        edges.select("unit", "src", "dst").join(s, ["unit", "src"]).join(d, ["unit", "dst"])
+        .filter("cs <> cd").select("unit", F.col("cs").alias("component")).distinct())
+    return comp.join(left, ["unit", "component"], "left_anti").select("unit", "node", "component")
+
+
+def post_dominators(nodes: DataFrame, edges: DataFrame, exit_node: int = -1) -> DataFrame:
+    """Reflexive post-dominator pairs: (unit, n, d).
+
+    A component without a way out counts as an exit even when it loops: it is
+    folded to one node with an edge to a virtual exit, and a node that cannot
+    avoid it is post-dominated by all of its members.
+    """
+    ends = cut(exit_components(nodes, edges))
+    fold = lambda c: (ends.select("unit", F.col("node").alias(c), F.col("component").alias("_r" + c)))
+    folded = (
+        edges.select("unit", "src", "dst")
+        .join(fold("src"), ["unit", "src"], "left").join(fold("dst"), ["unit", "dst"], "left")
+        .select("unit", F.coalesce("_rsrc", "src").alias("src"), F.coalesce("_rdst", "dst").alias("dst"))
+        .filter("src <> dst").distinct())
+    out = F.lit(exit_node).cast("long")
+    reps = ends.select("unit", F.col("component").alias("src")).distinct().withColumn("dst", out)
+    backward = cut(reverse(folded.unionByName(reps)))
+    roots = nodes.select("unit").distinct().withColumn("node", out)
+    dom = dominators(nodes, backward, roots).filter((F.col("d") != out) & (F.col("n") != out))
+    who = ends.select("unit", F.col("component").alias("d"), F.col("node").alias("_m"))
+    inside = ends.select("unit", F.col("component").alias("n"), F.col("node").alias("_n"))
+    return (
+        dom.join(who, ["unit", "d"], "left").join(inside, ["unit", "n"], "left")
+        .select("unit", F.coalesce("_n", "n").alias("n"), F.coalesce("_m", "d").alias("d")).distinct())
+
+
+# ---------------------------------------------------------------- loops
+
+
+def back_edges(edges: DataFrame, dom: DataFrame) -> DataFrame:
+    """Edges to a dominator of their source: (unit, src, dst)."""
+    return edges.select("unit", "src", "dst").distinct().join(
+        dom.select("unit", F.col("n").alias("src"), F.col("d").alias("dst")),
+        ["unit", "src", "dst"], "left_semi")
+
+
+def natural_loops(edges: DataFrame, back: DataFrame) -> DataFrame:
+    """Loop bodies, one loop per head: (unit, head, node)."""
+    prev = cut(edges.select("unit", F.col("dst").alias("node"), F.col("src").alias("_from")).distinct())
+    seed = back.select("unit", F.col("dst").alias("head"), F.col("src").alias("node")).unionByName(
+        back.select("unit", F.col("dst").alias("head"), F.col("dst").alias("node")))
+    return fixpoint(
+        seed,
+        lambda f: f.filter("node <> head").join(prev, ["unit", "node"])
+        .select("unit", "head", F.col("_from").alias("node")))
+
+
+def loop_depth(loops: DataFrame) -> DataFrame:
+    """(unit, node, depth): number of loops around each looped node."""
+    return loops.groupBy("unit", "node").agg(F.count(F.lit(1)).alias("depth"))
+
+
+def irreducible_units(edges: DataFrame, back: DataFrame,
+                      with_exceptions: DataFrame | None = None) -> DataFrame:
+    """Units whose live graph still has a cycle without its back edges: (unit).
+
+    Peels nodes without a live predecessor or successor; units with exception
+    edges are reported reducible.
+    """
+    live = edges.select("unit", "src", "dst").distinct().join(
+        back, ["unit", "src", "dst"], "left_anti")
+    if with_exceptions is not None:
+        live = live.join(with_exceptions.select("unit").distinct(), "unit", "left_anti")
+    return peel_acyclic(cut(live)).select("unit").distinct()
+
+
+def peel_acyclic(live: DataFrame) -> DataFrame:
+    """Edges left after peeling sources and sinks: empty iff acyclic."""
+    while True:
+        peeled = live
+        for _ in range(2):
+            heads = peeled.select("unit", F.col("dst").alias("src")).distinct()
+            peeled = peeled.join(heads, ["unit", "src"], "left_semi").select("unit", "src", "dst")
+            tails = peeled.select("unit", F.col("src").alias("dst")).distinct()
+            peeled = peeled.join(tails, ["unit", "dst"], "left_semi").select("unit", "src", "dst")
+        peeled = cut(peeled)
+        if live.join(peeled, ["unit", "src", "dst"], "left_anti").isEmpty():
+            return peeled
+        live = peeled
+
+
+def split_candidate(nodes: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Node to copy per unit: (unit, node, succs, cost).
+
+    Among nodes with several predecessors: fewest successors, then least size
+    times (predecessors - 1), then first in node order.
+    ``sizes(unit, node, size)``.
+    """
+    plain = edges.select("unit", "src", "dst").distinct()
+    preds = plain.groupBy("unit", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_p"))
+    succs = plain.groupBy("unit", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_s"))
+    ranked = (
+        preds.filter("_p > 1").join(nodes, ["unit", "node"], "left_semi")
+        .join(succs, ["unit", "node"], "left").join(sizes, ["unit", "node"])
+        .select("unit", "node", F.coalesce("_s", F.lit(0)).cast("long").alias("succs"),
+                (F.col("size") * (F.col("_p") - 1)).cast("long").alias("cost")))
+    best = ranked.groupBy("unit").agg(
+        F.min(F.struct("succs", "cost", "node")).alias("b"))
+    return best.select("unit", "b.node", "b.succs", "b.cost")
+
+
+def split_once(nodes: DataFrame, edges: DataFrame, sizes: DataFrame,
+               units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copy the split candidate of each unit in ``units``: (nodes, edges, sizes).
+
+    The copy takes over the edges from the least predecessor and repeats the
+    out-edges of the original; copies get the next free node number.
+    """
+    pick = split_candidate(
+        nodes.join(units, "unit", "left_semi"), edges.join(units, "unit", "left_semi"), sizes)
+    top = nodes.groupBy("unit").agg((F.max("node") + 1).alias("copy"))
+    pick = pick.select("unit", "node").join(top, "unit")
+    first = (
+        edges.select("unit", "src", F.col("dst").alias("node")).join(pick, ["unit", "node"])
+        .groupBy("unit", "node", "copy").agg(F.min("src").alias("first")))
+    pick = cut(first)
+    moved = pick.select("unit", F.col("node").alias("dst"), F.col("first").alias("src"), "copy")
+    into = edges.join(moved, ["unit", "src", "dst"], "left").select(
+        "unit", "src", F.coalesce("copy", "dst").alias("dst"))
+    outof = (
+        into.join(pick.select("unit", F.col("node").alias("src"), "copy"), ["unit", "src"])
+        .select("unit", F.col("copy").alias("src"), "dst"))
+    more = pick.select("unit", F.col("copy").alias("node"))
+    size = sizes.join(pick.select("unit", "node", "copy"), ["unit", "node"]).select(
+        "unit", F.col("copy").alias("node"), "size")
+    return (nodes.unionByName(more), into.unionByName(outof).distinct(), sizes.unionByName(size))
+
+
+def split_irreducible(nodes: DataFrame, edges: DataFrame, sizes: DataFrame,
+                      max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Split nodes until every unit is reducible: (nodes, edges).
+
+    Expects a graph without dead nodes.  Splitting can grow a unit, so the
+    number of rounds is capped and running out of rounds is an error.
+    """
+    edges = edges.select("unit", "src", "dst").distinct()
+    for _ in range(max_rounds):
+        nodes, edges, sizes = cut(nodes), cut(edges), cut(sizes)
+        bad = cut(irreducible_units(edges, back_edges(edges, cut(dominators(nodes, edges)))))
+        if bad.isEmpty():
+            return nodes, edges
+        nodes, edges, sizes = split_once(nodes, edges, sizes, bad)
+    raise RuntimeError("units still irreducible after max_rounds splits")
+
+
+# ---------------------------------------------------------------- export, audit
+
+
+def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Graph text, one row per line: (unit, part, a, b, line).
+
+    Lines sort by (unit, part, a, b); keeping them as rows lets a unit of any
+    size be written without gathering it.
+    """
+    none = F.lit(0).cast("long")
+    units = nodes.select("unit").distinct()
+    head = units.select("unit", F.lit(0).alias("part"), none.alias("a"), none.alias("b"),
+                        F.concat(F.lit("digraph u"), F.col("unit").cast("string"), F.lit(" {")).alias("line"))
+    tail = units.select("unit", F.lit(2).alias("part"), none.alias("a"), none.alias("b"),
+                        F.lit("}").alias("line"))
+    box = nodes.select(
+        "unit", F.lit(1).alias("part"), F.col("node").alias("a"), F.lit(-1).cast("long").alias("b"),
+        F.concat(F.col("node").cast("string"), F.lit(' [shape=box,label="Block '),
+                 F.col("node").cast("string"), F.lit('"];')).alias("line"))
+    arrow = edges.select("unit", "src", "dst").distinct().select(
+        "unit", F.lit(1).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"),
+        F.concat(F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string"), F.lit(";")).alias("line"))
+    return head.unionByName(box).unionByName(arrow).unionByName(tail)
+
+
+def audit(nodes: DataFrame, successors: DataFrame, predecessors: DataFrame,
+          expressions: DataFrame) -> DataFrame:
+    """Integrity violations: (unit, rule, a, b).
+
+    ``successors`` and ``predecessors`` list the same edges (unit, src, dst)
+    as seen from either end; ``expressions(unit, node, expr)`` places rows.
+    """
+    def rule(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
+        return df.select("unit", F.lit(name).alias("rule"), F.col(a).cast("long").alias("a"),
+                         F.col(b).cast("long").alias("b"))
+
+    ends = lambda c: nodes.select("unit", F.col("node").alias(c))
+    both = successors.select("unit", "src", "dst").distinct()
+    back = predecessors.select("unit", "src", "dst").distinct()
+    found = rule(both.join(ends("src"), ["unit", "src"], "left_anti"), "source missing", "src", "dst")
+    found = found.unionByName(
+        rule(both.join(ends("dst"), ["unit", "dst"], "left_anti"), "target missing", "src", "dst"))
+    found = found.unionByName(
+        rule(both.join(back, ["unit", "src", "dst"], "left_anti"), "not seen from target", "src", "dst"))
+    found = found.unionByName(
+        rule(back.join(both, ["unit", "src", "dst"], "left_anti"), "not seen from source", "src", "dst"))
+    dead = unreachable(nodes, both)
+    found = found.unionByName(rule(dead, "unreachable", "node", "node"))
+    twice = (
+        expressions.select("unit", "node", "expr").distinct().groupBy("unit", "expr")
+        .agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b"))
+    return found.unionByName(rule(twice, "expression in two nodes", "a", "b"))

@@ -1,6 +1,6 @@
 """Registered queries: operators bound to fact tables derived from the given tables."""
 
-from classlake.plans import graph_queries  # noqa: F401
+from classlake.plans import graph_queries, range_queries  # noqa: F401
 from classlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

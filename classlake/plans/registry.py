@@ -115,6 +115,36 @@ select p.unit, p.n, p.d from o_pair p where not exists
   (select 1 from o_avoid w where w.unit = p.unit and w.d = p.d and w.n = p.n)""",
     "o_back": """
 select distinct e.unit, e.src, e.dst from v_edge e join o_dom on o_dom.unit = e.unit and o_dom.n = e.src and o_dom.d = e.dst""",
+    "o_exc_edge": """
+select distinct m.unit, m.block as src, h.block as dst, r.exc_type
+from o_member_of m join v_block h on h.unit = m.unit and h.idx = m.handler_idx
+join v_range r on r.unit = m.unit and r.from_idx = m.from_idx and r.to_idx = m.to_idx and r.handler_idx = m.handler_idx""",
+    "o_live_edge": """
+select e.* from v_edge e join o_reach r on r.unit = e.unit and r.node = e.src""",
+    "o_goto": """
+select l.unit, l.block as node, min(e.dst) as target from v_last l join v_edge e on e.unit = l.unit and e.src = l.block
+where l.op = 'goto' group by l.unit, l.block having count(*) = 1""",
+    "o_removable": """
+select unit, block as node from v_block b group by unit, block having count(*) = 1 and max(op) = 'goto'
+and not exists (select 1 from o_exc_edge x where x.unit = b.unit and x.dst = b.block)""",
+    "o_forward": """
+select distinct e.unit, e.src, e.dst from o_live_edge e where not exists
+  (select 1 from o_back b where b.unit = e.unit and b.src = e.src and b.dst = e.dst)""",
+    "o_forward_up": """
+select unit, src as a, dst as b from o_forward
+union select c.unit, c.a, f.dst from o_forward_up c join o_forward f on f.unit = c.unit and f.src = c.b""",
+    "o_types": """
+select unit, from_idx, to_idx, handler_idx, string_agg(distinct exc_type, ',' order by exc_type) as types
+from v_range group by all""",
+    "o_logical": """
+select m.unit, m.handler_idx, t.types, m.from_idx, m.to_idx, m.block from o_member_of m
+join o_types t on t.unit = m.unit and t.from_idx = m.from_idx and t.to_idx = m.to_idx and t.handler_idx = m.handler_idx""",
+    "o_entry": """
+select unit, handler_idx, types, block from o_logical l where block = 1
+union
+select l.unit, l.handler_idx, l.types, l.block from o_logical l join v_edge e on e.unit = l.unit and e.dst = l.block
+where not exists (select 1 from o_logical k where k.unit = l.unit and k.handler_idx = l.handler_idx
+  and k.types = l.types and k.block = e.src)""",
     "o_exc_up": """
 select exc, exc as anc from v_exc_type
 union select u.exc, t.super from o_exc_up u join v_exc_type t on t.exc = u.anc where t.super is not null""",
