@@ -113,6 +113,40 @@ class Facts:
                 F.col("l_linestatus").alias("ret"))
             .agg(F.min(F.col("l_suppkey") % 4).alias("access"), F.min("l_orderkey").alias("ord")))
 
+    @cached_property
+    def method(self) -> DataFrame:
+        """Members with the flags that overriding looks at."""
+        h = self.hier.select(F.col("node").alias("class"), F.col("is_iface").alias("in_iface"))
+        final = F.col("ord") % 7 == 1
+        return cut(self.member.join(h, "class").select(
+            "class", "name", "params", "ret", "ord", "in_iface",
+            ((F.col("access") != 1) & (F.col("ord") % 13 != 5)).alias("overridable"),
+            final.alias("final"), (~final & (F.col("ord") % 3 == 0)).alias("abstract"),
+            (F.col("access") == 3).alias("public"), F.col("access").isin(2, 3).alias("visible"),
+            (F.col("class") % 4).alias("package"),
+            F.when((F.col("access") == 3) | F.col("in_iface"), 3).when(F.col("access") == 2, 2)
+            .otherwise(1).alias("access_rank")))
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        """Related return types: F may stand where O is declared."""
+        return self.spark.createDataFrame([("F", "O")], "child string, parent string")
+
+    @cached_property
+    def up(self) -> DataFrame:
+        from classlake.operators.hierarchy import closure
+        return cut(closure(self.parent, self.hier.select("node")))
+
+    @cached_property
+    def depth_first(self) -> DataFrame:
+        from classlake.operators.hierarchy import ranked_closure
+        return ranked_closure(self.parent, self.hier.select("node"))
+
+    @cached_property
+    def breadth_first(self) -> DataFrame:
+        from classlake.operators.hierarchy import ranked_closure
+        return ranked_closure(self.parent, self.hier.select("node"), breadth_first=True)
+
     @cached_property
     def ref(self) -> DataFrame:
         # one order holds a handful of lines, so this window never sees a large group
@@ -128,6 +162,11 @@ class Facts:
                 F.lead("l_linestatus").over(w).alias("ret"))
             .filter("owner is not null and owner <> caller").distinct())
 
+    @cached_property
+    def concrete(self) -> DataFrame:
+        return self.hier.filter("is_own and not is_iface and node % 11 <> 0").select(
+            "node", (F.col("node") % 4).alias("package"))
+
     @cached_property
     def call(self) -> DataFrame:
         return self.ref.select(F.col("caller").alias("src"), F.col("owner").alias("dst")).distinct()

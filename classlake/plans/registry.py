@@ -64,6 +64,18 @@ select l_partkey as class, concat('m', cast(l_linenumber as string)) as name,
   min(l_suppkey % 4) as access, min(l_orderkey) as ord
 from lineitem where l_orderkey % 5 = 0
 group by l_partkey, l_linenumber, l_returnflag, l_linestatus""",
+    "v_method": """
+select m.class, m.name, m.params, m.ret, m.ord, h.is_iface as in_iface,
+  m.access <> 1 and m.ord % 13 <> 5 as overridable, m.ord % 7 = 1 as final,
+  m.ord % 7 <> 1 and m.ord % 3 = 0 as abstract, m.access = 3 as public, m.access in (2, 3) as visible,
+  m.class % 4 as package, case when m.access = 3 or h.is_iface then 3 when m.access = 2 then 2 else 1 end as access_rank
+from v_member m join v_hier h on h.node = m.class""",
+    "v_returns": "select 'F' as child, 'O' as parent",
+    "v_fits": """
+select a.r as child, b.r as parent from (values ('F'), ('O')) a(r), (values ('F'), ('O')) b(r)
+where a.r = b.r or (a.r = 'F' and b.r = 'O')""",
+    "v_concrete": """
+select node, node % 4 as package from v_hier where is_own and not is_iface and node % 11 <> 0""",
     "v_ref": """
 select distinct caller, owner, name, params, ret from (
   select l_partkey as caller,
@@ -103,6 +115,43 @@ select doc_id as class, instr(text, '.') - 1 as start, 1 as length, text from do
     # closures and graph answers several oracles share
     "o_up": """
 select node, node as anc from v_hier union select o_up.node, p.parent from o_up join v_parent p on p.node = o_up.anc""",
+    "o_paths": """
+select node, node as anc, []::bigint[] as path from v_hier
+union select o.node, p.parent, list_append(o.path, p.pos) from o_paths o join v_parent p on p.node = o.anc""",
+    "o_dfs": "select node, anc, min(path) as path from o_paths group by node, anc",
+    "o_bfs": """
+select node, anc, min((len(path), path)) as rank, min(len(path)) as depth from o_paths group by node, anc""",
+    "o_override": """
+select m.class, m.name, m.params, m.ret, s.class as sup, s.ret as sup_ret from v_method m
+join o_up u on u.node = m.class and u.anc <> m.class
+join v_method s on s.class = u.anc and s.name = m.name and s.params = m.params
+join v_fits f on f.child = m.ret and f.parent = s.ret
+where m.overridable and s.overridable and not s.final""",
+    "o_inherited": """
+select distinct m.class, m.name, m.params, m.ret, s.class as sup, s.ret as sup_ret
+from v_hier c join o_up u on u.node = c.node join o_up v on v.node = c.node
+join v_method m on m.class = u.anc and not m.in_iface and m.overridable
+join v_method s on s.class = v.anc and s.in_iface and s.overridable and s.name = m.name and s.params = m.params
+where c.is_own and not c.is_iface
+  and not exists (select 1 from o_up x where x.node = m.class and x.anc = s.class)
+  and not exists (select 1 from o_up x where x.node = s.class and x.anc = m.class)
+  and ((m.public and (m.ret, s.ret) in (select (child, parent) from v_fits))
+    or (not m.final and ((m.ret, s.ret) in (select (child, parent) from v_fits) or (s.ret, m.ret) in (select (child, parent) from v_fits))))""",
+    "o_link": """
+select concat_ws(' ', class, name, params, ret) as a, concat_ws(' ', sup, name, params, sup_ret) as b from o_override
+union select concat_ws(' ', class, name, params, ret), concat_ws(' ', sup, name, params, sup_ret) from o_inherited""",
+    "o_both": "select a, b from o_link union select b, a from o_link",
+    "o_linked": """
+select a as k, a as r from o_both union select l.k, b.b from o_linked l join o_both b on b.a = l.r""",
+    "o_family": """
+select m.class, m.name, m.params, m.ret, coalesce(q.family, concat_ws(' ', m.class, m.name, m.params, m.ret)) as family
+from v_method m left join (select k, min(r) as family from o_linked group by k) q
+  on q.k = concat_ws(' ', m.class, m.name, m.params, m.ret) where m.overridable""",
+    "o_found": """
+select r.owner, r.name, r.params, r.ret, arg_min(m.class, d.path) as found
+from (select distinct owner, name, params, ret from v_ref) r join o_dfs d on d.node = r.owner
+join v_member m on m.class = d.anc and m.name = r.name and m.params = r.params and m.ret = r.ret
+group by r.owner, r.name, r.params, r.ret""",
     "o_reach": """
 select distinct unit, cast(1 as bigint) as node from v_block
 union select e.unit, e.dst from o_reach r join v_edge e on e.unit = r.unit and e.src = r.node""",

@@ -43,16 +43,16 @@ def sliced(pos: str, width: int = SLICE) -> Column:
 def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, out: str,
                 width: int = SLICE) -> DataFrame:
     """Inclusive running sum of ``value`` along ``pos`` inside ``keys``."""
-    cut_up = df.withColumn("_v", value.cast("long")).withColumn("_s", sliced(pos, width))
-    totals = cut_up.groupBy(*keys, "_s").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_c"))
-    inside = Window.partitionBy(*keys, "_s").orderBy(pos).rowsBetween(
+    cut_up = df.withColumn("_scan_v", value.cast("long")).withColumn("_scan_s", sliced(pos, width))
+    totals = cut_up.groupBy(*keys, "_scan_s").agg(F.sum("_scan_v").alias("_scan_t"))
+    before = Window.partitionBy(*keys).orderBy("_scan_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_scan_s", F.coalesce(F.sum("_scan_t").over(before), F.lit(0)).alias("_scan_c"))
+    inside = Window.partitionBy(*keys, "_scan_s").orderBy(pos).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
-        cut_up.withColumn("_r", F.sum("_v").over(inside))
-        .join(carry, [*keys, "_s"])
-        .withColumn(out, F.col("_r") + F.col("_c"))
+        cut_up.withColumn("_scan_r", F.sum("_scan_v").over(inside))
+        .join(carry, [*keys, "_scan_s"])
+        .withColumn(out, F.col("_scan_r") + F.col("_scan_c"))
         .select(*[c for c in df.columns if c != out], out)
     )
 
@@ -60,20 +60,20 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, out: st
 def last_seen(df: DataFrame, keys: list[str], pos: str, value: Column, out: str,
               inclusive: bool = True, width: int = SLICE, tie: str | None = None) -> DataFrame:
     """Last non-null ``value`` at or before (or strictly before) each row."""
-    cut_up = df.withColumn("_v", value).withColumn("_s", sliced(pos, width))
+    cut_up = df.withColumn("_scan_v", value).withColumn("_scan_s", sliced(pos, width))
     order = [pos] if tie is None else [pos, tie]
-    filled = cut_up.filter(F.col("_v").isNotNull())
-    totals = filled.groupBy(*keys, "_s").agg(
-        F.max_by("_v", F.struct(*order)).alias("_t"))
-    slices = cut_up.select(*keys, "_s").distinct().join(totals, [*keys, "_s"], "left")
-    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carry = slices.select(*keys, "_s", F.last("_t", ignorenulls=True).over(before).alias("_c"))
-    inside = Window.partitionBy(*keys, "_s").orderBy(*order).rowsBetween(
+    filled = cut_up.filter(F.col("_scan_v").isNotNull())
+    totals = filled.groupBy(*keys, "_scan_s").agg(
+        F.max_by("_scan_v", F.struct(*order)).alias("_scan_t"))
+    slices = cut_up.select(*keys, "_scan_s").distinct().join(totals, [*keys, "_scan_s"], "left")
+    before = Window.partitionBy(*keys).orderBy("_scan_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = slices.select(*keys, "_scan_s", F.last("_scan_t", ignorenulls=True).over(before).alias("_scan_c"))
+    inside = Window.partitionBy(*keys, "_scan_s").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     return (
-        cut_up.withColumn("_r", F.last("_v", ignorenulls=True).over(inside))
-        .join(carry, [*keys, "_s"])
-        .withColumn(out, F.coalesce("_r", "_c"))
+        cut_up.withColumn("_scan_r", F.last("_scan_v", ignorenulls=True).over(inside))
+        .join(carry, [*keys, "_scan_s"])
+        .withColumn(out, F.coalesce("_scan_r", "_scan_c"))
         .select(*[c for c in df.columns if c != out], out)
     )
 
@@ -94,19 +94,19 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, slice_by:
 
     Slices are counted first, so no task sorts more than one slice of a group.
     """
-    cut_up = df.withColumn("_s", slice_by)
-    counts = cut_up.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    cut_up = df.withColumn("_scan_s", slice_by)
+    counts = cut_up.groupBy(*keys, "_scan_s").agg(F.count(F.lit(1)).alias("_scan_n"))
     if keys:
-        before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(*keys).orderBy("_scan_s").rowsBetween(Window.unboundedPreceding, -1)
     else:
-        before = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carry = counts.select(*keys, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
-    inside = Window.partitionBy(*keys, "_s").orderBy(*order)
+        before = Window.partitionBy(F.lit(0)).orderBy("_scan_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(*keys, "_scan_s", F.coalesce(F.sum("_scan_n").over(before), F.lit(0)).alias("_scan_c"))
+    inside = Window.partitionBy(*keys, "_scan_s").orderBy(*order)
     return (
-        cut_up.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(carry, [*keys, "_s"])
-        .withColumn(out, (F.col("_r") + F.col("_c")).cast("long"))
-        .drop("_s", "_r", "_c")
+        cut_up.withColumn("_scan_r", F.row_number().over(inside) - 1)
+        .join(carry, [*keys, "_scan_s"])
+        .withColumn(out, (F.col("_scan_r") + F.col("_scan_c")).cast("long"))
+        .drop("_scan_s", "_scan_r", "_scan_c")
     )
 
 
@@ -116,16 +116,16 @@ def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     Rows are range-partitioned by ``order`` and written once with their
     partition number; offsets come from one count per partition.
     """
-    placed = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
-    inside = Window.partitionBy("_p").orderBy(*order)
+    placed = cut(df.repartitionByRange(*order).withColumn("_scan_p", F.spark_partition_id()))
+    counts = placed.groupBy("_scan_p").agg(F.count(F.lit(1)).alias("_scan_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_scan_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select("_scan_p", F.coalesce(F.sum("_scan_n").over(before), F.lit(0)).alias("_scan_c"))
+    inside = Window.partitionBy("_scan_p").orderBy(*order)
     return (
-        placed.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(F.broadcast(carry), "_p")  # one row per partition
-        .withColumn(out, (F.col("_r") + F.col("_c")).cast("long"))
-        .drop("_p", "_r", "_c")
+        placed.withColumn("_scan_r", F.row_number().over(inside) - 1)
+        .join(F.broadcast(carry), "_scan_p")  # one row per partition
+        .withColumn(out, (F.col("_scan_r") + F.col("_scan_c")).cast("long"))
+        .drop("_scan_p", "_scan_r", "_scan_c")
     )
 
 
@@ -137,12 +137,12 @@ def interval_join(points: DataFrame, ranges: DataFrame, keys: list[str], pos: st
     when one group holds most rows; a range is copied once per bucket it
     touches, at most its output size over ``bucket`` plus one.
     """
-    p = points.withColumn("_b", sliced(pos, bucket))
+    p = points.withColumn("_scan_b", sliced(pos, bucket))
     r = ranges.filter(F.col(hi) > F.col(lo)).withColumn(
-        "_b", F.explode(F.sequence(sliced(lo, bucket),
+        "_scan_b", F.explode(F.sequence(sliced(lo, bucket),
                                    F.floor((F.col(hi) - 1) / F.lit(bucket)).cast("long"))))
     return (
-        p.join(r, [*keys, "_b"])
+        p.join(r, [*keys, "_scan_b"])
         .filter((F.col(pos) >= F.col(lo)) & (F.col(pos) < F.col(hi)))
-        .drop("_b")
+        .drop("_scan_b")
     )
