@@ -88,12 +88,15 @@ def renamed_member_lookup(f):
 
 
 @query("missing_targets", """
-select r.owner, r.name, r.params, r.ret, min(r.caller) as witness from v_ref r
+with asked as (select caller, owner, case when caller % 4 = 0 then 'm1' else name end as name, params, ret from v_ref)
+select r.owner, r.name, r.params, r.ret, min(r.caller) as witness from asked r
 join v_hier h on h.node = r.owner and h.is_own and not h.is_iface
-where not exists (select 1 from o_found o where o.owner = r.owner and o.name = r.name and o.params = r.params and o.ret = r.ret)
+where not exists (select 1 from o_up u join v_member m on m.class = u.anc
+  where u.node = r.owner and m.name = r.name and m.params = r.params and m.ret = r.ret)
 group by r.owner, r.name, r.params, r.ret""")
 def missing_targets(f):
-    return M.missing_targets(f.ref, f.depth_first, f.member, f.hier)
+    asked = f.ref.withColumn("name", F.when(F.col("caller") % 4 == 0, "m1").otherwise(F.col("name")))
+    return M.missing_targets(asked, f.depth_first, f.member, f.hier)
 
 
 @query("missing_classes", """

@@ -57,15 +57,31 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, out: st
     )
 
 
+def running_max(df: DataFrame, keys: list[str], pos: str, value: Column, out: str,
+                width: int = SLICE) -> DataFrame:
+    """Inclusive running maximum of ``value`` (any ordered type) along ``pos``."""
+    cut_up = df.withColumn("_scan_v", value).withColumn("_scan_s", sliced(pos, width))
+    totals = cut_up.groupBy(*keys, "_scan_s").agg(F.max("_scan_v").alias("_scan_t"))
+    before = Window.partitionBy(*keys).orderBy("_scan_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_scan_s", F.max("_scan_t").over(before).alias("_scan_c"))
+    inside = Window.partitionBy(*keys, "_scan_s").orderBy(pos).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    top = F.when(F.col("_scan_c").isNull() | (F.col("_scan_r") >= F.col("_scan_c")), F.col("_scan_r"))
+    return (
+        cut_up.withColumn("_scan_r", F.max("_scan_v").over(inside))
+        .join(carry, [*keys, "_scan_s"])
+        .withColumn(out, F.coalesce(top, "_scan_c"))
+        .select(*[c for c in df.columns if c != out], out)
+    )
+
+
 def last_seen(df: DataFrame, keys: list[str], pos: str, value: Column, out: str,
               inclusive: bool = True, width: int = SLICE, tie: str | None = None) -> DataFrame:
     """Last non-null ``value`` at or before (or strictly before) each row."""
     cut_up = df.withColumn("_scan_v", value).withColumn("_scan_s", sliced(pos, width))
     order = [pos] if tie is None else [pos, tie]
-    filled = cut_up.filter(F.col("_scan_v").isNotNull())
-    totals = filled.groupBy(*keys, "_scan_s").agg(
-        F.max_by("_scan_v", F.struct(*order)).alias("_scan_t"))
-    slices = cut_up.select(*keys, "_scan_s").distinct().join(totals, [*keys, "_scan_s"], "left")
+    at = F.when(F.col("_scan_v").isNotNull(), F.struct(*order))
+    slices = cut_up.groupBy(*keys, "_scan_s").agg(F.max_by("_scan_v", at).alias("_scan_t"))
     before = Window.partitionBy(*keys).orderBy("_scan_s").rowsBetween(Window.unboundedPreceding, -1)
     carry = slices.select(*keys, "_scan_s", F.last("_scan_t", ignorenulls=True).over(before).alias("_scan_c"))
     inside = Window.partitionBy(*keys, "_scan_s").orderBy(*order).rowsBetween(
