@@ -170,7 +170,7 @@ def class_names(wanted: DataFrame, occupied: DataFrame, order: list[str]) -> Dat
     class whose result is free; every other class takes the next free number,
     with ``Inner`` + rest in front where there is a rest.
     """
-    rest = F.regexp_extract("name", r"^[0-9]+(.+)$", 1)
+    rest = F.regexp_extract("name", r"^\p{Nd}+(\P{Nd}.*)$", 1)
     rows = wanted.withColumn("_rest", rest)
     rank = F.struct(*order)
     lead = rows.filter("_rest <> ''").groupBy("_rest").agg(F.min(rank).alias("_lead"))

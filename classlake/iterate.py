@@ -64,6 +64,10 @@ def cut(df: DataFrame) -> DataFrame:
     return _write(df)[0]
 
 
+# Above this many rows a round is bound by its data rather than by job latency.
+LARGE = 2_000_000
+
+
 def fixpoint(
     seed: DataFrame,
     step: Step,
@@ -74,48 +78,65 @@ def fixpoint(
     """Least set of rows that holds ``seed`` and is closed under ``step``.
 
     ``step`` maps rows to successor rows of the same schema and must
-    distribute over union (each output row follows from one input row).  One
-    round chains ``hops`` applications in a single job; only rows first seen
-    in the last hop feed the next round.  ``depth`` names an output column for
-    the least number of steps from the seed.
+    distribute over union (each output row follows from one input row).
+    ``depth`` names an output column for the least number of steps from the
+    seed.
+
+    A small frontier is expanded ``hops`` times in one job, a large one once,
+    so that nothing is computed twice; only rows first seen in the last hop
+    feed the next round.  Once much is known, a round looks up just the known
+    rows its candidates hit (their side is broadcast when its files are small)
+    instead of shuffling all known rows against them.
     """
     cols = seed.columns
     out = cols if depth is None else [*cols, depth]
     spark = seed.sparkSession
     frontier = cut(seed.distinct())
+    size = frontier.count()
+    total, reached = size, 0
     known = [frontier if depth is None else frontier.withColumn(depth, F.lit(0).cast("long"))]
-    for turn in range(max_rounds):
+    for _ in range(max_rounds):
+        if size == 0:
+            break
+        now = hops if size <= LARGE else 1
         layers = []
         current = frontier
-        for hop in range(hops):
+        for hop in range(now):
             current = step(current).select(cols).distinct()
             layers.append(current.withColumn("_hop", F.lit(hop)))
-        found = layers[0]
-        for layer in layers[1:]:
-            found = found.unionByName(layer)
-        found = found.groupBy(*cols).agg(F.min("_hop").alias("_hop"))
-        seen = known[0]
-        for part in known[1:]:
-            seen = seen.unionByName(part)
+        found = _union(layers)
+        if now > 1:
+            found = found.groupBy(*cols).agg(F.min("_hop").alias("_hop"))
         if depth is not None:
-            found = found.withColumn(depth, (F.col("_hop") + F.lit(turn * hops + 1)).cast("long"))
-        fresh, path = _write(found.join(seen, cols, "left_anti"))
-        if fresh.isEmpty():
+            found = found.withColumn(depth, (F.col("_hop") + F.lit(reached + 1)).cast("long"))
+        seen = _union(known).select(cols)
+        if total > LARGE:
+            found, found_path = _write(found)
+            hit = seen.join(found.select(cols), cols, "left_semi")
+            fresh, path = _write(found.join(hit, cols, "left_anti"))
+            _drop(spark, found_path)
+        else:
+            fresh, path = _write(found.join(seen, cols, "left_anti"))
+        reached += now
+        size = fresh.count()
+        if size == 0:
             _drop(spark, path)
-            return seen
+            break
+        total += size
         known.append(fresh.select(out))
         if len(known) > 24:
-            merged = known[0]
-            for part in known[1:]:
-                merged = merged.unionByName(part)
-            known = [cut(merged)]
-        frontier = fresh.filter(F.col("_hop") == hops - 1).select(cols)
-        if frontier.isEmpty():
-            result = known[0]
-            for part in known[1:]:
-                result = result.unionByName(part)
-            return result
-    raise RuntimeError("fixpoint did not settle within max_rounds")
+            known = [cut(_union(known))]
+        frontier = fresh.filter(F.col("_hop") == now - 1).select(cols)
+        if now > 1:
+            size = frontier.count()
+    return _union(known)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def best_paths(
@@ -301,18 +322,22 @@ def strong_components(edges: DataFrame, nodes: DataFrame, hops: int = 4) -> Data
     ``edges(src, dst)``, ``nodes(node)``.
     """
     live = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    left = -1
     done: list[DataFrame] = []
     while True:
         while True:
-            heads = live.select(F.col("dst").alias("src")).distinct()
-            tails = live.select(F.col("src").alias("dst")).distinct()
-            trimmed = cut(live.join(heads, "src", "left_semi").join(tails, "dst", "left_semi")
-                          .select("src", "dst"))
-            stable = live.join(trimmed, ["src", "dst"], "left_anti").isEmpty()
-            live = trimmed
-            if stable:
+            trimmed = live
+            for _ in range(2):
+                heads = trimmed.select(F.col("dst").alias("src")).distinct()
+                tails = trimmed.select(F.col("src").alias("dst")).distinct()
+                trimmed = (trimmed.join(heads, "src", "left_semi").join(tails, "dst", "left_semi")
+                           .select("src", "dst"))
+            before = left
+            live = cut(trimmed)
+            left = live.count()
+            if left == before:
                 break
-        if live.isEmpty():
+        if left == 0:
             break
         colour = _least_reaching(live, hops)
         cs = colour.select(F.col("node").alias("src"), F.col("colour").alias("c1"))
@@ -369,28 +394,44 @@ def _least_reaching(edges: DataFrame, hops: int) -> DataFrame:
         frontier = fresh
 
 
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
     """Longest distance from a source node in an acyclic graph: (node, level).
 
-    Peels sources round by round; raises when a cycle leaves nodes unpeeled.
+    Levels rise along edges until none rises.  After many rounds a cycle is
+    looked for once, and is an error.
     """
-    live = cut(edges.select("src", "dst").distinct())
-    left = cut(nodes.select("node").distinct())
-    parts = []
-    level = 0
-    while not left.isEmpty():
-        fed = live.select(F.col("dst").alias("node")).distinct()
-        ready = cut(left.join(fed, "node", "left_anti"))
-        if ready.isEmpty():
-            raise ValueError("cycle: no node without a predecessor is left")
-        parts.append(ready.withColumn("level", F.lit(level).cast("long")))
-        left = cut(left.join(ready, "node", "left_anti"))
-        live = cut(live.join(ready.select(F.col("node").alias("src")), "src", "left_anti")
-                   .select("src", "dst"))
-        level += 1
-    if not parts:
-        return nodes.select("node", F.lit(0).cast("long").alias("level"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    spark = edges.sparkSession
+    arcs = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
+    if not arcs.filter("node = _to").isEmpty():
+        raise ValueError("cycle: a node precedes itself")
+    known, path = _write(nodes.select("node").distinct().withColumn("level", F.lit(0).cast("long")))
+    frontier = known
+    turn = 0
+    while True:
+        best = frontier
+        for _ in range(hops):
+            risen = best.join(arcs, "node").select(
+                F.col("_to").alias("node"), (F.col("level") + 1).alias("level"))
+            best = best.unionByName(risen).groupBy("node").agg(F.max("level").alias("level"))
+        old = known.select("node", F.col("level").alias("_old"))
+        fresh = cut(best.join(old, "node").filter("level > _old").select("node", "level"))
+        if fresh.isEmpty():
+            return known
+        merged, new_path = _write(
+            known.unionByName(fresh).groupBy("node").agg(F.max("level").alias("level")))
+        _drop(spark, path)
+        known, path = merged, new_path
+        frontier = fresh
+        turn += 1
+        if turn == 8:
+            comp = strong_components(edges, nodes)
+            if not comp.filter("node <> component").isEmpty():
+                raise ValueError("cycle: nodes precede themselves")
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the work folder.
+
+    Frames returned earlier may still read from it, so call it at the end.
+    """
+    _drop(spark, work_dir(spark))

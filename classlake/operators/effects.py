@@ -130,7 +130,7 @@ def propagate(raised: DataFrame, calls: DataFrame, catches: DataFrame, closed: D
     seed = admit(raised.select("node", "exc").distinct())
     if declared is not None:
         seed = seed.unionByName(declared.select("node", "exc"))
-    state = fixpoint(seed, step, hops=3)
+    state = fixpoint(seed, step, hops=4)
     if declared is not None:
         state = state.join(declared.select("node", "exc"), ["node", "exc"], "left_anti")
     return state

@@ -228,33 +228,34 @@ def loop_depth(loops: DataFrame) -> DataFrame:
     return loops.groupBy("unit", "node").agg(F.count(F.lit(1)).alias("depth"))
 
 
-def irreducible_units(edges: DataFrame, back: DataFrame,
-                      with_exceptions: DataFrame | None = None) -> DataFrame:
-    """Units whose live graph still has a cycle without its back edges: (unit).
+def irreducible_units(edges: DataFrame, with_exceptions: DataFrame | None = None) -> DataFrame:
+    """Units whose graph (without dead nodes) does not collapse to one node: (unit).
 
-    Peels nodes without a live predecessor or successor; units with exception
-    edges are reported reducible.
+    Dropping self-loops and folding every node with one predecessor into it
+    are applied everywhere at once until neither is possible; the order does
+    not matter.  An entry with one predecessor folds like any other node.
+    Units with exception edges are reported reducible.
     """
-    live = edges.select("unit", "src", "dst").distinct().join(
-        back, ["unit", "src", "dst"], "left_anti")
+    plain = edges.select("unit", "src", "dst").filter("src <> dst").distinct()
     if with_exceptions is not None:
-        live = live.join(with_exceptions.select("unit").distinct(), "unit", "left_anti")
-    return peel_acyclic(cut(live)).select("unit").distinct()
-
-
-def peel_acyclic(live: DataFrame) -> DataFrame:
-    """Edges left after peeling sources and sinks: empty iff acyclic."""
+        plain = plain.join(with_exceptions.select("unit").distinct(), "unit", "left_anti")
+    live = cut(plain)
+    key = lambda c: F.struct(F.col("unit").alias("unit"), F.col(c).alias("node"))
     while True:
-        peeled = live
-        for _ in range(2):
-            heads = peeled.select("unit", F.col("dst").alias("src")).distinct()
-            peeled = peeled.join(heads, ["unit", "src"], "left_semi").select("unit", "src", "dst")
-            tails = peeled.select("unit", F.col("src").alias("dst")).distinct()
-            peeled = peeled.join(tails, ["unit", "dst"], "left_semi").select("unit", "src", "dst")
-        peeled = cut(peeled)
-        if live.join(peeled, ["unit", "src", "dst"], "left_anti").isEmpty():
-            return peeled
-        live = peeled
+        folds = cut(
+            live.groupBy("unit", F.col("dst").alias("node"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("pred"))
+            .filter("_n = 1").select(key("node").alias("a"), key("pred").alias("b")))
+        if folds.isEmpty():
+            return live.select("unit").distinct()
+        groups = iterate.components(folds, "a", "b").select(
+            "node.unit", "node.node", F.col("component.node").alias("_g"))
+        groups = cut(groups)
+        at = lambda c: groups.select("unit", F.col("node").alias(c), F.col("_g").alias("_" + c))
+        live = cut(
+            live.join(at("src"), ["unit", "src"], "left").join(at("dst"), ["unit", "dst"], "left")
+            .select("unit", F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
+            .filter("src <> dst").distinct())
 
 
 def split_candidate(nodes: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -314,7 +315,7 @@ def split_irreducible(nodes: DataFrame, edges: DataFrame, sizes: DataFrame,
     edges = edges.select("unit", "src", "dst").distinct()
     for _ in range(max_rounds):
         nodes, edges, sizes = cut(nodes), cut(edges), cut(sizes)
-        bad = cut(irreducible_units(edges, back_edges(edges, cut(dominators(nodes, edges)))))
+        bad = cut(irreducible_units(edges))
         if bad.isEmpty():
             return nodes, edges
         nodes, edges, sizes = split_once(nodes, edges, sizes, bad)

@@ -10,7 +10,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from classlake.iterate import cut
 from classlake.operators import blocks as B
@@ -71,6 +70,12 @@ class Facts:
             ((F.col("idx") * 3 + 7) % F.col("n")).alias("handler_idx"),
             F.explode(kinds).alias("exc_type"))
 
+    @cached_property
+    def wide(self) -> DataFrame:
+        """The same spans under one handler and type, so that they group."""
+        return self.range.select(
+            "unit", "from_idx", "to_idx", F.lit(0).cast("long").alias("handler_idx"), F.lit("E").alias("exc_type"))
+
     @cached_property
     def block(self) -> DataFrame:
         return cut(B.block_ids(self.seq, self.jump, self.range))
@@ -149,18 +154,20 @@ class Facts:
 
     @cached_property
     def ref(self) -> DataFrame:
-        # one order holds a handful of lines, so this window never sees a large group
-        w = Window.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-        l = self.table("lineitem").filter("l_orderkey % 30 = 0")
-        return (
-            l.select(
-                F.col("l_partkey").alias("caller"),
-                F.lead("l_partkey").over(w).alias("owner"),
-                F.concat(F.lit("m"), F.lead("l_linenumber").over(w).cast("string")).alias("name"),
-                F.concat(F.lit("("), F.lead("l_returnflag").over(w), F.lit(")")).alias("params"),
-                F.lead("l_linestatus").over(w).alias("ret"))
-            .filter("owner is not null and owner <> caller").distinct())
+        l = self.table("lineitem").filter("l_orderkey % 30 = 0").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+            "l_returnflag", "l_linestatus")
+        placed = cut(ranked(
+            l, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
+            "_at", F.struct("l_linenumber", "l_partkey")))
+        following = placed.select(
+            "l_orderkey", (F.col("_at") - 1).alias("_at"), F.col("l_partkey").alias("owner"),
+            F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("name"),
+            F.concat(F.lit("("), "l_returnflag", F.lit(")")).alias("params"), F.col("l_linestatus").alias("ret"))
+        return cut(
+            placed.select("l_orderkey", "_at", F.col("l_partkey").alias("caller"))
+            .join(following, ["l_orderkey", "_at"]).filter("owner <> caller")
+            .select("caller", "owner", "name", "params", "ret").distinct())
 
     @cached_property
     def concrete(self) -> DataFrame:

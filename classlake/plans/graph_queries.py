@@ -200,10 +200,9 @@ def loop_depth(f):
     return G.loop_depth(G.natural_loops(edges, G.back_edges(edges, live_dominators(f))))
 
 
-@query("irreducible_units", "select distinct unit from o_forward_up where a = b")
+@query("irreducible_units", "select unit from o_irreducible")
 def irreducible_units(f):
-    edges = live_graph(f)[1]
-    return G.irreducible_units(edges, G.back_edges(edges, live_dominators(f)))
+    return G.irreducible_units(live_graph(f)[1])
 
 
 CANDIDATE = """
@@ -225,7 +224,7 @@ def split_candidate(f):
 
 @query("node_split_once", f"""
 with {CANDIDATE},
-bad as (select distinct unit from o_forward_up where a = b),
+bad as (select unit from o_irreducible),
 ch as (select p.unit, p.node, (select max(r.node) + 1 from o_reach r where r.unit = p.unit) as copy,
     (select min(src) from pe where pe.unit = p.unit and pe.dst = p.node) as first
   from pick p join bad on bad.unit = p.unit),
@@ -236,7 +235,7 @@ union select i.unit, ch.copy, i.dst from into_ i join ch on ch.unit = i.unit and
 def node_split_once(f):
     nodes, edges = live_graph(f)
     plain = edges.select("unit", "src", "dst").distinct()
-    bad = cut(G.irreducible_units(edges, G.back_edges(edges, live_dominators(f))))
+    bad = cut(G.irreducible_units(edges))
     return G.split_once(nodes, plain, block_sizes(f), bad)[1]
 
 

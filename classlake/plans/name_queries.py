@@ -48,7 +48,7 @@ def invalid_names(f):
 with wanted as (select ord, case when ord % 4 = 0 then concat(cast(ord % 50 as varchar), word) else word end as name from v_name where ord % 3 = 0),
 held as (select concat('class_', cast((ord * 7) % 500 as varchar)) as name from v_name where ord % 5 = 0
   union select concat('Inner', word) from v_name where ord % 97 = 0),
-r as (select *, regexp_extract(name, '^[0-9]+(.+)$', 1) as rest from wanted),
+r as (select *, regexp_extract(name, '^[0-9]+([^0-9].*)$', 1) as rest from wanted),
 d as (select *, rest <> '' and row_number() over (partition by rest order by ord) = 1 and concat('Inner', rest) not in (select name from held) as free from r),
 k as (select *, row_number() over (order by ord) - 1 as k from d where not free),
 tk as (select o, row_number() over (order by o) - 1 as j from (select distinct cast(substr(name, 7) as bigint) as o from held where name like 'class_%') q),

@@ -59,9 +59,11 @@ def safe_blocks(f):
 
 
 @query("split_range_merge", """
-with safe as (select unit, block from v_block group by unit, block having not bool_or(op = 'call')),
-lr as (select unit, handler_idx, types from o_logical group by all having count(distinct (from_idx, to_idx)) > 1),
-ins as (select distinct l.unit, l.handler_idx, l.types, l.block from o_logical l
+with wide as (select distinct unit, from_idx, to_idx, 0 as handler_idx, 'E' as types from v_range),
+lg as (select distinct w.*, b.block from wide w join v_block b on b.unit = w.unit and b.idx >= w.from_idx and b.idx < w.to_idx),
+safe as (select unit, block from v_block group by unit, block having not bool_or(op = 'call')),
+lr as (select unit, handler_idx, types from lg group by all having count(distinct (from_idx, to_idx)) > 1),
+ins as (select distinct l.unit, l.handler_idx, l.types, l.block from lg l
   join lr on lr.unit = l.unit and lr.handler_idx = l.handler_idx and lr.types = l.types),
 cand as (select lr.*, s.block from lr join safe s on s.unit = lr.unit where not exists
   (select 1 from ins i where i.unit = lr.unit and i.handler_idx = lr.handler_idx and i.types = lr.types and i.block = s.block)),
@@ -89,7 +91,7 @@ ent as (select * from grown where block = 1 union
 wild as (select unit, handler_idx, types from ent group by all having count(*) > 1)
 select * from gain g where not exists (select 1 from wild w where w.unit = g.unit and w.handler_idx = g.handler_idx and w.types = g.types)""")
 def split_range_merge(f):
-    return R.merge_split(R.logical_ranges(f.block, f.range), f.node, f.edge, safe_blocks(f))
+    return R.merge_split(R.logical_ranges(f.block, f.wide), f.node, f.edge, safe_blocks(f))
 
 
 @query("circular_range_parts", """

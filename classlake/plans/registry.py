@@ -176,12 +176,24 @@ where l.op = 'goto' group by l.unit, l.block having count(*) = 1""",
     "o_removable": """
 select unit, block as node from v_block b group by unit, block having count(*) = 1 and max(op) = 'goto'
 and not exists (select 1 from o_exc_edge x where x.unit = b.unit and x.dst = b.block)""",
+    # reducible iff, from some root that reaches everything, no cycle is left without back edges
+    "o_live_up": """
+select unit, node as a, node as b from o_reach
+union select c.unit, c.a, e.dst from o_live_up c join o_live_edge e on e.unit = c.unit and e.src = c.b""",
+    "o_root": "select distinct unit, a as r from o_live_up where b = 1",
+    "o_root_avoid": """
+select t.unit, t.r, n.node as d, t.r as n from o_root t join o_reach n on n.unit = t.unit and n.node <> t.r
+union select w.unit, w.r, w.d, e.dst from o_root_avoid w join o_live_edge e on e.unit = w.unit and e.src = w.n where e.dst <> w.d""",
     "o_forward": """
-select distinct e.unit, e.src, e.dst from o_live_edge e where not exists
-  (select 1 from o_back b where b.unit = e.unit and b.src = e.src and b.dst = e.dst)""",
+select distinct t.unit, t.r, e.src, e.dst from o_root t join o_live_edge e on e.unit = t.unit
+where e.src <> e.dst and e.dst <> t.r and exists
+  (select 1 from o_root_avoid w where w.unit = t.unit and w.r = t.r and w.d = e.dst and w.n = e.src)""",
     "o_forward_up": """
-select unit, src as a, dst as b from o_forward
-union select c.unit, c.a, f.dst from o_forward_up c join o_forward f on f.unit = c.unit and f.src = c.b""",
+select unit, r, src as a, dst as b from o_forward
+union select c.unit, c.r, c.a, f.dst from o_forward_up c join o_forward f on f.unit = c.unit and f.r = c.r and f.src = c.b""",
+    "o_irreducible": """
+select t.unit from o_root t left join (select distinct unit, r from o_forward_up where a = b) c on c.unit = t.unit and c.r = t.r
+group by t.unit having count(*) = count(c.r)""",
     "o_types": """
 select unit, from_idx, to_idx, handler_idx, string_agg(distinct exc_type, ',' order by exc_type) as types
 from v_range group by all""",
