@@ -144,6 +144,7 @@ def best_paths(
     step: Step,
     keys: list[str],
     rank: str,
+    hops: int = 3,
     max_rounds: int = 100_000,
 ) -> DataFrame:
     """Like :func:`fixpoint`, but keeps one row per ``keys``: the least ``rank``.
@@ -155,32 +156,44 @@ def best_paths(
     """
     cols = seed.columns
     spark = seed.sparkSession
+    payload = [c for c in cols if c not in keys]
 
-    def least(df: DataFrame) -> DataFrame:
-        payload = [c for c in cols if c not in keys]
+    def least(df: DataFrame, extra: list[str]) -> DataFrame:
+        kept = [*payload, *extra]
         return (
             df.groupBy(*keys)
-            .agg(F.min_by(F.struct(*payload), F.col(rank)).alias("_p"))
-            .select(*keys, *[F.col(f"_p.{c}").alias(c) for c in payload])
+            .agg(F.min_by(F.struct(*kept), F.col(rank)).alias("_p"))
+            .select(*keys, *[F.col(f"_p.{c}").alias(c) for c in kept])
         )
 
-    known, known_path = _write(least(seed.select(cols)))
+    known, known_path = _write(least(seed.select(cols), []))
     frontier = known
+    size = known.count()
     for _ in range(max_rounds):
-        found = least(step(frontier).select(cols))
+        now = hops if size <= LARGE else 1
+        layers = []
+        current = frontier
+        for hop in range(now):
+            current = least(step(current).select(cols), [])
+            layers.append(current.withColumn("_hop", F.lit(hop)))
+        found = least(_union(layers), ["_hop"]) if now > 1 else layers[0]
         old = known.select(*keys, F.col(rank).alias("_old"))
         fresh, fresh_path = _write(
             found.join(old, keys, "left")
             .filter(F.col("_old").isNull() | (F.col(rank) < F.col("_old")))
-            .select(cols)
+            .select(*cols, "_hop")
         )
         if fresh.isEmpty():
             _drop(spark, fresh_path)
             return known
-        merged, merged_path = _write(least(known.unionByName(fresh)))
+        merged, merged_path = _write(least(known.unionByName(fresh.select(cols)), []))
         _drop(spark, known_path)
         known, known_path = merged, merged_path
-        frontier = fresh
+        # earlier hops were already expanded with the rank they were found with
+        frontier = fresh.filter(F.col("_hop") == now - 1).select(cols)
+        size = frontier.count()
+        if size == 0:
+            return known
     raise RuntimeError("best_paths did not settle within max_rounds")
 
 
@@ -316,12 +329,53 @@ def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None,
 def strong_components(edges: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
     """Strongly connected components: (node, component), label = least node.
 
-    Nodes without an incoming or outgoing live edge are trimmed as singletons;
-    the rest is coloured with the least node that reaches it, and the nodes of
-    a colour that reach the colour's own node form one component.
+    Chains of nodes with one way in and one way out are folded first, in
+    logarithmically many rounds, which shortens every later walk.  Nodes
+    without an incoming or outgoing live edge are trimmed as singletons; the
+    rest is coloured with the least node that reaches it, and the nodes of a
+    colour that reach the colour's own node form one component.
     ``edges(src, dst)``, ``nodes(node)``.
     """
     live = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    once = lambda c: live.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("node")
+    mid = cut(once("src").join(once("dst"), "node"))
+    out = cut(live.join(mid.select(F.col("node").alias("src")), "src", "left_semi").select(
+        F.col("src").alias("n"), F.col("dst").alias("t")))
+    ring = cut(looping(out, [], "n", "t"))
+    ahead = pointer_double(out.join(ring, "n", "left_anti"), [], "n", "t")
+    into = live.join(mid.select(F.col("node").alias("dst")), "dst", "left_semi").select(
+        F.col("dst").alias("n"), F.col("src").alias("t")).join(ring, "n", "left_anti")
+    behind = pointer_double(into, [], "n", "t")
+    core = cut(
+        live.join(mid.select(F.col("node").alias("src")), "src", "left_anti")
+        .join(ahead.select(F.col("n").alias("dst"), F.col("t").alias("_e")), "dst", "left")
+        .select("src", F.coalesce("_e", "dst").alias("dst")).filter("src <> dst").distinct())
+    found = _core_components(core, hops)
+    ends = (
+        ahead.select(F.col("n").alias("node"), F.col("t").alias("_e"))
+        .join(behind.select(F.col("n").alias("node"), F.col("t").alias("_s")), "node"))
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias("_c" + c))
+    inner = (
+        ends.join(of("_e"), "_e", "left").join(of("_s"), "_s", "left")
+        .withColumn("_ce", F.coalesce("_c_e", "_e")).withColumn("_cs", F.coalesce("_c_s", "_s"))
+        .filter("_ce = _cs"))
+    # a core node whose only cycle runs through folded chains is named by them
+    hubs = inner.select(F.col("_ce").alias("node"), F.col("_ce").alias("component")).distinct()
+    loops = components(
+        out.join(ring, "n", "left_semi"), "n", "t")
+    grouped = found.unionByName(
+        hubs.join(found.select("node"), "node", "left_anti")).unionByName(
+        inner.select("node", F.col("_ce").alias("component"))).unionByName(loops)
+    grouped = cut(grouped)
+    label = grouped.groupBy("component").agg(F.min("node").alias("label"))
+    named = grouped.join(label, "component").select("node", F.col("label").alias("component"))
+    every = nodes.select("node").distinct()
+    single = every.join(named.select("node"), "node", "left_anti")
+    return named.unionByName(single.select("node", F.col("node").alias("component")))
+
+
+def _core_components(live: DataFrame, hops: int) -> DataFrame:
+    """Components of more than one node, labelled by their colour."""
     left = -1
     done: list[DataFrame] = []
     while True:
@@ -335,19 +389,17 @@ def strong_components(edges: DataFrame, nodes: DataFrame, hops: int = 4) -> Data
             before = left
             live = cut(trimmed)
             left = live.count()
-            if left == before:
+            if left == before or left == 0:
                 break
         if left == 0:
             break
         colour = _least_reaching(live, hops)
         cs = colour.select(F.col("node").alias("src"), F.col("colour").alias("c1"))
         cd = colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2"))
-        inner = cut(live.join(cs, "src").join(cd, "dst").filter("c1 = c2")
-                    .select("src", "dst"))
+        inner = cut(live.join(cs, "src").join(cd, "dst").filter("c1 = c2").select("src", "dst"))
         back = inner.select(F.col("dst").alias("node"), F.col("src").alias("prev"))
-        seed = colour.filter("node = colour")
         member = fixpoint(
-            seed,
+            colour.filter("node = colour"),
             lambda f: f.join(back, "node").select(F.col("prev").alias("node"), "colour"),
             hops,
         )
@@ -357,16 +409,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame, hops: int = 4) -> Data
         live = cut(live.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
                    .join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
                    .select("src", "dst"))
-    every = nodes.select("node").distinct()
     if not done:
-        return every.select("node", F.col("node").alias("component"))
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
-    label = found.groupBy("component").agg(F.min("node").alias("label"))
-    found = found.join(label, "component").select("node", F.col("label").alias("component"))
-    single = every.join(found.select("node"), "node", "left_anti")
-    return found.unionByName(single.select("node", F.col("node").alias("component")))
+        return live.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    return _union(done)
 
 
 def _least_reaching(edges: DataFrame, hops: int) -> DataFrame:

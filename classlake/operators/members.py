@@ -117,6 +117,9 @@ def inherited_implementations(methods: DataFrame, closed: DataFrame, returns: Da
     """
     able = methods.filter("overridable")
     below = closed.join(own.select("node"), "node", "left_semi")
+    # only signatures that classes and interfaces share are spread over subclasses
+    shared = able.groupBy("name", "params").agg(F.min("in_iface").alias("_lo"), F.max("in_iface").alias("_hi"))
+    able = able.join(shared.filter("not _lo and _hi").select("name", "params"), ["name", "params"], "left_semi")
     seen = able.join(below.withColumnRenamed("anc", "class"), "class")
     impl = seen.filter("not in_iface").select("node", *KEY, "final", "public")
     intf = seen.filter("in_iface").select(
@@ -225,11 +228,10 @@ def unmet_obligations(required: DataFrame, chain: DataFrame, closed: DataFrame,
     iface = able.filter("in_iface").select(
         F.col("class").alias("anc"), "name", "params", F.col("abstract").alias("_a"), F.col("ret").alias("_ir"))
     offers = required.select(*group).join(strict, "node").join(iface, ["anc", "name", "params"])
-    sub = strict.select(F.col("node").alias("_low"), "anc")
+    # a more specific offer beats every offer above it: walk up from each offer
     beaten = (
-        offers.select(*group, "anc").distinct().join(sub, "anc")
-        .join(offers.select(*group, F.col("anc").alias("_low")).distinct(), [*group, "_low"], "left_semi")
-        .select(*group, "anc").distinct())
+        offers.select(*group, F.col("anc").alias("_low")).distinct()
+        .join(strict.select(F.col("node").alias("_low"), "anc"), "_low").select(*group, "anc").distinct())
     single = (
         offers.join(beaten, [*group, "anc"], "left_anti").groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_a").alias("_a")).filter("_n = 1 and not _a").select(*group))
