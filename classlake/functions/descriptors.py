@@ -57,18 +57,21 @@ def unique_key(name: Column, descriptor: Column) -> Column:
     return F.concat_ws(" ", name, descriptor)
 
 
-def remap_descriptors(df: DataFrame, descriptor: str, renames: DataFrame, out: str) -> DataFrame:
-    """Descriptors with class names replaced under ``renames(old, new)``.
+def remap_descriptors(df: DataFrame, descriptor: str, renames: DataFrame, out: str,
+                      keys: list[str] | None = None) -> DataFrame:
+    """Descriptors with class names replaced under ``renames(old, new)``,
+    separately per ``keys``.
 
     Works on distinct descriptors, whose parts are few (a method has at most
     255 parameters), and joins the result back.
     """
-    distinct = df.select(descriptor).distinct()
+    keys = keys or []
+    distinct = df.select(*keys, descriptor).distinct()
     parts = distinct.select(
-        descriptor, F.posexplode(F.regexp_extract_all(descriptor, F.lit("L[^;]+;|[^L]+"), F.lit(0))).alias("_at", "_part"))
+        *keys, descriptor, F.posexplode(F.regexp_extract_all(descriptor, F.lit("L[^;]+;|[^L]+"), F.lit(0))).alias("_at", "_part"))
     parts = parts.withColumn("old", F.regexp_extract("_part", "^L([^;]+);$", 1))
-    named = parts.join(renames.select("old", "new"), "old", "left")
+    named = parts.join(renames.select(*keys, "old", "new"), [*keys, "old"], "left")
     text = F.when(F.col("new").isNotNull(), F.concat(F.lit("L"), "new", F.lit(";"))).otherwise(F.col("_part"))
-    rebuilt = named.groupBy(descriptor).agg(
+    rebuilt = named.groupBy(*keys, descriptor).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", text.alias("t")))), lambda x: x["t"]), "").alias(out))
-    return df.join(rebuilt, descriptor, "left")
+    return df.join(rebuilt, [*keys, descriptor], "left")

@@ -21,11 +21,12 @@ def excluded(name: Column, pattern: str) -> Column:
 
 
 def implicit_enum_member(kind: Column, name: Column, descriptor: Column, owner: Column,
-                         synthetic: Column) -> Column:
+                         synthetic: Column, is_enum: Column | None = None) -> Column:
     """Members a compiler adds to every enum class."""
+    is_enum = F.lit(True) if is_enum is None else is_enum
     self_array = F.concat(F.lit("[L"), owner, F.lit(";"))
     values = (name == "values") & (descriptor == F.concat(F.lit("()"), self_array))
     value_of = (name == "valueOf") & (
         descriptor == F.concat(F.lit("(Ljava/lang/String;)L"), owner, F.lit(";")))
-    return ((kind == "method") & (values | value_of)) | (
-        (kind == "field") & synthetic & (descriptor == self_array))
+    return is_enum & (((kind == "method") & (values | value_of)) | (
+        (kind == "field") & synthetic & (descriptor == self_array)))

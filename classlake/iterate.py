@@ -212,6 +212,20 @@ def converge(state: DataFrame, step: Step, changed: Callable[[DataFrame, DataFra
     raise RuntimeError("converge did not settle within max_rounds")
 
 
+def run_passes(state: DataFrame, passes: list[Step],
+               changed: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+               max_rounds: int = 100_000) -> DataFrame:
+    """User-supplied passes over a frame, in order; with ``changed`` the whole
+    chain repeats until that yields no row."""
+
+    def once(df: DataFrame) -> DataFrame:
+        for one in passes:
+            df = df.transform(one)
+        return df
+
+    return once(state) if changed is None else converge(state, once, changed, max_rounds)
+
+
 def pointer_double(links: DataFrame, keys: list[str], node: str, target: str) -> DataFrame:
     """Follow functional links to their end in logarithmically many rounds.
 

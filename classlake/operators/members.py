@@ -197,8 +197,11 @@ def most_specific_return(obligations: DataFrame, returns: DataFrame) -> DataFram
     group = ["node", "name", "params"]
     kinds = obligations.select(*group, "ret").distinct()
     total = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    fits = compatible("ret", "_o", returns, kinds.join(kinds.withColumnRenamed("ret", "_o"), group))
-    fits = fits.groupBy(*group, "ret").agg(F.count(F.lit(1)).alias("_k")).join(total, group).filter("_k = _n")
+    # a type suits itself and its listed parents: walk those instead of all pairs of a group
+    above = returns.filter("child <> parent").select(F.col("child").alias("ret"), F.col("parent").alias("_o")).distinct()
+    suits = kinds.join(above, "ret").join(kinds.withColumnRenamed("ret", "_o"), [*group, "_o"], "left_semi")
+    suits = kinds.unionByName(suits.select(*group, "ret")).groupBy(*group, "ret").agg(F.count(F.lit(1)).alias("_k"))
+    fits = suits.join(total, group).filter("_k = _n")
     access = obligations.groupBy(*group).agg(F.max("access_rank").alias("need"))
     first = first_by(
         obligations.join(fits.select(*group, "ret"), [*group, "ret"], "left_semi")

@@ -23,9 +23,7 @@ def repeated_writes(results: DataFrame, keys: list[str]) -> DataFrame:
 def safe_path(path: Column) -> Column:
     """No NUL, backslash, drive letter or absolute path, and never above the root.
 
-    The depth after each part counts ``..`` as -1; it must not go below 0 at
-    the end, and passing below on the way is allowed only if it comes back to
-    the root itself, which a path below the root cannot do by name.
+    Each ``..`` lowers the depth by one; it must never fall below the root.
     """
     parts = F.split(path, "/")
     step = lambda p: F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)

@@ -143,11 +143,11 @@ def test_text_positions(spark):
 
 
 def test_token_dump(spark):
-    lines = spark.createDataFrame([("(3:14, 3:28) class [declaration] pkg/TestTextTokens",), ("(5:4, 5:9) field pkg/A#count:I",),
+    lines = spark.createDataFrame([("(3:14, 3:28) class [declaration] pkg/Tokens",), ("(5:4, 5:9) field pkg/A#count:I",),
                                    ("(2:1, 2:6) field [declaration] pkg/A#count:I",), ("noise",)], "value string")
     t = L.parse_token_dump(lines)
     assert rows(t, "line", "kind", "is_decl", "owner", "name") == [
-        (2, "field", True, "pkg/A", "count"), (3, "class", True, "pkg/TestTextTokens", ""), (5, "field", False, "pkg/A", "count")]
+        (2, "field", True, "pkg/A", "count"), (3, "class", True, "pkg/Tokens", ""), (5, "field", False, "pkg/A", "count")]
     linked = L.token_links(t.withColumn("class", F.lit("X")).withColumn("start", F.col("line")))
     assert rows(linked, "line", "decl_start") == [(5, 2)]
 

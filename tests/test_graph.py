@@ -90,7 +90,7 @@ def irreducible(data, nodes):
 
 
 def test_reducibility_and_splitting(spark, rng):
-    g, nodes, edges = graphs(spark, rng, units=8, n=8, m=6)
+    g, nodes, edges = graphs(spark, rng, units=8, n=6, m=4)
     live, kept = G.drop_dead(nodes, edges)
     bad = G.irreducible_units(kept)
     want = sorted((u,) for u, d in g.items() if irreducible([e for e in d if e[0] in reach(d, 0)], reach(d, 0)))

@@ -81,6 +81,15 @@ def test_levels(spark):
         iterate.levels(edges(spark, [(0, 1), (1, 2), (2, 0)]), nodes)
 
 
+def test_passes_run_once_or_until_nothing_changes(spark):
+    df = spark.createDataFrame([(1, 5), (2, 0)], "k long, v long")
+    down = lambda d: d.withColumn("v", F.greatest(F.col("v") - 2, F.lit(0)))
+    more = lambda d: d.withColumn("v", F.when(F.col("v") == 1, 0).otherwise(F.col("v")))
+    assert rows(iterate.run_passes(df, [down, more]), "k", "v") == [(1, 3), (2, 0)]
+    moved = lambda new, old: new.join(old.select("k", F.col("v").alias("w")), "k").filter("v <> w")
+    assert rows(iterate.run_passes(df, [down, more], moved), "k", "v") == [(1, 0), (2, 0)]
+
+
 def test_work_dir_needs_a_shared_folder(spark, monkeypatch):
     class Conf:
         def get(self, *_):

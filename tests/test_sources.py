@@ -104,6 +104,24 @@ def test_mapping_errors(spark):
         M.parse_mapping(spark.createDataFrame([head, ("f", 2, "c\tx\ty")], schema), "a", "zzz").collect()
 
 
+def test_mapping_escapes_and_descriptor_namespaces(spark):
+    schema = "file string, line long, value string"
+    text = ["tiny\t2\t0\traw\told\tnew", "\tescaped-names", "c\tr\ta/B\ta\\\\nX", "\tf\tLr;\tx\ty\tz", "\tm\t(Lr;)V\tq\tm\tk", "\t\tp\t1\t\t\targ"]
+    got = M.parse_mapping(spark.createDataFrame([("f", i + 1, v) for i, v in enumerate(text)], schema), "old", "new")
+    assert rows(got, "kind", "owner", "name", "descriptor", "target") == [
+        ("class", "a/B", None, None, "a\\nX"), ("field", "a/B", "y", "La/B;", "z"), ("method", "a/B", "m", "(La/B;)V", "k"),
+        ("param", "a/B", "m", "(La/B;)V", "arg")]
+    phases = rows(M.parameter_names_in_phases(got), "owner", "name", "descriptor")
+    assert len(phases) == 8 and ("a\\nX", "k", "(La\\nX;)V") in phases and ("a/B", "m", "(La/B;)V") in phases
+
+
+def test_contradicting_renames(spark):
+    schema = "file string, line long, value string"
+    text = ["tiny\t2\t0\ta\tb", "c\tx\ty", "c\tx\tz"]
+    with pytest.raises(Exception, match="contradicting"):
+        M.parse_mapping(spark.createDataFrame([("f", i + 1, v) for i, v in enumerate(text)], schema)).collect()
+
+
 def test_parameter_names(spark):
     df = spark.createDataFrame([("C m (JI)V a b",), ("C m (I)V",), ("short row here",)], "value string")
     assert rows(M.parse_parameter_names(df), "slot", "param") == [(0, "a"), (1, "a"), (2, "b")]
