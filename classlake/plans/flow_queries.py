@@ -265,7 +265,23 @@ def type_bounds(f):
     return D.type_bounds(block_types(f), f.edge, D.lattice(f.spark))
 
 
-@query("type_bound_conflicts")
+@query("type_bound_conflicts", f"""with {BOUND},
+ed as (select distinct unit, src, dst from v_edge),
+reach as (select unit, node as n, node as a from ty union select c.unit, c.n, e.src from reach c join ed e on e.unit = c.unit and e.dst = c.a),
+s as (select distinct r.unit, r.n, ty.type, fam.family from reach r join ty on ty.unit = r.unit and ty.node = r.a join fam on fam.type = ty.type),
+k as (select s.* from s join (select unit, n, max(family) as family from s group by all) m on m.unit = s.unit and m.n = s.n and m.family = s.family),
+ub as (select k.unit, k.n, le.hi from k join le on le.lo = k.type join (select unit, n, count(*) as c from k group by all) t
+  on t.unit = k.unit and t.n = k.n group by k.unit, k.n, le.hi, t.c having count(*) = t.c),
+low as (select ub.unit, ub.n, arg_min(ub.hi, wt.w) as low from ub join wt on wt.hi = ub.hi group by all),
+s2 as (select distinct r.unit, r.a as n, ty.type, fam.family from reach r join ty on ty.unit = r.unit and ty.node = r.n join fam on fam.type = ty.type),
+k2 as (select s2.* from s2 join (select unit, n, min(family) as family from s2 group by all) m on m.unit = s2.unit and m.n = s2.n and m.family = s2.family),
+lb as (select k2.unit, k2.n, le.lo from k2 join le on le.hi = k2.type join (select unit, n, count(*) as c from k2 group by all) t
+  on t.unit = k2.unit and t.n = k2.n group by k2.unit, k2.n, le.lo, t.c having count(*) = t.c),
+high as (select lb.unit, lb.n, arg_max(lb.lo, wt.w) as high from lb join wt on wt.hi = lb.lo group by all)
+select low.unit, low.n as node, low.low, high.high from low join high on high.unit = low.unit and high.n = low.n
+join fam a on a.type = low.low join fam b on b.type = high.high
+where a.family <> 6 and b.family <> 6 and (a.family > b.family or (a.family = b.family
+  and not exists (select 1 from le where le.lo = low.low and le.hi = high.high)))""")
 def type_bound_conflicts(f):
     table = D.lattice(f.spark)
     back = f.edge.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"))
