@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classlake.llm import decontaminate, language_id, secret_scan
+from classlake.llm import decontaminate, language_id, minhash_forest, secret_scan
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
         F.sha2(listed(F.filter("spans", lambda x: x["kind"] != "random")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"))
+
+
+# ---- 10: n-gram Jaccard join (tested against brute force; see the tests)
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.similar_classes(table(spark, sf_dir, "documents"))
