@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classlake.llm import decontaminate, language_id, minhash_forest, secret_scan
+from classlake.llm import decontaminate, language_id, maxscore, minhash_forest, mixture, preference, secret_scan, shared, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,135 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.similar_classes(table(spark, sf_dir, "documents"))
+
+
+# ---- 3: mixing sources to target weights
+MIX_DOMAINS = {"web": ("src0", "src1", "src2", "src3", "src4"), "books": ("src5", "src6", "src7", "src8", "src9"),
+               "code": ("src10", "src11", "src12", "src13", "src14")}
+MIX_WEIGHTS = {"domain": {"web": 40, "books": 25, "code": 20, "other": 15}, "lang": {"en": 5, "de": 3, "fr": 3, "es": 2},
+               "source": {"src0": 2, "src5": 3}}
+MIX_SHARE, MIX_EPOCHS = 0.5, 2
+
+
+def mix_domain(source: str = "source"):
+    out = F.lit("forum")
+    for name, sources in MIX_DOMAINS.items():
+        out = F.when(F.col(source).isin(*sources), name).otherwise(out)
+    return out
+
+
+def _case(column: str, weights: dict[str, int]) -> str:
+    whens = "".join(f" when '{k}' then {v}" for k, v in weights.items())
+    return f"case {column}{whens} else {weights.get('other', 1)} end"
+
+
+def _shared(nodes: str, parent: str, name: str) -> str:
+    return f"""
+      select *, least(capacity, floor(w * max(level) over (partition by {parent}))::bigint) given from (
+        select *, (budget - coalesce(sum(capacity) over (o rows between unbounded preceding and 1 preceding), 0))
+          / sum(w) over (o rows between current row and unbounded following)::double level
+        from (select *, {_case(name, MIX_WEIGHTS[name])} w from ({nodes}) where capacity > 0) where w > 0
+        window o as (partition by {parent} order by capacity / w::double, {name}))"""
+
+
+def mixture_sql(docs: str = "documents") -> str:
+    domain = "case " + "".join(
+        f"when source in ({', '.join(repr(x) for x in v)}) then '{k}' " for k, v in MIX_DOMAINS.items()) + "else 'forum' end"
+    top = _shared("select domain, sum(tokens)::bigint * {e} capacity, any_value(b) budget from leaf, total group by domain".format(
+        e=MIX_EPOCHS), "1", "domain")
+    langs = _shared(f"select l.domain, l.lang, sum(l.tokens)::bigint * {MIX_EPOCHS} capacity, any_value(t.given) budget "
+                    "from leaf l join top t using (domain) group by l.domain, l.lang", "domain", "lang")
+    ends = _shared(f"select l.*, l.tokens * {MIX_EPOCHS} capacity, t.given budget from leaf l join langs t using (domain, lang)",
+                   "domain, lang", "source")
+    return f"""
+with d as (
+  select * from (
+    select doc_id, {domain} as domain, coalesce(lang, 'none') lang, coalesce(source, 'none') source,
+      coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0)::bigint n_tokens from {docs}) where n_tokens > 0),
+leaf as (select domain, lang, source, sum(n_tokens)::bigint tokens from d group by all),
+total as (select floor(sum(tokens) * {MIX_SHARE})::bigint b from leaf),
+top as ({top}), langs as ({langs}), ends as ({ends}),
+plan as (select domain, lang, source, given // tokens f, given - (given // tokens) * tokens r from ends),
+run as (
+  select *, sum(n_tokens) over (partition by domain, lang, source order by k, n_tokens rows unbounded preceding) upto
+  from (select d.*, f, r, md5('{mixture.SEED}:' || f || ':' || coalesce(doc_id::varchar, '')) k
+        from d join plan using (domain, lang, source)))
+select doc_id, domain, lang, source, n_tokens, (f + case when upto <= r then 1 else 0 end)::bigint times
+from run where f + case when upto <= r then 1 else 0 end > 0"""
+
+
+@query("op3_mixture", mixture_sql())
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.choose(table(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS)
+
+
+# ---- 5: chat preference pairs
+PREFERENCE_SQL = """
+with c as (select conv_id pair_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+           where conv_id is not null),
+last as (select pair_id, max(turn) e from c where role = 'assistant' group by pair_id),
+ans as (select pair_id, turn e, max(text) answer from c join last using (pair_id)
+        where role = 'assistant' and turn = e group by all),
+a as (select pair_id, turn, role, text from c join last using (pair_id) where turn <= e),
+b as (select pair_id, turn, role, text from c join last using (pair_id) where turn < e
+      union all select l.pair_id, l.e, 'assistant', p.answer from last l join ans p on p.pair_id = xor(l.pair_id, 1)),
+an as (select *, row_number() over (partition by pair_id order by turn, role, text) - 1 pos from a),
+bn as (select *, row_number() over (partition by pair_id order by turn, role, text) - 1 pos from b),
+com as (select coalesce(an.pair_id, bn.pair_id) pair_id,
+          coalesce(min(case when an.role is distinct from bn.role or an.text is distinct from bn.text
+                       then coalesce(an.pos, bn.pos) end), max(coalesce(an.pos, bn.pos)) + 1) n_common
+        from an full join bn on an.pair_id = bn.pair_id and an.pos = bn.pos group by 1),
+s as (select 'a' side, * from an union all select 'b' side, * from bn),
+r as (select s.*, n_common, pos >= n_common rest, '<|im_start|>' || role || chr(10) h,
+        text || '<|im_end|>' t from s join com using (pair_id)),
+p as (select *, coalesce(sum(length(h) + length(t) + 1) over (partition by side, pair_id, rest order by pos
+        rows between unbounded preceding and 1 preceding), 0) + length(h) f from r),
+g as (select side, pair_id, rest, string_agg(h || t || chr(10), '' order by pos) txt,
+        string_agg(case when role = 'assistant' then f || '-' || (f + length(t)) end, ',' order by pos) spans
+      from p group by all)
+select com.pair_id conv_id, n_common::bigint n_common, coalesce(q.txt, '') prompt, coalesce(x.txt, '') chosen,
+  coalesce(x.spans, '') chosen_spans, coalesce(y.txt, '') rejected, coalesce(y.spans, '') rejected_spans
+from com left join g q on q.pair_id = com.pair_id and q.side = 'a' and not q.rest
+left join g x on x.pair_id = com.pair_id and x.side = 'a' and x.rest
+left join g y on y.pair_id = com.pair_id and y.side = 'b' and y.rest"""
+
+
+@query("op5_preference_pairs", PREFERENCE_SQL)
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = preference.contrasted(table(spark, sf_dir, "conversations"))
+    return preference.preference_pairs(chosen, rejected).withColumnRenamed("pair_id", "conv_id")
+
+
+# ---- 8: exact top-k inner products
+TOP_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) x from embeddings
+  where vec_id is not null and embedding is not null and list_count(embedding) = len(embedding)
+    and not list_bool_or(list_transform(embedding, lambda x: not isfinite(x)))),
+s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.x::double[], c.x::double[])::bigint score
+      from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, rank::int rank, vec_id, score from r where rank <= 5"""
+
+
+@query("op8_maxscore", TOP_SQL)
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.scaled(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+# ---- 9: web archives with revisit records
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, h, strlen(h) n, sha1(h) digest,
+        max(page_id) over (partition by h) last, count(*) over (partition by h) c from p)
+select page_id, n::bigint payload_bytes, digest payload_digest,
+  case when n >= 1000 and page_id <> last then 'revisit' else 'response' end record_type,
+  case when n >= 1000 and page_id <> last then last end refers_to from d"""
+
+
+@query("op9_warc", WARC_SQL)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.new_path(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.read_archives(spark, path, payloads=False))
