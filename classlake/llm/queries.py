@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classlake.llm import decontaminate, language_id, maxscore, minhash_forest, mixture, preference, secret_scan, shared, warc
+from classlake.llm import decontaminate, language_id, maxscore, minhash_forest, mixture, preference, secret_scan, shared, suffix_dedup, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +217,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.resolved(warc.read_archives(spark, path, payloads=False))
+
+
+# ---- 1: suffix-array dedup (tested against brute force; see the tests)
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
