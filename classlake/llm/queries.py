@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classlake.llm import decontaminate, language_id, maxscore, minhash_forest, mixture, preference, secret_scan, shared, suffix_dedup, warc
+from classlake.llm import decontaminate, katz, language_id, maxscore, minhash_forest, mixture, preference, secret_scan, shared, suffix_dedup, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +226,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ---- 6: scores under a Katz backoff model (tested against brute force; see the tests)
+@query("op6_katz_scores")
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = katz.katz_scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
