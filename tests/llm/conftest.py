@@ -1,0 +1,6 @@
+import pathlib
+import sys
+
+sys.path.insert(0, str(pathlib.Path(__file__).parent))
+
+from conftest_llm import documents, frame  # noqa: E402, F401
