@@ -183,7 +183,7 @@ def class_names(wanted: DataFrame, occupied: DataFrame, order: list[str]) -> Dat
     direct = rows.filter("_free").withColumn("new_name", F.col("_inner"))
     counted = counter_names(rows.filter("not _free"), occupied, order, "class_")
     counted = counted.withColumn(
-        "new_name", F.when(F.col("_rest") != "", F.concat("_inner", F.substring("new_name", 6, 1000)))
+        "new_name", F.when(F.col("_rest") != "", F.concat("_inner", F.substring(F.col("new_name"), F.lit(6), F.length("new_name"))))
         .otherwise(F.col("new_name")))
     return direct.unionByName(counted).drop("_rest", "_inner", "_free")
 
@@ -286,15 +286,11 @@ def apply_policy(names: DataFrame, decide: Callable[[DataFrame], Column], genera
     return changed.select(*names.columns, "new_name").unionByName(kept.select(*names.columns, "new_name"))
 
 
-def provide_names(variables: DataFrame, provider: Callable[[pd.DataFrame], pd.Series], largest: int = 65536) -> DataFrame:
+def provide_names(variables: DataFrame, provider: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
     """User-supplied naming per unit, as a grouped pandas function.
 
-    Units above ``largest`` variables (the format's own limit of slots) are an
-    error rather than one oversized task.
+    The provider sees all variables of a unit at once, so a unit is one group.
     """
-    big = variables.groupBy("unit").count().filter(F.col("count") > largest)
-    if not big.isEmpty():
-        raise ValueError(f"a unit holds more than {largest} variables")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c in ("var", "version") if c in pdf.columns])

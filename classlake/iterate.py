@@ -64,15 +64,10 @@ def cut(df: DataFrame) -> DataFrame:
     return _write(df)[0]
 
 
-# Above this many rows a round is bound by its data rather than by job latency.
-LARGE = 2_000_000
-
-
 def fixpoint(
     seed: DataFrame,
     step: Step,
     hops: int = 4,
-    max_rounds: int = 100_000,
     depth: str | None = None,
 ) -> DataFrame:
     """Least set of rows that holds ``seed`` and is closed under ``step``.
@@ -82,54 +77,34 @@ def fixpoint(
     ``depth`` names an output column for the least number of steps from the
     seed.
 
-    A small frontier is expanded ``hops`` times in one job, a large one once,
-    so that nothing is computed twice; only rows first seen in the last hop
-    feed the next round.  Once much is known, a round looks up just the known
-    rows its candidates hit (their side is broadcast when its files are small)
-    instead of shuffling all known rows against them.
+    A frontier is expanded ``hops`` times in one job; only rows first seen in
+    the last hop feed the next round.  Rounds go on until nothing is new.
     """
     cols = seed.columns
     out = cols if depth is None else [*cols, depth]
     spark = seed.sparkSession
     frontier = cut(seed.distinct())
-    size = frontier.count()
-    total, reached = size, 0
+    reached = 0
     known = [frontier if depth is None else frontier.withColumn(depth, F.lit(0).cast("long"))]
-    for _ in range(max_rounds):
-        if size == 0:
-            break
-        now = hops if size <= LARGE else 1
+    while True:
         layers = []
         current = frontier
-        for hop in range(now):
+        for hop in range(hops):
             current = step(current).select(cols).distinct()
             layers.append(current.withColumn("_hop", F.lit(hop)))
-        found = _union(layers)
-        if now > 1:
-            found = found.groupBy(*cols).agg(F.min("_hop").alias("_hop"))
+        found = _union(layers).groupBy(*cols).agg(F.min("_hop").alias("_hop"))
         if depth is not None:
             found = found.withColumn(depth, (F.col("_hop") + F.lit(reached + 1)).cast("long"))
         seen = _union(known).select(cols)
-        if total > LARGE:
-            found, found_path = _write(found)
-            hit = seen.join(found.select(cols), cols, "left_semi")
-            fresh, path = _write(found.join(hit, cols, "left_anti"))
-            _drop(spark, found_path)
-        else:
-            fresh, path = _write(found.join(seen, cols, "left_anti"))
-        reached += now
-        size = fresh.count()
-        if size == 0:
+        fresh, path = _write(found.join(seen, cols, "left_anti"))
+        reached += hops
+        if fresh.isEmpty():
             _drop(spark, path)
-            break
-        total += size
+            return _union(known)
         known.append(fresh.select(out))
         if len(known) > 24:
             known = [cut(_union(known))]
-        frontier = fresh.filter(F.col("_hop") == now - 1).select(cols)
-        if now > 1:
-            size = frontier.count()
-    return _union(known)
+        frontier = fresh.filter(F.col("_hop") == hops - 1).select(cols)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -145,7 +120,6 @@ def best_paths(
     keys: list[str],
     rank: str,
     hops: int = 3,
-    max_rounds: int = 100_000,
 ) -> DataFrame:
     """Like :func:`fixpoint`, but keeps one row per ``keys``: the least ``rank``.
 
@@ -168,15 +142,13 @@ def best_paths(
 
     known, known_path = _write(least(seed.select(cols), []))
     frontier = known
-    size = known.count()
-    for _ in range(max_rounds):
-        now = hops if size <= LARGE else 1
+    while True:
         layers = []
         current = frontier
-        for hop in range(now):
+        for hop in range(hops):
             current = least(step(current).select(cols), [])
             layers.append(current.withColumn("_hop", F.lit(hop)))
-        found = least(_union(layers), ["_hop"]) if now > 1 else layers[0]
+        found = least(_union(layers), ["_hop"])
         old = known.select(*keys, F.col(rank).alias("_old"))
         fresh, fresh_path = _write(
             found.join(old, keys, "left")
@@ -190,31 +162,26 @@ def best_paths(
         _drop(spark, known_path)
         known, known_path = merged, merged_path
         # earlier hops were already expanded with the rank they were found with
-        frontier = fresh.filter(F.col("_hop") == now - 1).select(cols)
-        size = frontier.count()
-        if size == 0:
+        frontier = fresh.filter(F.col("_hop") == hops - 1).select(cols)
+        if frontier.isEmpty():
             return known
-    raise RuntimeError("best_paths did not settle within max_rounds")
 
 
-def converge(state: DataFrame, step: Step, changed: Callable[[DataFrame, DataFrame], DataFrame],
-             max_rounds: int = 100_000) -> DataFrame:
+def converge(state: DataFrame, step: Step, changed: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Apply ``step`` until ``changed(new, old)`` yields no row."""
     spark = state.sparkSession
     current, path = _write(state)
-    for _ in range(max_rounds):
+    while True:
         following, new_path = _write(step(current))
         still = not changed(following, current).isEmpty()
         _drop(spark, path)
         current, path = following, new_path
         if not still:
             return current
-    raise RuntimeError("converge did not settle within max_rounds")
 
 
 def run_passes(state: DataFrame, passes: list[Step],
-               changed: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
-               max_rounds: int = 100_000) -> DataFrame:
+               changed: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """User-supplied passes over a frame, in order; with ``changed`` the whole
     chain repeats until that yields no row."""
 
@@ -223,7 +190,7 @@ def run_passes(state: DataFrame, passes: list[Step],
             df = df.transform(one)
         return df
 
-    return once(state) if changed is None else converge(state, once, changed, max_rounds)
+    return once(state) if changed is None else converge(state, once, changed)
 
 
 def pointer_double(links: DataFrame, keys: list[str], node: str, target: str) -> DataFrame:
@@ -253,6 +220,28 @@ def pointer_double(links: DataFrame, keys: list[str], node: str, target: str) ->
     ).select(cols)
 
 
+def chain_starts(links: DataFrame, keys: list[str], node: str, target: str) -> DataFrame:
+    """Where functional links end: (keys, node, target); nodes whose links lead into a cycle are left out.
+
+    Doubles the length of every hop, so n links in a row take log2(n) rounds;
+    what still moves after that is on the way into a cycle.
+    """
+    current, path = _write(links.select(*keys, node, target))
+    spark = links.sparkSession
+    for _ in range(current.count().bit_length()):
+        ahead = current.select(*keys, F.col(node).alias(target), F.col(target).alias("_t2"))
+        moved, new_path = _write(
+            current.join(ahead, [*keys, target], "left")
+            .select(*keys, node, F.coalesce("_t2", target).alias(target), F.col("_t2").isNotNull().alias("_moved")))
+        still = not moved.filter("_moved").isEmpty()
+        _drop(spark, path)
+        current, path = moved.drop("_moved"), new_path
+        if not still:
+            break
+    linked = links.select(*keys, F.col(node).alias(target))
+    return current.join(linked, [*keys, target], "left_anti").select(*keys, node, target)
+
+
 def looping(links: DataFrame, keys: list[str], node: str, target: str) -> DataFrame:
     """Nodes of a functional graph whose chain never ends: (keys, node).
 

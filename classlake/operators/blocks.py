@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from classlake.scan import running_sum
 
-BLOCK_ENDS = ["jump", "goto", "return"]
-NO_FALL_THROUGH = ["return", "goto"]
+BLOCK_ENDS = ["jump", "goto", "return", "switch"]
+NO_FALL_THROUGH = ["return", "goto", "switch"]
 
 
 def leaders(instr: DataFrame, jumps: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -46,13 +46,15 @@ def last_instructions(blocks: DataFrame) -> DataFrame:
 
 
 def block_edges(blocks: DataFrame, jumps: DataFrame) -> DataFrame:
-    """Successors of each block: jump target (ord 0) before fall-through (ord 1)."""
+    """Successors of each block: jump target (ord 0) before fall-through (ord 1); the targets of a
+    switch by the ``ord`` of ``jumps``, its default first, and no fall-through."""
+    order = F.col("ord") if "ord" in jumps.columns else F.lit(0)
     last = last_instructions(blocks)
     at = blocks.select("unit", F.col("idx").alias("_at"), F.col("block").alias("dst"))
     jumped = (
-        last.join(jumps.select("unit", "idx", F.col("dest").alias("_at")), ["unit", "idx"])
+        last.join(jumps.select("unit", "idx", F.col("dest").alias("_at"), order.alias("ord")), ["unit", "idx"])
         .join(at, ["unit", "_at"])
-        .select("unit", F.col("block").alias("src"), "dst", F.lit(0).alias("ord"))
+        .select("unit", F.col("block").alias("src"), "dst", "ord")
     )
     fallen = (
         last.filter(~F.col("op").isin(NO_FALL_THROUGH))

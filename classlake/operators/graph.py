@@ -28,19 +28,37 @@ def entries_of(nodes: DataFrame) -> DataFrame:
 
 def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None,
               depth: str | None = None) -> DataFrame:
-    """(unit, node) reachable from the entries of the unit."""
+    """(unit, node) reachable from the entries of the unit.
+
+    Nodes with one predecessor are folded into the node where their chain of
+    only predecessors begins, in logarithmically many rounds, so the search
+    itself walks over the other nodes alone.  With ``depth`` the distance is
+    wanted and every step is walked.
+    """
     out = cut(arcs(edges))
     seed = (entries_of(nodes) if entries is None else entries).select("unit", "node")
-    return fixpoint(
-        seed,
-        lambda f: f.join(out, ["unit", "node"]).select("unit", F.col("_to").alias("node")),
-        depth=depth,
-    )
-
-
-def drop_dead(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges left after removing everything unreachable."""
-    live = cut(reachable(nodes, edges))
+    walk = lambda to: lambda f: f.join(to, ["unit", "node"]).select("unit", F.col("_to").alias("node"))
+    if depth is not None:
+        return fixpoint(seed, walk(out), depth=depth)
+    single = (
+        out.filter("node <> _to").groupBy("unit", F.col("_to").alias("n"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("p")).filter("_n = 1").select("unit", "n", "p")
+        .join(seed.withColumnRenamed("node", "n"), ["unit", "n"], "left_anti"))
+    folds = iterate.chain_starts(cut(single), ["unit"], "n", "p")
+    start = folds.select("unit", F.col("n").alias("node"), F.col("p").alias("_start"))
+    folded = (
+        out.join(single.select("unit", F.col("n").alias("_to")), ["unit", "_to"], "left_anti")
+        .join(start, ["unit", "node"], "left")
+        .select("unit", F.coalesce("_start", "node").alias("node"), "_to").filter("node <> _to").distinct())
+    found = cut(fixpoint(seed, walk(cut(folded))))
+    inner = folds.select("unit", "n", F.col("p").alias("node")).join(found, ["unit", "node"]).select(
+        "unit", F.col("n").alias("node"))
+    return found.unionByName(inner)
+
+
+def drop_dead(nodes: DataFrame, edges: DataFrame, flow: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges left after removing everything that ``flow`` (or ``edges``) does not reach."""
+    live = cut(reachable(nodes, edges if flow is None else flow))
     kept = edges.join(live.withColumnRenamed("node", "src"), ["unit", "src"], "left_semi")
     return live, cut(kept)
 
@@ -305,21 +323,18 @@ def split_once(nodes: DataFrame, edges: DataFrame, sizes: DataFrame,
     return (nodes.unionByName(more), into.unionByName(outof).distinct(), sizes.unionByName(size))
 
 
-def split_irreducible(nodes: DataFrame, edges: DataFrame, sizes: DataFrame,
-                      max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def split_irreducible(nodes: DataFrame, edges: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split nodes until every unit is reducible: (nodes, edges).
 
-    Expects a graph without dead nodes.  Splitting can grow a unit, so the
-    number of rounds is capped and running out of rounds is an error.
+    Expects a graph without dead nodes; goes on until no unit is left over.
     """
     edges = edges.select("unit", "src", "dst").distinct()
-    for _ in range(max_rounds):
+    while True:
         nodes, edges, sizes = cut(nodes), cut(edges), cut(sizes)
         bad = cut(irreducible_units(edges))
         if bad.isEmpty():
             return nodes, edges
         nodes, edges, sizes = split_once(nodes, edges, sizes, bad)
-    raise RuntimeError("units still irreducible after max_rounds splits")
 
 
 # ---------------------------------------------------------------- export, audit

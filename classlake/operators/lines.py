@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from classlake.scan import first_by, interval_join, last_seen, running_max
@@ -98,6 +100,28 @@ def text_position(text: Column, index: Column) -> Column:
     return F.concat_ws(":", line.cast("string"), (index + 1 - start).cast("string"))
 
 
+def mark_positions(texts: DataFrame, mark: str) -> DataFrame:
+    """(class, start, pos) of every ``mark`` in ``texts(class, text)``, pos as :func:`text_position` has it.
+
+    A text is taken apart into lines, and a line at the marks; running sums
+    over the pieces give the places, so a long text costs no more per mark.
+    """
+    before = Window.partitionBy("class").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    lines = texts.select("class", F.posexplode(F.split("text", "\n")).alias("i", "s")).select(
+        "class", "i", "s", F.coalesce(F.sum(F.length("s") + 1).over(before), F.lit(0)).alias("_begin"),
+        F.max(F.when(F.col("s") != "", F.col("i") + 1)).over(before).alias("_filled"))
+    pieces = lines.select(
+        "class", "i", "_begin", "_filled", (F.size(F.split("s", re.escape(mark))) - 1).alias("_marks"),
+        F.posexplode(F.split("s", re.escape(mark))).alias("k", "piece"))
+    upto = Window.partitionBy("class", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.sum(F.length("piece") + len(mark)).over(upto) - len(mark)
+    found = pieces.withColumn("_at", at).filter("k < _marks")
+    line = F.when((F.col("_at") > 0) | (F.col("_begin") == 0), F.col("i") + 1).otherwise(F.coalesce("_filled", F.lit(0)))
+    return found.select(
+        "class", (F.col("_begin") + F.col("_at")).cast("long").alias("start"),
+        F.concat_ws(":", line.cast("string"), (F.col("_at") + 1).cast("string")).alias("pos"))
+
+
 def token_links(tokens: DataFrame) -> DataFrame:
     """References with the first declaration of their target.
 

@@ -46,6 +46,7 @@ class Facts:
             .when(F.col("event_type") == "purchase", "call")
             .when(F.col("event_type") == "signup", "store")
             .when(F.col("event_type") == "click", "load")
+            .when(F.col("event_id") % 7 == 0, "switch")
             .otherwise("general")
         )
         return cut(r.join(size, "user_id").select(
@@ -54,8 +55,13 @@ class Facts:
 
     @cached_property
     def jump(self) -> DataFrame:
-        return self.seq.filter(F.col("op").isin("jump", "goto")).select(
-            "unit", "idx", (F.col("event_id") % F.col("n")).alias("dest"))
+        """Targets in order; a switch has its default first, then its cases."""
+        e, n = F.col("event_id"), F.col("n")
+        to = lambda k, dest: F.struct(F.lit(k).alias("ord"), dest.alias("dest"))
+        targets = F.when(F.col("op") == "switch", F.array(to(0, (e * 3 + 1) % n), to(1, e % n), to(2, (e * 5 + 2) % n))).otherwise(
+            F.array(to(0, e % n)))
+        return self.seq.filter(F.col("op").isin("jump", "goto", "switch")).select(
+            "unit", "idx", F.explode(targets).alias("t")).select("unit", "idx", "t.ord", "t.dest")
 
     @cached_property
     def range(self) -> DataFrame:
@@ -109,7 +115,7 @@ class Facts:
 
     @cached_property
     def member(self) -> DataFrame:
-        l = self.table("lineitem").filter("l_orderkey % 5 = 0")
+        l = self.table("lineitem")
         return (
             l.groupBy(
                 F.col("l_partkey").alias("class"),
@@ -154,7 +160,7 @@ class Facts:
 
     @cached_property
     def ref(self) -> DataFrame:
-        l = self.table("lineitem").filter("l_orderkey % 30 = 0").select(
+        l = self.table("lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
             "l_returnflag", "l_linestatus")
         placed = cut(ranked(
@@ -239,7 +245,5 @@ class Facts:
             F.col("conv_id").alias("file"), F.col("turn").alias("line"), "role", "text")
 
     @cached_property
-    def tok(self) -> DataFrame:
-        return self.table("documents").filter(F.instr("text", ".") > 0).select(
-            F.col("doc_id").alias("class"), (F.instr("text", ".") - 1).cast("long").alias("start"),
-            F.lit(1).cast("long").alias("length"), "text")
+    def text(self) -> DataFrame:
+        return self.table("documents").select(F.col("doc_id").alias("class"), "text")

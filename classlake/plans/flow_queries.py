@@ -128,21 +128,21 @@ h as (select *, regexp_replace(before, '\n+$', '') as head from b)
 select class, start, concat(cast(case when before = '' then 1 when head = '' then 0 else length(head) - length(replace(head, chr(10), '')) + 1 end as varchar), ':',
   cast(start + 1 - case when instr(reverse(before), chr(10)) = 0 then 0 else length(before) - instr(reverse(before), chr(10)) + 1 end as varchar)) as pos from h""")
 def text_positions(f):
-    return f.tok.select("class", "start", L.text_position(F.col("text"), F.col("start")).alias("pos"))
+    return L.mark_positions(f.text, ".")
 
 
 @query("token_links", """
-with t as (select d.doc_id as class, d.lang as kind, d.source as owner, substr(d.text, 1, 2) as name, d.doc_id % 4 = 0 as is_decl,
-  cast(instr(d.text, '.') as bigint) as start from documents d)
-select r.class, r.start, r.kind, r.owner, r.name, (select min(x.class) from t x where x.is_decl and x.kind = r.kind and x.owner = r.owner and x.name = r.name) as decl_class
-from t r where not r.is_decl""")
+with t as (select doc_id as class, lang as kind, source as owner, unnest(string_split(text, ' ')) as name, doc_id % 4 = 0 as is_decl,
+  cast(unnest(range(len(string_split(text, ' ')))) as bigint) as start from documents),
+d as (select kind, owner, name, min(class) as decl_class from t where is_decl group by all)
+select r.class, r.start, r.kind, r.owner, r.name, d.decl_class from t r
+left join d on d.kind = r.kind and d.owner = r.owner and d.name = r.name where not r.is_decl""")
 def token_links(f):
     d = f.table("documents")
     tokens = d.select(
-        F.col("doc_id").alias("class"), F.instr("text", ".").cast("long").alias("start"), F.col("lang").alias("kind"),
-        (F.col("doc_id") % 4 == 0).alias("is_decl"), F.col("source").alias("owner"),
-        F.substring("text", 1, 2).alias("name"), F.lit("").alias("descriptor"))
-    return L.token_links(tokens).select("class", "start", "kind", "owner", "name", "decl_class")
+        F.col("doc_id").alias("class"), F.col("lang").alias("kind"), (F.col("doc_id") % 4 == 0).alias("is_decl"),
+        F.col("source").alias("owner"), F.posexplode(F.split("text", " ")).alias("start", "name"), F.lit("").alias("descriptor"))
+    return L.token_links(tokens.withColumn("start", F.col("start").cast("long"))).select("class", "start", "kind", "owner", "name", "decl_class")
 
 
 # ---------------------------------------------------------------- data flow
@@ -291,9 +291,10 @@ def type_bound_conflicts(f):
 
 @query("type_join", f"""with {BOUND},
 e as (select distinct unit, src, dst from v_edge),
-p as (select e.*, a.type as a, b.type as b from e join ty a on a.unit = e.unit and a.node = e.src join ty b on b.unit = e.unit and b.node = e.dst
-  join fam x on x.type = a.type join fam y on y.type = b.type where x.family = y.family)
-select p.unit, p.src, p.dst, exists (select 1 from le where le.lo = p.b and le.hi = p.a) and p.a <> p.b as a_above_b,
+p as (select e.*, a.type as a, b.type as b, x.family = y.family as same from e
+  join ty a on a.unit = e.unit and a.node = e.src join ty b on b.unit = e.unit and b.node = e.dst
+  join fam x on x.type = a.type join fam y on y.type = b.type)
+select p.unit, p.src, p.dst, case when p.same then exists (select 1 from le where le.lo = p.b and le.hi = p.a) and p.a <> p.b end as a_above_b,
   (select arg_min(u.hi, wt.w) from le u join le v on v.hi = u.hi join wt on wt.hi = u.hi where u.lo = p.a and v.lo = p.b) as "join",
   (select arg_max(u.lo, wt.w) from le u join le v on v.lo = u.lo join wt on wt.hi = u.lo where u.hi = p.a and v.hi = p.b) as meet from p""")
 def type_join(f):
@@ -301,7 +302,7 @@ def type_join(f):
     a = types.select("unit", F.col("node").alias("src"), F.col("type").alias("a"))
     b = types.select("unit", F.col("node").alias("dst"), F.col("type").alias("b"))
     edges = f.edge.select("unit", "src", "dst").distinct().join(a, ["unit", "src"]).join(b, ["unit", "dst"])
-    return edges.join(D.pairwise(D.lattice(f.spark)), ["a", "b"]).select(
+    return edges.join(D.pairwise(D.lattice(f.spark)), ["a", "b"], "left").select(
         "unit", "src", "dst", "a_above_b", "join", "meet")
 
 
@@ -502,15 +503,14 @@ def append_chains(f):
 
 
 @query("agreeing_parameters", """
-with l as (select unit % 10 as grp, unit as list, idx as pos, 3 + unit % 3 as size, op as value from v_seq where idx < 3 + unit % 3 and n >= 6),
+with l as (select unit % 10 as grp, unit as list, idx as pos, n as size, op as value from v_seq),
 p as (select *, case when pos = 0 then -1 else size - pos end as place from l),
 t as (select grp, count(distinct list) as lists, min(list) as list from l group by grp),
 s as (select grp, place, count(*) as n, count(distinct value) as d from p group by all)
 select p.grp, p.pos, case when s.n = t.lists and s.d = 1 then p.value end as value from p
 join t on t.grp = p.grp and t.list = p.list join s on s.grp = p.grp and s.place = p.place""")
 def agreeing_parameters(f):
-    size = 3 + F.col("unit") % 3
-    lists = f.seq.filter("n >= 6").filter(F.col("idx") < size).select(
+    lists = f.seq.select(
         (F.col("unit") % 10).alias("grp"), F.col("unit").alias("list"), F.col("idx").alias("pos"),
-        size.alias("size"), F.col("op").alias("value"))
+        F.col("n").alias("size"), F.col("op").alias("value"))
     return R.agreeing_positions(lists, "grp")

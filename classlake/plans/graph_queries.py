@@ -12,25 +12,37 @@ from classlake.operators import ranges as R
 from classlake.plans.registry import query
 
 
+def handler_edges(f):
+    if not hasattr(f, "_exc_edges"):
+        f._exc_edges = cut(R.exception_edges(f.block, f.range))
+    return f._exc_edges
+
+
+def flow(f):
+    """Regular and exception successors: (unit, src, dst)."""
+    if not hasattr(f, "_flow"):
+        f._flow = cut(R.all_edges(f.edge, handler_edges(f)).select("unit", "src", "dst").distinct())
+    return f._flow
+
+
 def live_graph(f):
+    """Nodes that either kind of successor reaches, and the regular edges among them."""
     if not hasattr(f, "_live"):
-        f._live = G.drop_dead(f.node, f.edge)
+        f._live = G.drop_dead(f.node, f.edge, flow(f))
     return f._live
 
 
+def live_flow(f):
+    return flow(f).join(live_graph(f)[0].withColumnRenamed("node", "src"), ["unit", "src"], "left_semi")
+
+
 def live_dominators(f):
+    """Dominators with exception predecessors."""
     if not hasattr(f, "_dom"):
-        nodes, edges = live_graph(f)
-        f._dom = cut(G.dominators(nodes, edges))
+        f._dom = cut(G.dominators(live_graph(f)[0], live_flow(f)))
     return f._dom
 
 
-def handler_edges(f):
-    if not hasattr(f, "_exc_edges"):
-        f._exc_edges = cut(R.exception_edges(f.block, f.range))
-    return f._exc_edges
-
-
 def block_sizes(f):
     return f.block.groupBy("unit", F.col("block").alias("node")).agg(F.count(F.lit(1)).alias("size"))
 
@@ -63,7 +75,7 @@ def block_edges(f):
 
 @query("reachable_blocks", "select unit, node from o_reach")
 def reachable_blocks(f):
-    return G.reachable(f.node, f.edge)
+    return G.reachable(f.node, flow(f))
 
 
 @query("graph_summary", """
@@ -73,7 +85,7 @@ join (select unit, count(*) as live from o_reach group by unit) r on r.unit = b.
 left join (select unit, count(*) as edges from v_edge group by unit) e on e.unit = b.unit""")
 def graph_summary(f):
     blocks = f.node.groupBy("unit").agg(F.count(F.lit(1)).alias("blocks"))
-    live = G.reachable(f.node, f.edge).groupBy("unit").agg(F.count(F.lit(1)).alias("live"))
+    live = G.reachable(f.node, flow(f)).groupBy("unit").agg(F.count(F.lit(1)).alias("live"))
     edges = f.edge.groupBy("unit").agg(F.count(F.lit(1)).alias("edges"))
     return (
         blocks.join(live, "unit").join(edges, "unit", "left")
@@ -89,7 +101,7 @@ def dead_block_removal(f):
 @query("unreachable_blocks", """
 select unit, node from v_node n where not exists (select 1 from o_reach r where r.unit = n.unit and r.node = n.node)""")
 def unreachable_blocks(f):
-    return G.unreachable(f.node, f.edge)
+    return G.unreachable(f.node, flow(f))
 
 
 @query("virtual_exit_edges", """
@@ -147,8 +159,7 @@ def chain_merge(f):
 
 @query("dominator_pairs", "select unit, n, d from o_dom")
 def dominator_pairs(f):
-    nodes, edges = live_graph(f)
-    return G.dominators(nodes, edges)
+    return G.dominators(live_graph(f)[0], live_flow(f))
 
 
 @query("immediate_dominators", """
@@ -156,8 +167,7 @@ with c as (select unit, n, count(*) as k from o_dom group by unit, n)
 select o.unit, o.n as node, arg_max(o.d, c.k) as idom from o_dom o
 join c on c.unit = o.unit and c.n = o.d where o.n <> o.d group by o.unit, o.n""")
 def immediate_dominators(f):
-    nodes, edges = live_graph(f)
-    return G.immediate_dominators(nodes, edges)
+    return G.immediate_dominators(live_graph(f)[0], live_flow(f))
 
 
 @query("post_dominators", """
@@ -184,25 +194,23 @@ def back_edges(f):
 
 LOOPS = """
 body as (select unit, dst as head, src as node from o_back union select unit, dst, dst from o_back
-  union select b.unit, b.head, e.src from body b join o_live_edge e on e.unit = b.unit and e.dst = b.node
+  union select b.unit, b.head, e.src from body b join o_live_flow e on e.unit = b.unit and e.dst = b.node
   where b.node <> b.head)"""
 
 
 @query("natural_loops", f"with {LOOPS} select unit, head, node from body")
 def natural_loops(f):
-    edges = live_graph(f)[1]
-    return G.natural_loops(edges, G.back_edges(edges, live_dominators(f)))
+    return G.natural_loops(live_flow(f), G.back_edges(live_graph(f)[1], live_dominators(f)))
 
 
 @query("loop_depth", f"with {LOOPS} select unit, node, count(*) as depth from body group by unit, node")
 def loop_depth(f):
-    edges = live_graph(f)[1]
-    return G.loop_depth(G.natural_loops(edges, G.back_edges(edges, live_dominators(f))))
+    return G.loop_depth(G.natural_loops(live_flow(f), G.back_edges(live_graph(f)[1], live_dominators(f))))
 
 
 @query("irreducible_units", "select unit from o_irreducible")
 def irreducible_units(f):
-    return G.irreducible_units(live_graph(f)[1])
+    return G.irreducible_units(live_graph(f)[1], handler_edges(f))
 
 
 CANDIDATE = """
@@ -235,7 +243,7 @@ union select i.unit, ch.copy, i.dst from into_ i join ch on ch.unit = i.unit and
 def node_split_once(f):
     nodes, edges = live_graph(f)
     plain = edges.select("unit", "src", "dst").distinct()
-    bad = cut(G.irreducible_units(edges))
+    bad = cut(G.irreducible_units(edges, handler_edges(f)))
     return G.split_once(nodes, plain, block_sizes(f), bad)[1]
 
 

@@ -45,7 +45,7 @@ def invalid_names(f):
 
 
 @query("counter_class_names", """
-with wanted as (select ord, case when ord % 4 = 0 then concat(cast(ord % 50 as varchar), word) else word end as name from v_name where ord % 3 = 0),
+with wanted as (select ord, case when ord % 4 = 0 then concat(cast(ord % 50 as varchar), word) else word end as name from v_name),
 held as (select concat('class_', cast((ord * 7) % 500 as varchar)) as name from v_name where ord % 5 = 0
   union select concat('Inner', word) from v_name where ord % 97 = 0),
 r as (select *, regexp_extract(name, '^[0-9]+([^0-9].*)$', 1) as rest from wanted),
@@ -56,7 +56,7 @@ num as (select k.ord, k.name, k.rest, k.k + (select count(*) from tk where tk.o
 select ord, name, concat('Inner', rest) as new_name from d where free
 union all select ord, name, case when rest <> '' then concat('Inner', rest, '_', cast(n as varchar)) else concat('class_', cast(n as varchar)) end from num""")
 def counter_class_names(f):
-    wanted = f.name.filter("ord % 3 = 0").select("ord", F.when(
+    wanted = f.name.select("ord", F.when(
         F.col("ord") % 4 == 0, F.concat((F.col("ord") % 50).cast("string"), "word")).otherwise(F.col("word")).alias("name"))
     held = f.name.filter("ord % 5 = 0").select(
         F.concat(F.lit("class_"), ((F.col("ord") * 7) % 500).cast("string")).alias("name"))
@@ -187,12 +187,12 @@ def package_names(f):
 
 
 @query("remapped_descriptors", """
-with ren as (select concat('c', cast(owner as varchar)) as old, target as new from v_map where kind = 'class' and owner < 100)
+with ren as (select concat('c', cast(owner as varchar)) as old, target as new from v_map where kind = 'class')
 select m.class, m.name, m.params, m.ret, concat('(IJ[Lp/c', cast(m.class as varchar), ';D[[Z)L',
   coalesce(r.new, concat('c', cast(m.class % 100 as varchar))), ';') as mapped
 from v_member m left join ren r on r.old = concat('c', cast(m.class % 100 as varchar))""")
 def remapped_descriptors(f):
-    renames = f.map.filter("kind = 'class' and owner < 100").select(
+    renames = f.map.filter("kind = 'class'").select(
         F.concat(F.lit("c"), F.col("owner").cast("string")).alias("old"), F.col("target").alias("new"))
     return D.remap_descriptors(described(f), "descriptor", renames, "mapped").select(*KEY, "mapped")
 
@@ -270,11 +270,11 @@ def family_renaming(f):
 
 
 @query("field_keepers", """
-select d.node, m.name, arg_min(m.class, (h.is_iface, d.path, m.ord, m.params, m.ret)) as keeper, count(*) as fields
-from o_dfs d join v_member m on m.class = d.anc and m.params = '(A)' and m.ret = 'F' join v_hier h on h.node = m.class
-group by d.node, m.name having count(*) > 1""")
+select d.node, concat(m.name, m.params, m.ret) as name, arg_min(m.class, (h.is_iface, d.path, m.ord)) as keeper, count(*) as fields
+from o_dfs d join v_member m on m.class = d.anc join v_hier h on h.node = m.class
+group by d.node, concat(m.name, m.params, m.ret) having count(*) > 1""")
 def field_keepers(f):
-    fields = f.member.filter("params = '(A)' and ret = 'F'").join(
+    fields = f.member.withColumn("name", F.concat("name", "params", "ret")).join(
         f.hier.select(F.col("node").alias("class"), F.col("is_iface").alias("in_iface")), "class")
     return R.field_keepers(fields.select("class", "name", "ord", "in_iface"), f.depth_first)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from classlake.operators import blocks as B
 from classlake.operators import ranges as R
-from classlake.plans.graph_queries import handler_edges, live_dominators, live_graph
+from classlake.plans.graph_queries import handler_edges, live_dominators, live_flow
 from classlake.plans.registry import query
 
 
@@ -106,10 +106,7 @@ select w.* from w where (select count(*) from w k where k.unit = w.unit and k.fr
     < (select count(*) from o_member_of m where m.unit = w.unit and m.from_idx = w.from_idx and m.to_idx = w.to_idx and m.handler_idx = w.handler_idx)
   or (select count(*) from o_member_of m where m.unit = w.unit and m.from_idx = w.from_idx and m.to_idx = w.to_idx and m.handler_idx = w.handler_idx) = 1""")
 def circular_range_parts(f):
-    nodes, edges = live_graph(f)
-    exceptional = handler_edges(f).join(nodes.withColumnRenamed("node", "src"), ["unit", "src"], "left_semi")
-    both = R.all_edges(edges, exceptional).select("unit", "src", "dst").distinct()
-    return R.circular_parts(f.block, f.range, both, live_dominators(f))
+    return R.circular_parts(f.block, f.range, live_flow(f), live_dominators(f))
 
 
 @query("empty_ranges", """

@@ -18,10 +18,14 @@ select user_id as unit, row_number() over (partition by user_id order by ts, eve
   count(*) over (partition by user_id) as n, event_id,
   case when event_type = 'error' and event_id % 3 = 0 then 'goto' when event_type = 'error' then 'jump'
        when event_type = 'purchase' and event_id % 5 = 0 then 'return' when event_type = 'purchase' then 'call'
-       when event_type = 'signup' then 'store' when event_type = 'click' then 'load' else 'general' end as op,
+       when event_type = 'signup' then 'store' when event_type = 'click' then 'load' when event_id % 7 = 0 then 'switch' else 'general' end as op,
   event_id % 4 as slot
 from events""",
-    "v_jump": "select unit, idx, event_id % n as dest from v_seq where op in ('jump', 'goto')",
+    "v_jump": """
+select unit, idx, 0 as ord, event_id % n as dest from v_seq where op in ('jump', 'goto')
+union all select unit, idx, 0, (event_id * 3 + 1) % n from v_seq where op = 'switch'
+union all select unit, idx, 1, event_id % n from v_seq where op = 'switch'
+union all select unit, idx, 2, (event_id * 5 + 2) % n from v_seq where op = 'switch'""",
     "v_range": """
 select unit, idx as from_idx, least(idx + 5, n) as to_idx, (idx * 3 + 7) % n as handler_idx,
   concat('E', cast(event_id % 3 as string)) as exc_type
@@ -34,7 +38,7 @@ select unit, idx, n, event_id, op, slot,
   cast(sum(f) over (partition by unit order by idx rows between unbounded preceding and current row) as bigint) as block
 from (
   select s.*, case when s.idx = 0
-      or lag(s.op) over (partition by s.unit order by s.idx) in ('jump', 'goto', 'return')
+      or lag(s.op) over (partition by s.unit order by s.idx) in ('jump', 'goto', 'return', 'switch')
       or j.dest is not null or b.b is not null then 1 else 0 end as f
   from v_seq s
   left join (select distinct unit, dest from v_jump) j on s.unit = j.unit and s.idx = j.dest
@@ -43,11 +47,11 @@ from (
     "v_last": """
 select unit, block, max(idx) as idx, arg_max(op, idx) as op from v_block group by unit, block""",
     "v_edge": """
-select l.unit, l.block as src, t.block as dst, 0 as ord from v_last l
+select l.unit, l.block as src, t.block as dst, j.ord as ord from v_last l
   join v_jump j on l.unit = j.unit and l.idx = j.idx join v_block t on t.unit = j.unit and t.idx = j.dest
 union
 select l.unit, l.block, t.block, 1 from v_last l join v_block t on t.unit = l.unit and t.idx = l.idx + 1
-where l.op not in ('return', 'goto')""",
+where l.op not in ('return', 'goto', 'switch')""",
     "v_node": "select distinct unit, block as node from v_block",
     "v_hier": """
 select p_partkey as node, cast(floor(p_partkey / 2) as bigint) as super,
@@ -62,7 +66,7 @@ union all select node, iface, 1 from v_hier where iface is not null""",
 select l_partkey as class, concat('m', cast(l_linenumber as string)) as name,
   concat('(', l_returnflag, ')') as params, l_linestatus as ret,
   min(l_suppkey % 4) as access, min(l_orderkey) as ord
-from lineitem where l_orderkey % 5 = 0
+from lineitem
 group by l_partkey, l_linenumber, l_returnflag, l_linestatus""",
     "v_method": """
 select m.class, m.name, m.params, m.ret, m.ord, h.is_iface as in_iface,
@@ -81,7 +85,7 @@ select distinct caller, owner, name, params, ret from (
   select l_partkey as caller,
     lead(l_partkey) over w as owner, concat('m', cast(lead(l_linenumber) over w as string)) as name,
     concat('(', lead(l_returnflag) over w, ')') as params, lead(l_linestatus) over w as ret
-  from lineitem where l_orderkey % 30 = 0
+  from lineitem
   window w as (partition by l_orderkey
     order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) q
 where owner is not null and owner <> caller""",
@@ -111,7 +115,9 @@ select p_partkey as ord, p_brand as scope, p_name as raw, replace(p_name, ' ', '
   split_part(p_name, ' ', 1) as word from part""",
     "v_turn": "select conv_id as file, turn as line, role, text from conversations",
     "v_tok": """
-select doc_id as class, instr(text, '.') - 1 as start, 1 as length, text from documents where instr(text, '.') > 0""",
+select class, text, cast(unnest(list_transform(range(1, len(p)), lambda k:
+  list_sum(list_transform(p[1:k], lambda s: length(s))) + k - 1)) as bigint) as start
+from (select doc_id as class, text, string_split(text, '.') as p from documents) q""",
     # closures and graph answers several oracles share
     "o_up": """
 select node, node as anc from v_hier union select o_up.node, p.parent from o_up join v_parent p on p.node = o_up.anc""",
@@ -152,13 +158,15 @@ select r.owner, r.name, r.params, r.ret, arg_min(m.class, d.path) as found
 from (select distinct owner, name, params, ret from v_ref) r join o_dfs d on d.node = r.owner
 join v_member m on m.class = d.anc and m.name = r.name and m.params = r.params and m.ret = r.ret
 group by r.owner, r.name, r.params, r.ret""",
+    # regular and exception successors, as the search for dead blocks and the dominators follow them
+    "o_flow": "select unit, src, dst from v_edge union select unit, src, dst from o_exc_edge",
     "o_reach": """
 select distinct unit, cast(1 as bigint) as node from v_block
-union select e.unit, e.dst from o_reach r join v_edge e on e.unit = r.unit and e.src = r.node""",
+union select e.unit, e.dst from o_reach r join o_flow e on e.unit = r.unit and e.src = r.node""",
     "o_pair": "select r.unit, r.node as n, q.node as d from o_reach r join o_reach q on r.unit = q.unit",
     "o_avoid": """
 select unit, node as d, cast(1 as bigint) as n from o_reach where node <> 1
-union select w.unit, w.d, e.dst from o_avoid w join v_edge e on e.unit = w.unit and e.src = w.n where e.dst <> w.d""",
+union select w.unit, w.d, e.dst from o_avoid w join o_flow e on e.unit = w.unit and e.src = w.n where e.dst <> w.d""",
     "o_dom": """
 select p.unit, p.n, p.d from o_pair p where not exists
   (select 1 from o_avoid w where w.unit = p.unit and w.d = p.d and w.n = p.n)""",
@@ -170,15 +178,17 @@ from o_member_of m join v_block h on h.unit = m.unit and h.idx = m.handler_idx
 join v_range r on r.unit = m.unit and r.from_idx = m.from_idx and r.to_idx = m.to_idx and r.handler_idx = m.handler_idx""",
     "o_live_edge": """
 select e.* from v_edge e join o_reach r on r.unit = e.unit and r.node = e.src""",
+    "o_live_flow": "select e.* from o_flow e join o_reach r on r.unit = e.unit and r.node = e.src",
     "o_goto": """
 select l.unit, l.block as node, min(e.dst) as target from v_last l join v_edge e on e.unit = l.unit and e.src = l.block
 where l.op = 'goto' group by l.unit, l.block having count(*) = 1""",
     "o_removable": """
 select unit, block as node from v_block b group by unit, block having count(*) = 1 and max(op) = 'goto'
 and not exists (select 1 from o_exc_edge x where x.unit = b.unit and x.dst = b.block)""",
-    # reducible iff, from some root that reaches everything, no cycle is left without back edges
+    # a unit with exception edges counts as reducible; another is reducible iff, from some root that reaches
+    # everything, no cycle is left without back edges
     "o_live_up": """
-select unit, node as a, node as b from o_reach
+select unit, node as a, node as b from o_reach where unit not in (select unit from o_exc_edge)
 union select c.unit, c.a, e.dst from o_live_up c join o_live_edge e on e.unit = c.unit and e.src = c.b""",
     "o_root": "select distinct unit, a as r from o_live_up where b = 1",
     "o_root_avoid": """

@@ -38,7 +38,7 @@ def _headers(lines: DataFrame, source: str | None, target: str | None) -> DataFr
     head = lines.filter("line = 1").select("file", cells.alias("_h"))
     fits = (F.size("_h") >= 5) & (F.col("_h")[0] == "tiny") & (F.col("_h")[1] == "2")
     head = head.select(
-        "file", F.slice("_h", 4, 1000).alias("_ns"),
+        "file", F.slice("_h", F.lit(4), F.size("_h")).alias("_ns"),
         F.when(fits, 0).otherwise(F.raise_error(F.lit("unsupported mapping header")).cast("int")).alias("_bad"))
     at = lambda name, default: (F.array_position("_ns", name) if name else F.lit(default)).cast("int")
     head = head.select("file", (F.size("_ns") + F.col("_bad")).alias("_n"), at(source, 1).alias("_src"), at(target, 2).alias("_dst"))
@@ -136,7 +136,7 @@ def parse_parameter_names(lines: DataFrame) -> DataFrame:
     parts = F.split("value", " ")
     rows = lines.select(parts.alias("_p")).filter(F.size("_p") >= 4).select(
         F.col("_p")[0].alias("class"), F.col("_p")[1].alias("method"), F.col("_p")[2].alias("descriptor"),
-        F.slice("_p", 4, 1000).alias("_names"))
+        F.slice("_p", F.lit(4), F.size("_p")).alias("_names"))
     rows = rows.withColumn("_types", parameters(F.col("descriptor")))
     wide = F.flatten(F.zip_with(
         "_names", "_types", lambda n, t: F.array_repeat(n, slot_width(t).cast("int"))))

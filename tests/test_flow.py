@@ -142,6 +142,15 @@ def test_text_positions(spark):
     assert got == want
 
 
+def test_marks_of_texts(spark):
+    texts = ["a.b..\n\n.c\n\n\n", "", "..", "\n\n.\n.x", "no mark", "é.\n.é中.", None, ".\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "class long, text string")
+    each = spark.createDataFrame([(k, i, t) for k, t in enumerate(texts) for i, c in enumerate(t or "") if c == "."],
+                                 "class long, start long, text string")
+    want = each.select("class", "start", L.text_position(F.col("text"), F.col("start")).alias("pos"))
+    assert rows(L.mark_positions(df, "."), "class", "start", "pos") == rows(want, "class", "start", "pos")
+
+
 def test_token_dump(spark):
     lines = spark.createDataFrame([("(3:14, 3:28) class [declaration] pkg/Tokens",), ("(5:4, 5:9) field pkg/A#count:I",),
                                    ("(2:1, 2:6) field [declaration] pkg/A#count:I",), ("noise",)], "value string")

@@ -1,6 +1,7 @@
 from conftest import order, rows
 from pyspark.sql import functions as F
 
+from classlake import iterate
 from classlake.operators import blocks as B
 from classlake.operators import graph as G
 from classlake.operators import ranges as R
@@ -140,3 +141,43 @@ def test_results_do_not_depend_on_row_order(spark, rng):
     plain = rows(G.immediate_dominators(nodes, edges), "unit", "node", "idom")
     mixed = rows(G.immediate_dominators(nodes.orderBy(F.rand(1)).repartition(7), edges.orderBy(F.rand(2)).repartition(3)), "unit", "node", "idom")
     assert plain == mixed
+
+
+def test_reachable_matches_search(spark, rng):
+    g, nodes, edges = graphs(spark, rng, units=8, n=14, m=3)
+    loose = spark.createDataFrame([(9, 1, 2, 0), (9, 3, 4, 0), (9, 4, 5, 0), (9, 5, 3, 0), (9, 4, 2, 0)], edges.schema)
+    alone = spark.createDataFrame([(9, k) for k in range(1, 6)], nodes.schema)
+    got = rows(G.reachable(nodes.unionByName(alone), edges.unionByName(loose)), "unit", "node")
+    assert got == sorted([(u, n) for u, d in g.items() for n in reach(d, 0)] + [(9, 1), (9, 2)])
+
+
+def test_a_long_line_takes_few_rounds(spark, monkeypatch):
+    written = []
+    keep = iterate._write
+    monkeypatch.setattr(iterate, "_write", lambda df: written.append(1) or keep(df))
+    n = 4096
+    edges = spark.range(n - 1).select(F.lit(1).alias("unit"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    nodes = spark.range(n).select(F.lit(1).alias("unit"), F.col("id").alias("node"))
+    assert G.reachable(nodes, edges).count() == n
+    assert len(written) <= n.bit_length() + 12
+
+
+def test_handlers_are_live(spark):
+    """0 -> 1, and an exception edge from 1 to 2, which goes on to 3."""
+    edges = spark.createDataFrame([(1, 0, 1, 0), (1, 2, 3, 0)], "unit long, src long, dst long, ord int")
+    thrown = spark.createDataFrame([(1, 1, 2, "E")], "unit long, src long, dst long, exc_type string")
+    nodes = spark.createDataFrame([(1, k) for k in range(5)], "unit long, node long")
+    flow = R.all_edges(edges, thrown).select("unit", "src", "dst").distinct()
+    live, kept = G.drop_dead(nodes, edges, flow)
+    assert rows(live, "node") == [(0,), (1,), (2,), (3,)] and rows(kept, "src", "dst") == [(0, 1), (2, 3)]
+    assert rows(G.immediate_dominators(live, flow), "node", "idom") == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_switch_targets_in_order(spark):
+    instr = spark.createDataFrame([("u", k, op) for k, op in enumerate(["switch", "general", "return", "return"])],
+                                  "unit string, idx long, op string")
+    jumps = spark.createDataFrame([("u", 0, 0, 3), ("u", 0, 1, 2), ("u", 0, 2, 1), ("u", 0, 3, 2)],
+                                  "unit string, idx long, ord int, dest long")
+    ranges = spark.createDataFrame([], "unit string, from_idx long, to_idx long, handler_idx long, exc_type string")
+    blocks = B.block_ids(instr, jumps, ranges)
+    assert rows(B.block_edges(blocks, jumps), "src", "ord", "dst") == [(1, 0, 4), (1, 1, 3), (1, 2, 2), (1, 3, 3), (2, 1, 3)]
