@@ -22,6 +22,7 @@ The work goes through tables in the shared folder, each dealt out by hash:
    share of all tokens are dealt out by the next word as well; only their sums (at most
    4 for each partition) reach the driver.
 4. Bigrams of all texts meet the model's partition, which sends sums for each text back.
+   The at most ``COMMON`` most frequent ones are known to every task and need not travel.
 
 Defined results: a null text is empty and has only its end; a null doc_id counts as ''
 in the hold-out rule; repeated rows are texts of their own; without a training text
@@ -43,9 +44,10 @@ from classlake.llm import words as W
 from classlake.llm.shared import cleaned_shuffles, drop, new_path, written
 
 CUT = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 DEAL_BYTES = 16 << 20
 END = W.U(0x5DEECE66D1234567)
+COMMON = 1 << 18  # bigrams at most that every task holds
 NONE, START = 2**32 - 1, 2**32 - 2  # numbers of a word unseen in training, and of the start of a text
 
 
@@ -291,6 +293,64 @@ class Backoff:
         return np.log10(whole), np.log10(left) - np.log10(np.maximum(1 - mass, 1e-300))
 
 
+def _opened(row: dict, back: Backoff) -> tuple[np.ndarray, ...]:
+    """(h, log10 denominator, log10 alpha, bigram codes, their counts) of one partition of the model."""
+    whole, alpha = back.weights(row["tot"], row["mass"], row["low"].reshape(-1, CUT))
+    at = np.flatnonzero(row["hot"] == 1)
+    place = np.searchsorted(back.hot[0], row["h"][at])
+    whole[at], alpha[at] = back.hot[1][place], back.hot[2][place]
+    return row["h"], whole, alpha, (np.repeat(row["h"], row["k"]).astype(np.uint64) << W.U(32)) | row["w"], row["c"]
+
+
+def _common(model: DataFrame, back: Backoff, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, log10 probabilities) of the most frequent bigrams: as many classes of counts as fit the limit."""
+
+    def of(batch: pa.RecordBatch, k: int) -> dict:
+        return {c: np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in _MODEL.items()}
+
+    def size_class(c: np.ndarray) -> np.ndarray:
+        return np.floor(8 * np.log2(c)).astype(np.int64)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                size, n = np.unique(size_class(of(batch, k)["c"]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(n)], names=["size", "n"])
+
+    most = model.mapInArrow(sizes, "size long, n long").groupBy("size").agg(F.sum("n").alias("n")).collect()
+    least, total = None, 0
+    for r in sorted(most, key=lambda r: -r.size):
+        total += r.n
+        if total > limit:
+            break
+        least = r.size
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = of(batch, k)
+                _, whole, _, code, c = _opened(row, back)
+                use = size_class(c) >= least
+                value = np.log10(np.where(c <= CUT, back.d[np.minimum(c, CUT)], 1.0) * c) - np.repeat(whole, row["k"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code[use].view(np.int64)), pa.array(value[use])], names=["code", "value"])
+
+    got = model.drop("stats").mapInArrow(entries, "code long, value double").toArrow()
+    code = got["code"].to_numpy().view(np.uint64)
+    order = np.argsort(code)
+    return code[order], got["value"].to_numpy()[order]
+
+
+def _value(code: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probabilities of common bigrams, NaN for others."""
+    if not len(common[0]):
+        return np.full(len(code), np.nan)
+    at = np.minimum(np.searchsorted(common[0], code), len(common[0]) - 1)
+    return np.where(common[0][at] == code, common[1][at], np.nan)
+
+
 def _hot_sums(model: DataFrame) -> DataFrame:
     """(h, tot, mass, n1, ...) of the hot histories, over all partitions."""
     names = [f"n{r}" for r in range(1, CUT + 1)]
@@ -315,26 +375,25 @@ def _hot_sums(model: DataFrame) -> DataFrame:
 
 
 # ---- 4: scores
-_ASKED = {"h": np.uint32, "k": np.uint32, "w": np.uint32, "cw": np.int64, "times": np.uint32, "doc": np.uint32}
+_ASKED = {"h": np.uint32, "k": np.uint32, "w": np.uint32, "cw": np.int64, "times": np.uint32}
 
 
-def _ask(blocks: DataFrame, groups: int, bound: int) -> DataFrame:
-    """Bigrams of all texts by partition: for each the texts that hold it.  ``cw`` has the word's total only for
-    bigrams that no training text of the block has."""
+def _ask(blocks: DataFrame, groups: int, bound: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Bigrams of all texts by partition, but the common ones: for each the texts that hold it.  ``cw`` has the word's
+    total only for bigrams that no training text of the block has; ``doc`` takes 2 or 4 bytes a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(batch.num_rows):
                 _, _, train, size, token, before, number, total = _decoded(batch, b)
-                doc = np.repeat(np.arange(len(size)), size)
-                use = number[before] != NONE
-                pair, doc = before[use] * len(number) + token[use], doc[use]
-                hl, wl = pair // len(number), pair % len(number)
-                p = _home(number[hl], number[wl], _hot(number, total, bound)[hl], groups)
-                code = (number[hl].astype(W.U) << W.U(32)) | number[wl].astype(W.U)
-                order = np.argsort(code, kind="stable")
-                order = order[np.argsort(p[order], kind="stable")]
-                p, code, wl, doc = p[order], code[order], wl[order], doc[order]
+                small = np.uint16 if len(size) < 2**16 else np.uint32
+                doc = np.repeat(np.arange(len(size), dtype=small), size)
+                code = (number[before].astype(W.U) << W.U(32)) | number[token].astype(W.U)
+                use = np.flatnonzero((number[before] != NONE) & np.isnan(_value(code, common)))
+                p = _home(number[before[use]], number[token[use]], _hot(number, total, bound)[before[use]], groups)
+                order = np.lexsort((code[use], p))
+                p, use = p[order], use[order]
+                code, doc, cw = code[use], doc[use], total[token[use]]
                 for a, z in _stretches(p):
                     at = np.flatnonzero(np.concatenate([[True], code[a + 1:z] != code[a:z - 1]]))
                     h = (code[a:z][at] >> W.U(32)).astype(np.int64)
@@ -343,29 +402,24 @@ def _ask(blocks: DataFrame, groups: int, bound: int) -> DataFrame:
                     yield _batch({
                         "p": pa.array([int(p[a])], pa.int32()), "block": batch.column("block")[b:b + 1],
                         "h": _blob(h[own], np.uint32), "k": _blob(np.diff(np.append(own, len(h))), np.uint32),
-                        "w": _blob(number[wl[a:z][at]], np.uint32),
-                        "cw": _blob(np.where(known, 0, total[wl[a:z][at]]), np.int64),
-                        "times": _blob(np.diff(np.append(at, z - a)), np.uint32), "doc": _blob(doc[a:z], np.uint32)})
+                        "w": _blob(code[a:z][at] & W.U(2**32 - 1), np.uint32),
+                        "cw": _blob(np.where(known, 0, cw[a:z][at]), np.int64),
+                        "times": _blob(np.diff(np.append(at, z - a)), np.uint32), "doc": doc[a:z].tobytes()})
 
-    return blocks.mapInArrow(run, "p int, block string, " + ", ".join(f"{c} binary" for c in _ASKED))
+    return blocks.mapInArrow(run, "p int, block string, " + ", ".join(f"{c} binary" for c in [*_ASKED, "doc"]))
 
 
 def _answer(asked: pa.Table, model: pa.Table, uni: Unigrams, back: Backoff) -> pa.Table:
     """Sums of log10 probabilities for each text of each block."""
     if model.num_rows:
-        mh, mk, mw, mc, hot, tot, mass, low = (x[0] for x in _arrays(model, _MODEL))
-        code = (np.repeat(mh, mk).astype(np.uint64) << W.U(32)) | mw
-        whole, alpha = back.weights(tot, mass, low.reshape(-1, CUT))
-        whole, alpha = whole.copy(), alpha.copy()
-        at = np.flatnonzero(hot == 1)
-        place = np.searchsorted(back.hot[0], mh[at])
-        whole[at], alpha[at] = back.hot[1][place], back.hot[2][place]
+        mh, whole, alpha, code, mc = _opened({c: x[0] for c, x in zip(_MODEL, _arrays(model, _MODEL), strict=True)}, back)
     else:
         mh, code, mc = np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         whole = alpha = np.zeros(0)
     blocks, docs, sums = [], [], []
-    for block, h, k, w, cw, times, doc in zip(
-            asked["block"].to_pylist(), *_arrays(asked, _ASKED), strict=True):
+    for block, doc, h, k, w, cw, times in zip(
+            asked["block"].to_pylist(), asked["doc"].to_pylist(), *_arrays(asked, _ASKED), strict=True):
+        doc = np.frombuffer(doc, np.uint16 if len(doc) == 2 * int(times.sum()) else np.uint32)
         history = np.searchsorted(mh, h)
         here = np.minimum(history, max(len(mh) - 1, 0))
         own = (mh[here] == h) if len(mh) else np.zeros(len(h), bool)
@@ -390,14 +444,16 @@ def _answer(asked: pa.Table, model: pa.Table, uni: Unigrams, back: Backoff) -> p
 _RESULT = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _finish(block: pa.Table, parts: pa.Table, uni: Unigrams) -> pa.Table:
+def _finish(block: pa.Table, parts: pa.Table, uni: Unigrams, common: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     ids, some, train, size, token, before, number, total = _decoded(block.combine_chunks().to_batches()[0], 0)
     first = np.cumsum(size) - size
     count = total[token]
     known = np.add.reduceat((count > 0).astype(np.int64), first)
     base = np.add.reduceat(uni.base(total)[token], first)
     fresh = number[before] == NONE  # an unseen history leaves the word's own probability
-    score = np.add.reduceat(np.where(fresh, np.log10(np.maximum(uni.p(total), 1e-300))[token], 0.0), first)
+    code = (number[before].astype(W.U) << W.U(32)) | number[token].astype(W.U)
+    own = np.where(fresh, np.log10(np.maximum(uni.p(total), 1e-300))[token], np.nan_to_num(_value(code, common)))
+    score = np.add.reduceat(own, first)
     parts = parts.sort_by("p")
     for doc, value in zip(*_arrays(parts, {"doc": np.uint32, "value": np.float64}), strict=True):
         score[doc] += value
@@ -430,7 +486,7 @@ def katz_scores(docs: DataFrame, train: F.Column | None = None, doc_id: str = "d
     if uni.tokens == 0:
         uni = Unigrams(0, 0, uni.d, 1, 1.0)
     bound = uni.tokens // (4 * groups)
-    model = written(_model(_train(blocks, groups, bound), uni))
+    model = _compressed(_model(_train(blocks, groups, bound), uni))
     n = model.select(*[F.col("stats")[k].alias(f"s{k}") for k in range(CUT + 1)]).agg(
         *[F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in range(CUT + 1)]).first()
     back = Backoff(discounts(list(n)), (np.zeros(0, np.uint32), np.zeros(0), np.zeros(0)))
@@ -441,12 +497,13 @@ def katz_scores(docs: DataFrame, train: F.Column | None = None, doc_id: str = "d
                     *back.weights(hot["tot"].to_numpy(), hot["mass"].to_numpy(), low))
     else:  # no training text: the start leaves every word its own probability
         back.hot = (np.array([START], np.uint32), np.zeros(1), np.zeros(1))
-    asked = _ask(blocks, groups, bound).groupBy("p").cogroup(model.drop("stats").groupBy("p"))
+    common = _common(model, back, COMMON)
+    asked = _ask(blocks, groups, bound, common).groupBy("p").cogroup(model.drop("stats").groupBy("p"))
     parts = written(asked.applyInArrow(
         lambda a, m: _answer(a, m, uni, back), "block string, p int, doc binary, value binary"))
     drop(model)
     return blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(
-        lambda b, v: _finish(b, v, uni), _RESULT).withColumn("train_tokens", F.lit(uni.tokens).cast("long"))
+        lambda b, v: _finish(b, v, uni, common), _RESULT).withColumn("train_tokens", F.lit(uni.tokens).cast("long"))
 
 
 def _compressed(df: DataFrame) -> DataFrame:

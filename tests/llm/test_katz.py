@@ -71,6 +71,7 @@ def test_against_definition(frame, documents, monkeypatch, small):
     if small:  # many blocks and partitions, most histories hot
         monkeypatch.setattr(K, "BLOCK_BYTES", 20_000)
         monkeypatch.setattr(K, "DEAL_BYTES", 50_000)
+        monkeypatch.setattr(K, "COMMON", 300)
     check(K.katz_scores(frame(rows)).collect(), rows, in_training)
 
 
