@@ -19,13 +19,16 @@ new null package private protected public return short static strictfp super swi
 throw throws transient true try void volatile while
 """.split()
 # Device names some file systems reserve.
-DEVICES = ["con", "prn", "aux", "nul", *[f"com{i}" for i in range(1, 10)], *[f"lpt{i}" for i in range(1, 10)]]
+DEVICES = """
+con prn aux nul com1 com2 com3 com4 com5 com6 com7 com8 com9 lpt1 lpt2 lpt3 lpt4 lpt5 lpt6 lpt7 lpt8 lpt9
+""".split()
 
 # one UTF-16 unit per character: supplementary characters never qualify
 _IDENTIFIER = (
     r"\A[\p{javaJavaIdentifierStart}&&[^\x{10000}-\x{10FFFF}]]"
     r"[\p{javaJavaIdentifierPart}&&[^\p{javaIdentifierIgnorable}]&&[^\x{10000}-\x{10FFFF}]]*\z"
 )
+# Names whose parts between dollar signs have three characters at most, and the longest name kept.
 _SHORT_PARTS = r"\A(?:.{1,3}(?:\z|\$))+\z"
 LONGEST_CLASS_NAME = 249
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 Step = Callable[[DataFrame], DataFrame]
 
 _LOCAL_DIRS: dict[str, str] = {}
+_HOLDERS: list[Callable[[], None]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -481,5 +482,13 @@ def clear(spark: SparkSession) -> None:
     """Delete everything this application wrote to the work folder.
 
     Frames returned earlier may still read from it, so call it at the end.
+    What holds such frames is told by :func:`on_clear`.
     """
     _drop(spark, work_dir(spark))
+    for forget in _HOLDERS:
+        forget()
+
+
+def on_clear(forget: Callable[[], None]) -> None:
+    """Have ``forget`` called whenever the work folder is deleted."""
+    _HOLDERS.append(forget)

@@ -341,7 +341,7 @@ def split_irreducible(nodes: DataFrame, edges: DataFrame, sizes: DataFrame) -> t
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Graph text, one row per line: (unit, part, a, b, line).
+    """Graph text, one row per line: (unit, part, a, b, line); the lines' wording is a fixed format.
 
     Lines sort by (unit, part, a, b); keeping them as rows lets a unit of any
     size be written without gathering it.

@@ -11,11 +11,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classlake.iterate import cut
+from classlake.iterate import cut, on_clear
 from classlake.operators import blocks as B
 from classlake.scan import ranked
 
 _SETS: dict[tuple[str, str], "Facts"] = {}
+on_clear(_SETS.clear)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> "Facts":

@@ -147,11 +147,14 @@ where c.is_own and not c.is_iface
 select concat_ws(' ', class, name, params, ret) as a, concat_ws(' ', sup, name, params, sup_ret) as b from o_override
 union select concat_ws(' ', class, name, params, ret), concat_ws(' ', sup, name, params, sup_ret) from o_inherited""",
     "o_both": "select a, b from o_link union select b, a from o_link",
+    # the least member that each one is linked with: labels fall along links until none does
     "o_linked": """
-select a as k, a as r from o_both union select l.k, b.b from o_linked l join o_both b on b.a = l.r""",
+select distinct a as k, a as r from o_both
+union select b.b, min(l.r) from o_linked l join o_both b on b.a = l.k join recurring.o_linked c on c.k = b.b
+where l.r < c.r group by b.b""",
     "o_family": """
-select m.class, m.name, m.params, m.ret, coalesce(q.family, concat_ws(' ', m.class, m.name, m.params, m.ret)) as family
-from v_method m left join (select k, min(r) as family from o_linked group by k) q
+select m.class, m.name, m.params, m.ret, coalesce(q.r, concat_ws(' ', m.class, m.name, m.params, m.ret)) as family
+from v_method m left join o_linked q
   on q.k = concat_ws(' ', m.class, m.name, m.params, m.ret) where m.overridable""",
     "o_found": """
 select r.owner, r.name, r.params, r.ret, arg_min(m.class, d.path) as found
@@ -226,6 +229,10 @@ join v_block b on b.unit = r.unit and b.idx >= r.from_idx and b.idx < r.to_idx""
 }
 
 
+#: Views that keep one row for each key while they recur.
+KEYED = {"o_linked": "(k, r) using key (k)"}
+
+
 def with_views(body: str) -> str:
     """Prefix ``body`` with the CTEs it names, dependencies first."""
     order: list[str] = []
@@ -244,7 +251,7 @@ def with_views(body: str) -> str:
     visit(body)
     if not order:
         return body
-    ctes = ",\n".join(f"{n} as ({VIEW_SQL[n].strip()})" for n in order)
+    ctes = ",\n".join(f"{n}{KEYED.get(n, '')} as ({VIEW_SQL[n].strip()})" for n in order)
     own = body.strip()
     if own.lower().startswith("with "):
         own_body = own[len("with "):]

@@ -150,15 +150,21 @@ def interval_join(points: DataFrame, ranges: DataFrame, keys: list[str], pos: st
     """Points with ``lo <= pos < hi`` in the same ``keys``.
 
     Both sides carry a bucket of the position, so the join key is narrow even
-    when one group holds most rows; a range is copied once per bucket it
-    touches, at most its output size over ``bucket`` plus one.
+    when one group holds most rows.  Buckets double in size from ``bucket``
+    up; a range takes the first size that holds it, so it touches two buckets
+    at most however wide it is, and a point is copied once for each size in
+    use (64 at most).
     """
-    p = points.withColumn("_scan_b", sliced(pos, bucket))
-    r = ranges.filter(F.col(hi) > F.col(lo)).withColumn(
-        "_scan_b", F.explode(F.sequence(sliced(lo, bucket),
-                                   F.floor((F.col(hi) - 1) / F.lit(bucket)).cast("long"))))
+    width = (F.col(hi) - F.col(lo)).cast("double")
+    r = ranges.filter(F.col(hi) > F.col(lo)).withColumn("_scan_w", F.greatest(
+        F.lit(float(bucket)), F.pow(F.lit(2.0), F.ceil(F.log2(width)).cast("double"))).cast("long"))
+    sizes = sorted(x[0] for x in r.select("_scan_w").distinct().collect())
+    at = lambda c: F.floor(c / F.col("_scan_w")).cast("long")
+    p = points.withColumn("_scan_w", F.explode(F.array(*[F.lit(x).cast("long") for x in sizes]).cast("array<bigint>")))
+    p = p.withColumn("_scan_b", at(F.col(pos)))
+    r = r.withColumn("_scan_b", F.explode(F.sequence(at(F.col(lo)), at(F.col(hi) - 1))))
     return (
-        p.join(r, [*keys, "_scan_b"])
+        p.join(r, [*keys, "_scan_w", "_scan_b"])
         .filter((F.col(pos) >= F.col(lo)) & (F.col(pos) < F.col(hi)))
-        .drop("_scan_b")
+        .drop("_scan_w", "_scan_b")
     )

@@ -10,9 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Class file magic, end-of-archive marker, prefix of versioned entries.
+# Class file magic, end-of-archive marker, least length of the record it opens, length of the
+# tail in which the record is looked for, suffixes of archives, prefix of versioned entries.
 CLASS_MAGIC = bytes.fromhex("CAFEBABE")
 ARCHIVE_END = bytes.fromhex("504B0506")
+END_RECORD = 22
+TAIL = 1024
+ARCHIVES = (".jar", ".zip")
 VERSIONED = "META-INF/versions/"
 BASE_VERSION = -1
 LEAST_VERSION = 9
@@ -21,16 +25,12 @@ ENTRY_SCHEMA = (
     "unit_id string, kind string, path string, is_dir boolean, magic binary, nested boolean")
 
 
-def _is_archive(name: str, content: bytes) -> bool:
-    if name.endswith((".jar", ".zip")):
-        return True
-    if name.endswith(".class") or len(content) < 22:
-        return False
-    tail = content[-min(len(content) & ~3, 1024):]
-    at = tail.rfind(ARCHIVE_END)
-    while at > len(tail) - 22:
-        at = tail.rfind(ARCHIVE_END, 0, at)
-    return at >= 0
+def _opens_as_archive(path: str, content: bytes, inside: bool) -> bool:
+    """Files of a directory go by their suffix; a file given by itself may also hold an end record."""
+    if inside or path.endswith((*ARCHIVES, ".class")):
+        return path.endswith(ARCHIVES)
+    tail = content[-TAIL:]
+    return ARCHIVE_END in tail[:max(0, len(tail) - END_RECORD + len(ARCHIVE_END))]
 
 
 def _list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,14 +39,17 @@ def _list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             name = path.rsplit("/", 1)[-1]
             rows = []
             inside = path != root
-            if _is_archive(name, content):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for info in archive.infolist():
-                        head = b""
-                        if not info.is_dir():
-                            with archive.open(info) as stream:
-                                head = stream.read(4)
-                        rows.append((path, "archive", info.filename, info.is_dir(), head, inside))
+            if _opens_as_archive(path, content, inside):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        for info in archive.infolist():
+                            head = b""
+                            if not info.is_dir():
+                                with archive.open(info) as stream:
+                                    head = stream.read(4)
+                            rows.append((path, "archive", info.filename, info.is_dir(), head, inside))
+                except zipfile.BadZipFile as broken:
+                    raise ValueError(f"invalid archive {path}: {broken}") from broken
             elif inside:
                 rows.append((root, "directory", path[len(root):].lstrip("/"), False, content[:4], False))
             else:

@@ -72,3 +72,12 @@ def test_first_by_is_deterministic(spark, rng):
     want = rows(scan.first_by(df, ["k"], ["o", "v"]), "k", "o", "v")
     again = rows(scan.first_by(df.orderBy(F.rand(3)).repartition(13), ["k"], ["o", "v"]), "k", "o", "v")
     assert want == again == sorted(min((x for x in data if x[0] == k), key=lambda x: x[1:]) for k in "abc")
+
+
+def test_a_wide_range_over_few_points_is_not_multiplied(spark):
+    wide = spark.createDataFrame([("u", 0, 64_000_000), ("u", 10, 11), ("u", 5, 5)], "unit string, lo long, hi long")
+    points = spark.createDataFrame([("u", 10), ("u", 63_999_999), ("u", 64_000_000), ("v", 1)], "unit string, idx long")
+    got = scan.interval_join(points, wide, ["unit"], "idx", "lo", "hi")
+    assert rows(got, "idx", "lo", "hi") == [(10, 0, 64_000_000), (10, 10, 11), (63_999_999, 0, 64_000_000)]
+    copies = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in copies and scan.interval_join(points, wide.filter("lo = 5"), ["unit"], "idx", "lo", "hi").isEmpty()
