@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classlake.llm import words as W
-from classlake.llm.shared import written
+from classlake.llm.shared import bounded_batches, tidied, written
 
 WINDOW = 13
 LEAST_SHARE = 20  # contaminated if at least one word in so many is hit
@@ -205,7 +205,7 @@ def _marked(docs: DataFrame, tests: Tests, window: int, last: bool) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [cols[c] for c in keep], schema=pa.schema([batch.schema.field(c) for c in keep]))
 
-    return docs.mapInArrow(run, docs.select(*keep).schema)
+    return docs.mapInArrow(tidied(run), docs.select(*keep).schema)
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -221,6 +221,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iter
 
 def _found(docs: DataFrame, items: DataFrame, row: list[str], text: str, item_id: str, item_text: str,
            window: int, block_bytes: int) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     start = F.struct(
         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"),
         F.array().cast("array<string>").alias("items"))
@@ -278,6 +279,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     doc_word (word places from 0; ties go to the least document, then place).  Shards send one row for each
     suffix and the best is an aggregate."""
     schema = "item_id string, item_word long, n_words long, doc_id string, doc_word long"
+    bounded_batches(docs.sparkSession)
     parts = []
     for block in _blocks(items, item_id, item_text, block_bytes):
         tests = prepare(block, window)
@@ -313,7 +315,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                         ("doc_id", pa.string()), ("doc_word", pa.int64())]))
 
         parts.append(docs.select(F.col(doc_id).cast("string").alias("doc_id"),
-                                 F.col(text).cast("string").alias("text")).mapInArrow(run, schema))
+                                 F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), schema))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     out = parts[0]

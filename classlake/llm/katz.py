@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classlake.llm import words as W
-from classlake.llm.shared import cleaned_shuffles, drop, new_path, written
+from classlake.llm.shared import bounded_batches, cleaned_shuffles, drop, new_path, tidied, written
 
 CUT = 5
 BLOCK_BYTES = 8 << 20
@@ -86,7 +86,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     "train": _blob(train[i:j], np.uint8), "size": _blob(size, np.uint32),
                     "token": _blob(local, np.uint32), "hash": _blob(words, np.uint64), "n": _blob(n, np.uint32)})
 
-    return docs.mapInArrow(run, "block string, ids binary, some binary, train binary, size binary, token binary, "
+    return docs.mapInArrow(tidied(run), "block string, ids binary, some binary, train binary, size binary, token binary, "
                                 "hash binary, n binary")
 
 
@@ -130,7 +130,7 @@ def _count_words(blocks: DataFrame, groups: int) -> DataFrame:
             "total": pa.array([_blob(total[x], np.int64) for x in own] + [b""], pa.binary()),
             "stats": pa.array([None] * len(own) + [stats], pa.list_(pa.int64()))})
 
-    dealt = blocks.select("block", "hash", "n").mapInArrow(deal, "p int, block string, hash binary, n binary")
+    dealt = blocks.select("block", "hash", "n").mapInArrow(tidied(deal), "p int, block string, hash binary, n binary")
     return dealt.groupBy("p").applyInArrow(count, _WORDS)
 
 
@@ -224,7 +224,7 @@ def _train(blocks: DataFrame, groups: int, bound: int) -> DataFrame:
                 pair, c = np.unique(before[use] * len(number) + token[use], return_counts=True)
                 yield from _dealt(pair, c, number, total, _hot(number, total, bound), groups)
 
-    return blocks.mapInArrow(run, "p int, " + ", ".join(f"{c} binary" for c in _PAIRS))
+    return blocks.mapInArrow(tidied(run), "p int, " + ", ".join(f"{c} binary" for c in _PAIRS))
 
 
 def _dealt(pair, c, number, total, hot, groups) -> Iterator[pa.RecordBatch]:
@@ -317,7 +317,7 @@ def _common(model: DataFrame, back: Backoff, limit: int) -> tuple[np.ndarray, np
                 size, n = np.unique(size_class(of(batch, k)["c"]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(n)], names=["size", "n"])
 
-    most = model.mapInArrow(sizes, "size long, n long").groupBy("size").agg(F.sum("n").alias("n")).collect()
+    most = model.mapInArrow(tidied(sizes), "size long, n long").groupBy("size").agg(F.sum("n").alias("n")).collect()
     least, total = None, 0
     for r in sorted(most, key=lambda r: -r.size):
         total += r.n
@@ -337,7 +337,7 @@ def _common(model: DataFrame, back: Backoff, limit: int) -> tuple[np.ndarray, np
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(code[use].view(np.int64)), pa.array(value[use])], names=["code", "value"])
 
-    got = model.drop("stats").mapInArrow(entries, "code long, value double").toArrow()
+    got = model.drop("stats").mapInArrow(tidied(entries), "code long, value double").toArrow()
     code = got["code"].to_numpy().view(np.uint64)
     order = np.argsort(code)
     return code[order], got["value"].to_numpy()[order]
@@ -368,7 +368,7 @@ def _hot_sums(model: DataFrame) -> DataFrame:
                     names=["p", "h", "tot", "mass", *names])
 
     rows = model.select("p", "h", "hot", "tot", "mass", "low").mapInArrow(
-        run, "p int, h long, tot long, mass double, " + ", ".join(f"{n} long" for n in names))
+        tidied(run), "p int, h long, tot long, mass double, " + ", ".join(f"{n} long" for n in names))
     # sums of the sorted list: the same in every run
     mass = F.aggregate(F.array_sort(F.collect_list(F.struct("p", "mass"))), F.lit(0.0), lambda a, x: a + x["mass"])
     return rows.groupBy("h").agg(F.sum("tot").alias("tot"), mass.alias("mass"), *[F.sum(n).alias(n) for n in names])
@@ -406,7 +406,7 @@ def _ask(blocks: DataFrame, groups: int, bound: int, common: tuple[np.ndarray, n
                         "cw": _blob(np.where(known, 0, cw[a:z][at]), np.int64),
                         "times": _blob(np.diff(np.append(at, z - a)), np.uint32), "doc": doc[a:z].tobytes()})
 
-    return blocks.mapInArrow(run, "p int, block string, " + ", ".join(f"{c} binary" for c in [*_ASKED, "doc"]))
+    return blocks.mapInArrow(tidied(run), "p int, block string, " + ", ".join(f"{c} binary" for c in [*_ASKED, "doc"]))
 
 
 def _answer(asked: pa.Table, model: pa.Table, uni: Unigrams, back: Backoff) -> pa.Table:
@@ -471,6 +471,7 @@ def katz_scores(docs: DataFrame, train: F.Column | None = None, doc_id: str = "d
     ``train`` tells the rows to learn from; without it, those of :func:`in_training`.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.coalesce(in_training(doc_id) if train is None else train, F.lit(False)).alias("train"))

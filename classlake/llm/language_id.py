@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from classlake.llm import words as W
+from classlake.llm.shared import bounded_batches, tidied
 
 UND = "und"
 FEATURES = 4096
@@ -143,6 +144,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
         per_language: int = PER_LANGUAGE) -> Model:
     """Model from at most about ``per_language`` texts of each language, none of them held out."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 30)).alias("h"), held_out(doc_id).alias("out"),
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                     [batch.column("lang")[i:j], pa.array([r.tobytes() for r in both], pa.binary())],
                     names=["lang", "x"])
 
-    got = rows.filter(F.col("h") < bound).select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    got = rows.filter(F.col("h") < bound).select("lang", "text").mapInArrow(tidied(run), "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(-1, FEATURES).astype(np.float32)
     names = np.repeat(got["lang"].to_pylist(), 2).tolist()
     if not names:  # the bound left none of a tiny table
@@ -192,6 +194,7 @@ def _letters(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _identified(docs: DataFrame, keep: list[str], text: str, model: Model) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
                       F.col(text).cast("string").alias("text"))
     schema = T.StructType([out.schema["row"], T.StructField("lang_pred", T.StringType()),
@@ -212,7 +215,7 @@ def _identified(docs: DataFrame, keep: list[str], text: str, model: Model) -> Da
                 [batch.column("row"), pa.array(names[pred], pa.string()), pa.array(score)],
                 names=["row", "lang_pred", "score"])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidied(run), schema)
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from classlake.llm.shared import written
+from classlake.llm.shared import bounded_batches, tidied, written
 
 TOP = 5
 SCALE = 256
@@ -118,12 +118,13 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                              names=["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+    return vectors.mapInArrow(tidied(run), "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, per_block: int = PER_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): both inputs as :func:`scaled` makes them; a query is not its own candidate."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     n = 1 + queries.count() // per_block
     tables, parts = [], []
     for b in range(n):

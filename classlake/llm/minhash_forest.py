@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from classlake.iterate import components
 from classlake.llm import words as W
-from classlake.llm.shared import drop, written
+from classlake.llm.shared import bounded_batches, drop, tidied, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -106,7 +106,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 ], names=["doc_id", "n_shingles", "node", "check", "labels"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, node long, check long, labels array<long>")
+        tidied(run), "doc_id long, n_shingles long, node long, check long, labels array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     [batch.column(c)[i:j] for c in rest] + [
                         pa.array(sets, pa.binary()), pa.array(_digests(sh, first, 1))], names=[*rest, "set", "own"])
 
-    return docs.mapInArrow(run, docs.select(*rest, F.lit(None).cast("binary").alias("set"),
+    return docs.mapInArrow(tidied(run), docs.select(*rest, F.lit(None).cast("binary").alias("set"),
                                             F.lit(None).cast("long").alias("own")).schema)
 
 
@@ -222,6 +222,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per document row: doc_id, leader (least doc_id of its class of equal sets), n_copies (documents in that
     class), class_id (least doc_id of its connected component of links), n_links (other documents, copies
     included, whose similarity is at least the threshold), n_shingles."""
+    bounded_batches(docs.sparkSession)
     sig = written(_signatures(docs, doc_id, text))
     same = ["n_shingles", "node", "check"]
     lead = written(sig.filter("n_shingles > 0").groupBy(*same).agg(

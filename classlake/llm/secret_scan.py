@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from classlake.llm.shared import bounded_batches, tidied
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -87,6 +89,7 @@ def spans_of(text: str | None, encoding, ratio: float = RATIO) -> list[tuple[int
 
 
 def _scanned(docs: DataFrame, keep: list[str], text: str, vocabulary: str, ratio: float, mask: str | None) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         ranks = f.read()
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
@@ -107,7 +110,7 @@ def _scanned(docs: DataFrame, keep: list[str], text: str, vocabulary: str, ratio
             yield pa.RecordBatch.from_arrays(cols, names=["row", "spans", "masked"][:len(cols)])
 
     fields = [out.schema["row"], T.StructField("spans", SPANS)]
-    return out.mapInArrow(run, T.StructType(fields + [T.StructField("masked", T.StringType())] * (mask is not None)))
+    return out.mapInArrow(tidied(run), T.StructType(fields + [T.StructField("masked", T.StringType())] * (mask is not None)))
 
 
 def _masked(text: str | None, spans: list[tuple[int, int, str]], mask: str) -> str | None:

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from classlake.llm.shared import bounded_batches, tidied
+
 LEAST = 1000
 PER_FILE = 5000
 DATE = "2025-01-01T00:00:00Z"
@@ -147,8 +149,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 for at in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_pylist(rows[at:at + 1000], schema=_ARROW)
 
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, READ)
+    return files.select("path", "content").mapInArrow(tidied(run), READ)
 
 
 _ARROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[
