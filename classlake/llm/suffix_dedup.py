@@ -40,14 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classlake.llm import words as W
-from classlake.llm.shared import written
+from classlake.llm.shared import bounded_batches, tidied, written
 
 LENGTH = 100
 GRAM = 24
 HOT = 256
-PIECE = 2 << 20
+PIECE = 1 << 20
+BATCH_BYTES = 8 << 20      # text of which records are compared before they are dealt out
 DEAL_BYTES = 16 << 20     # text behind one group of anchors
-ARRAY_BYTES = 2 << 20     # contexts in one suffix array
+ARRAY_BYTES = 1 << 20     # contexts in one suffix array
 
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -105,7 +106,8 @@ def records(b: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.
     context = (total[last + length] - total[first]) * inverse[first]
     context = W.mix(context + W.U(0x632BE59BD9B4E019) * (last - first).astype(W.U))
     at = anchor[first].astype(np.int64)
-    return h[at], context, first, last - first, at - first
+    # the least hash of a window is small; mixed again, anchors spread evenly over all ranges
+    return W.mix(h[at]), context, first, last - first, at - first
 
 
 _ROW = "p long, ids binary, some binary, ties binary, h binary, c binary, d binary, at binary, more binary, to binary, hot binary"
@@ -150,47 +152,52 @@ def _deal(docs: DataFrame, length: int, gram: int, groups: int, hot: int) -> Dat
             ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()
             some = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             ties = batch.column("tie").to_numpy()
-            order = np.lexsort((ties, ids, some))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            found = []
-            for i, j in W.runs(off, PIECE):
-                for lo in range(int(off[i]), max(int(off[j]) - length + 1, int(off[i]) + 1), PIECE) if j == i + 1 else (
-                        int(off[i]),):
-                    hi = min(int(off[j]), lo + PIECE + length - 1) if j == i + 1 else int(off[j])
-                    part = np.clip(off[i:j + 1], lo, hi) - lo
-                    h, c, at, more, to = records(raw[lo:hi], part, length, gram)
-                    d = np.searchsorted(part, at, side="right") - 1
-                    found.append((h, c, rank[d + i], at + lo - off[d + i], more, to))
-            if not found:
-                continue
-            h, c, d, at, more, to = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(h):
+            for i, j in W.runs(off, BATCH_BYTES):
+                yield from deal(raw[off[i]:off[j]], off[i:j + 1] - off[i], ids[i:j], some[i:j], ties[i:j])
+
+    def deal(raw, off, ids, some, ties) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((ties, ids, some))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        found = []
+        for i, j in W.runs(off, PIECE):
+            whole = int(off[i]), int(off[j])
+            # a text longer than a piece is read in pieces that overlap by a window
+            starts = range(whole[0], max(whole[1] - length + 1, whole[0] + 1), PIECE) if j == i + 1 else whole[:1]
+            for lo in starts:
+                hi = min(whole[1], lo + PIECE + length - 1) if j == i + 1 else whole[1]
+                part = np.clip(off[i:j + 1], lo, hi) - lo
+                h, c, at, more, to = records(raw[lo:hi], part, length, gram)
+                d = np.searchsorted(part, at, side="right") - 1
+                found.append((h, c, rank[d + i].astype(np.uint32), (at + lo - off[d + i]).astype(np.uint32),
+                              more.astype(np.uint16), to.astype(np.uint16)))
+        if not found or not sum(len(x[0]) for x in found):
+            return
+        h, c, d, at, more, to = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        pos = np.lexsort((at, d, c, h))
+        h, c, d, at, more, to = h[pos], c[pos], d[pos], at[pos].astype(np.int64), more[pos].astype(np.int64), to[pos]
+        lead, group, contexts = _groups(h, c)
+        ids, some, ties = ids[order], some[order].astype(np.uint8), ties[order]
+        yield from _spans(ids, some, ties, d[~lead], at[~lead], (at + more)[~lead] + length)
+        many = contexts > hot
+        asked = lead & many[group]
+        yield from _asked(ids, some, ties, h[asked], d[asked], at[asked], more[asked], to[asked])
+        proxy = np.zeros(len(h), bool)  # one record of a hot anchor tells the others
+        proxy[np.searchsorted(group, np.flatnonzero(many))] = True
+        send = lead & (~asked | proxy)
+        h, c, d, at, more, to = h[send], c[send], d[send], at[send], more[send], to[send]
+        flag = proxy[send]
+        bounds = np.searchsorted(h, [W.U((k << 64) // groups) for k in range(groups)]).tolist() + [len(h)]
+        for p in range(groups):
+            a, z = bounds[p], bounds[p + 1]
+            if a == z:
                 continue
-            pos = np.lexsort((at, d, c, h))
-            h, c, d, at, more, to = h[pos], c[pos], d[pos], at[pos], more[pos], to[pos]
-            lead, group, contexts = _groups(h, c)
-            ids, some, ties = ids[order], some[order].astype(np.uint8), ties[order]
-            yield from _spans(ids, some, ties, d[~lead], at[~lead], (at + more)[~lead] + length)
-            many = contexts > hot
-            asked = lead & many[group]
-            yield from _asked(ids, some, ties, h[asked], d[asked], at[asked], more[asked], to[asked])
-            proxy = np.zeros(len(h), bool)
-            first = np.searchsorted(group, np.flatnonzero(many))
-            proxy[first] = True
-            send = lead & (~asked | proxy)
-            h, c, d, at, more, to = h[send], c[send], d[send], at[send], more[send], to[send]
-            flag = proxy[send].astype(np.uint8)
-            bounds = np.searchsorted(h, [W.U((k << 64) // groups) for k in range(groups)]).tolist() + [len(h)]
-            for p in range(groups):
-                a, z = bounds[p], bounds[p + 1]
-                if a == z:
-                    continue
-                used, local = np.unique(d[a:z], return_inverse=True)
-                cols = (ids[used], some[used], ties[used], h[a:z], c[a:z], local, at[a:z], more[a:z], to[a:z], flag[a:z])
-                yield _packed(p, cols)
-
-    return docs.mapInArrow(run, _ROW)
+            used, local = np.unique(d[a:z], return_inverse=True)
+            cols = (ids[used], some[used], ties[used], h[a:z], c[a:z], local, at[a:z], more[a:z], to[a:z], flag[a:z])
+            yield _packed(p, cols)
+
+    return docs.mapInArrow(tidied(run), _ROW)
 
 
 def _packed(p: int, cols: tuple) -> pa.RecordBatch:
@@ -297,13 +304,14 @@ def _ranks(text: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     for k in range(8):
         word = (word << W.U(8)) | padded[k:len(text) + k]
     out, size = [], 8
-    rank = np.unique(word, return_inverse=True)[1].astype(W.U)
+    rank = np.unique(word, return_inverse=True)[1].astype(np.uint32)
     while True:
         out.append((size, rank))
-        if size * 2 > length:
+        if size * 2 > min(length, len(rank)):
             return out
-        ahead = np.concatenate([rank[size:], np.zeros(min(size, len(rank)), W.U)])[:len(rank)]
-        rank = np.unique((rank << W.U(32)) | ahead, return_inverse=True)[1].astype(W.U)
+        word = rank.astype(W.U) << W.U(32)
+        word[:len(rank) - size] |= rank[size:]
+        rank = np.unique(word, return_inverse=True)[1].astype(np.uint32)
         size *= 2
 
 
@@ -316,26 +324,28 @@ def covered_windows(contexts: list[bytes], windows: np.ndarray, place: np.ndarra
     size = np.array([len(x) for x in contexts])
     text = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(contexts)), windows)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = begin[owner] + within
-    position = place[owner] * (1 << 20) + within
+    before = np.cumsum(windows) - windows
+    start = np.repeat(begin - before, windows) + np.arange(windows.sum())
+    rank_of = np.argsort(place)
+    base = np.empty(len(place), np.int64)
+    base[rank_of] = np.cumsum(windows[rank_of]) - windows[rank_of]
+    # the place of each window in the corpus' order of these contexts
+    position = np.repeat(base - before, windows) + np.arange(windows.sum())
     ranks = _ranks(text, length)
     size, rank = ranks[-1]
-    whole = (rank[start] << W.U(32)) | rank[start + length - size]
-    order = np.lexsort((position, whole))
+    order = np.lexsort((position, rank[start + length - size], rank[start]))
     a, b = start[order][:-1], start[order][1:]
-    shared = np.zeros(len(a), np.int64)
+    shared = np.zeros(len(a), np.int32)
     for size, rank in reversed(ranks):
         for _ in range(2):  # a size may fit twice
             at = np.minimum(shared, length - size)
             same = (shared + size <= length) & (rank[a + at] == rank[b + at])
-            shared += np.where(same, size, 0)
+            shared += np.where(same, size, 0).astype(np.int32)
     for k in range(8):  # the rest of the length, byte by byte
         at = np.minimum(shared, length - 1)
         shared += (shared < length) & (text[a + at] == text[b + at])
     previous = longest_previous(position[order], np.concatenate([[0], shared]))
-    out = np.empty(len(owner), bool)
+    out = np.empty(len(start), bool)
     out[order] = previous >= length
     return out
 
@@ -391,7 +401,7 @@ def _contexts(docs: DataFrame, asks: DataFrame, groups: int) -> DataFrame:
                     pa.array(start[part]), pa.array(pieces, pa.binary())], names=["g", "doc_id", "tie", "start", "context"])
 
     return rows.select("doc_id", "tie", "text", "asks").mapInArrow(
-        run, "g long, doc_id long, tie long, start long, context binary")
+        tidied(run), "g long, doc_id long, tie long, start long, context binary")
 
 
 def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -431,6 +441,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
                    gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per document row: doc_id, n_bytes, spans (start and end of each maximal removed run), kept (the other bytes)."""
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                       F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # the digest is needed only where a doc_id stands for several rows
@@ -443,21 +454,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             raw, off = W.texts(batch.column("text"))
             found = batch.column("found")
-            doc = np.repeat(np.arange(len(off) - 1), found.value_lengths().to_numpy())
-            d, s, e = _merged(doc, *(x.to_numpy() for x in found.flatten().flatten()))
-            change = np.zeros(len(raw) + 1, np.int8)
-            np.add.at(change, off[d] + s, 1)
-            np.add.at(change, off[d] + e, -1)
-            keep = np.cumsum(change[:-1], dtype=np.int8) == 0
-            rest = raw[keep].tobytes()
-            kept = np.concatenate([[0], np.cumsum(keep)])[off]
-            runs = np.searchsorted(d, np.arange(len(off)))
-            pair = pa.StructArray.from_arrays([pa.array(s), pa.array(e)], names=["start", "end"])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.diff(off)), pa.ListArray.from_arrays(runs.astype(np.int32), pair),
-                pa.array([rest[a:b] for a, b in zip(kept[:-1], kept[1:], strict=True)], pa.binary())],
-                names=["doc_id", "n_bytes", "spans", "kept"])
+            for i, j in W.runs(off, PIECE):
+                yield cut(batch.column("doc_id")[i:j], raw[off[i]:off[j]], off[i:j + 1] - off[i], found[i:j])
+
+    def cut(ids, raw, off, found) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(len(off) - 1), found.value_lengths().to_numpy())
+        d, s, e = _merged(doc, *(x.to_numpy() for x in found.flatten().flatten()))
+        change = np.zeros(len(raw) + 1, np.int8)
+        np.add.at(change, off[d] + s, 1)
+        np.add.at(change, off[d] + e, -1)
+        keep = np.cumsum(change[:-1], dtype=np.int8) == 0
+        rest = raw[keep].tobytes()
+        kept = np.concatenate([[0], np.cumsum(keep)])[off]
+        runs = np.searchsorted(d, np.arange(len(off)))
+        pair = pa.StructArray.from_arrays([pa.array(s), pa.array(e)], names=["start", "end"])
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(np.diff(off)), pa.ListArray.from_arrays(runs.astype(np.int32), pair),
+            pa.array([rest[a:b] for a, b in zip(kept[:-1], kept[1:], strict=True)], pa.binary())],
+            names=["doc_id", "n_bytes", "spans", "kept"])
 
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     return rows.select("doc_id", "text", F.coalesce("found", none).alias("found")).mapInArrow(
-        run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+        tidied(run), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
