@@ -264,7 +264,28 @@ def name_conflicts(f):
     return R.visible_conflicts(rendered, f.up, R.keeper_ranks(families, methods))
 
 
-@query("family_renaming")
+@query("family_renaming", f"""
+with {FAMILY_NAME},
+rk as (select f.family, case when not bool_and(h.is_own) then 0 when bool_or(not m.in_iface and m.final) then 1
+    when bool_or(not m.in_iface and not m.abstract) then 2 when bool_or(not m.in_iface) then 3 else 4 end as rank, min(m.ord) as first
+  from o_family f join v_method m on m.class = f.class and m.name = f.name and m.params = f.params and m.ret = f.ret
+  join v_hier h on h.node = f.class group by f.family),
+vis as (select distinct u.node, f.params, f.family from o_family f join o_up u on u.anc = f.class),
+st as (
+  select 0 as round, f.family, coalesce(max(case when rk.rank > 0 then fam.target end), min(f.name)) as new_name
+  from o_family f join rk on rk.family = f.family left join fam on fam.family = f.family group by f.family
+  union all
+  select round + 1, family, new_name from (
+    with s as (select * from st),
+    r as (select s.family, s.new_name, rk.rank, rk.first, row_number() over (
+        partition by v.node, s.new_name, v.params order by rk.rank, rk.first, s.family) as place
+      from vis v join s on s.family = v.family join rk on rk.family = s.family),
+    lo as (select distinct family, new_name, first from r where place > 1 and rank > 0),
+    num as (select family, row_number() over (partition by new_name order by first, family) as k from lo)
+    select s.round, s.family, case when num.k is null then s.new_name else concat(s.new_name, '_', cast(num.k as varchar)) end as new_name
+    from s left join num on num.family = s.family where exists (select 1 from num)) q)
+select f.class, f.name, f.params, f.ret, f.family, st.new_name from o_family f join st on st.family = f.family
+where st.round = (select max(round) from st)""")
 def family_renaming(f):
     return R.rename_members(owned_methods(f), family_table(f), f.up, method_mapping(f))
 
