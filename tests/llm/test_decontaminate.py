@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest_llm import words
+from llm_cases import frame, words  # noqa: F401
 
 from classlake.llm import decontaminate as D
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest_llm import VISIBLE, words
+from llm_cases import VISIBLE, documents, frame, words  # noqa: F401
 from pyspark.sql import functions as F
 
 from classlake.llm import katz as K

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 
+from llm_cases import documents, frame  # noqa: F401
+
 from classlake.llm import language_id as L
 
 

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest_llm import words
+from llm_cases import documents, frame, words  # noqa: F401
 
 from classlake.llm import minhash_forest as M
 

@@ -6,6 +6,8 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from llm_cases import frame  # noqa: F401
+
 from classlake.llm import mixture as M
 
 WEIGHTS = {"domain": {"web": 4, "books": 2, "other": 1}, "lang": {"en": 3, "xx": 0}, "source": {"s1": 2}}

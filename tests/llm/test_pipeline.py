@@ -2,7 +2,7 @@
 
 import corpus_pipeline as C
 import pytest
-from conftest_llm import SF
+from llm_cases import SF, documents, frame  # noqa: F401
 from test_decontaminate import brute as tainted
 from test_minhash_forest import brute as alike
 

@@ -4,6 +4,8 @@ import string
 
 import pytest
 
+from llm_cases import documents, frame  # noqa: F401
+
 from classlake.llm import secret_scan as S
 
 ENCODING = S._encoding(open(S.VOCABULARY, "rb").read())

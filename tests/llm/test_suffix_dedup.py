@@ -4,6 +4,8 @@ import re
 import numpy as np
 import pytest
 
+from llm_cases import documents, frame  # noqa: F401
+
 from classlake.llm import suffix_dedup as S
 
 

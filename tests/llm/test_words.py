@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest_llm import ALNUM, VISIBLE, words
+from llm_cases import ALNUM, VISIBLE, words
 
 from classlake.llm import words as W
 
