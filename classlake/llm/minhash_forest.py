@@ -91,7 +91,7 @@ def _digests(shingles: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, node, check, labels): node, a digest, is the name of an equal set from here on."""
+    """(doc_id, text_hash, n_shingles, node, check, labels): node, a digest, is the name of an equal set from here on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,13 +100,14 @@ def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 sh, first = shingle_sets(raw[off[i]:off[j]], off[i:j + 1] - off[i])
                 own = labels(sh, first).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id")[i:j], pa.array(np.diff(first)), pa.array(_digests(sh, first, 1)),
+                    batch.column("doc_id")[i:j], batch.column("text_hash")[i:j], pa.array(np.diff(first)), pa.array(_digests(sh, first, 1)),
                     pa.array(_digests(sh, first, 2)),
                     pa.ListArray.from_arrays(np.arange(0, own.size + 1, TREES, dtype=np.int32), own.ravel()),
-                ], names=["doc_id", "n_shingles", "node", "check", "labels"])
+                ], names=["doc_id", "text_hash", "n_shingles", "node", "check", "labels"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        tidied(run), "doc_id long, n_shingles long, node long, check long, labels array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                       _text_hash(text).alias("text_hash")).mapInArrow(
+        tidied(run), "doc_id long, text_hash long, n_shingles long, node long, check long, labels array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     target: float = TARGET, square: int = SQUARE) -> DataFrame:
     """Per document row: doc_id, leader (least doc_id of its class of equal sets), n_copies (documents in that
     class), class_id (least doc_id of its connected component of links), n_links (other documents, copies
-    included, whose similarity is at least the threshold), n_shingles."""
+    included, whose similarity is at least the threshold), n_shingles, text_hash, group (a number of the component)."""
     bounded_batches(docs.sparkSession)
     sig = written(_signatures(docs, doc_id, text))
     same = ["n_shingles", "node", "check"]
@@ -256,21 +257,29 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         lead.select(*same, "leader", "copies").join(tied.join(least, "component"), "node", "left")
         .join(links, "node", "left").select(
             *same, "leader", "copies", F.coalesce("class_id", "leader").alias("class_id"),
+            F.coalesce("component", "node").alias("group"),
             (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return sig.select("doc_id", *same).join(per_class, same, "left").select(
+    return sig.select("doc_id", "text_hash", *same).join(per_class, same, "left").select(
         "doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("leader")).alias("leader"),
         F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"),
         F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_shingles")
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_shingles", "text_hash",
+        F.coalesce("group", F.xxhash64("doc_id", "text_hash")).alias("group"))
 
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``docs``, all columns, that lead their class; documents without a word all stay.
+    """One row, all columns, of each component: the one with the least doc_id, then digest of its text.
 
-    Of repeated rows with the leading doc_id, and of rows without a doc_id, one is kept for each class.
+    A row without a doc_id leads only where no other has one.  Documents without a word all stay; of rows equal in doc_id
+    and text one is kept.
     """
     found = similar_classes(docs, doc_id, text, **options)
-    kept = found.filter("class_id is null or doc_id = class_id or n_shingles = 0").select("doc_id").distinct()
-    key = F.col(doc_id).cast("long")
-    rows = docs.join(kept.select(F.col("doc_id").alias("_kept")), key.eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates([doc_id])
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
+    kept = first.select(F.col("f.doc_id").alias("_kept_id"), F.col("f.text_hash").alias("_kept_text")).distinct()
+    rows = docs.withColumn("_kept_hash", _text_hash(text))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_kept_hash") == F.col("_kept_text"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "_kept_hash"]).drop("_kept_hash")
+
+
+def _text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.col(text).cast("string"))

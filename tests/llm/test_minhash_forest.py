@@ -66,6 +66,8 @@ def test_nulls_and_repeated_rows(frame):
     rows = [(1, long), (1, long), (1, "other words of the same id here"), (5, long + " tail"), (None, long), (None, "x y z q v u")]
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in M.similar_classes(frame(rows)).collect()), key=str)
     assert got == sorted([(1, 1, 3), (1, 1, 3), (1, 1, 0), (5, 1, 3), (None, 1, 3), (None, None, 0)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in M.keep_one_each(frame(rows)).collect()), key=str)
+    assert kept == sorted([(1, long), (1, "other words of the same id here"), (None, "x y z q v u")], key=str)
     assert M.similar_classes(frame([])).collect() == [] and M.keep_one_each(frame([])).collect() == []
 
 
