@@ -62,13 +62,15 @@ def share(nodes: DataFrame, parent: list[str], name: str, weights: dict[str, int
         "ratio", "level", "w")
 
 
-def budgets(leaves: DataFrame, budget: F.Column, weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
-    """(domain, lang, source, tokens, given) from (domain, lang, source, tokens); ``budget`` is an aggregate of tokens."""
+def budgets(leaves: DataFrame, share_of_tokens: float, weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
+    """(domain, lang, source, tokens, given) from (domain, lang, source, tokens)."""
     cap = F.sum("tokens") * max_epochs
-    total = leaves.agg(budget.cast("long").alias("budget"))
-    tops = leaves.groupBy("domain").agg(cap.alias("capacity"), F.lit(0).alias("root"))
-    # one row meets the domains: the key is a constant on both sides
-    first = share(tops.join(total.withColumn("root", F.lit(0)), "root"), ["root"], "domain", weights.get("domain", {}))
+    # one row for each domain: the total is a window over those few rows
+    total = F.sum("t").over(Window.partitionBy("root"))
+    tops = leaves.groupBy("domain").agg(F.sum("tokens").alias("t"), F.lit(0).alias("root")).select(
+        "domain", "root", (F.col("t") * max_epochs).alias("capacity"),
+        F.floor(total * F.lit(share_of_tokens)).cast("long").alias("budget"))
+    first = share(tops, ["root"], "domain", weights.get("domain", {}))
     langs = leaves.groupBy("domain", "lang").agg(cap.alias("capacity"))
     second = share(langs.join(first.select("domain", F.col("given").alias("budget")), "domain"),
                    ["domain"], "lang", weights.get("lang", {}))
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, domain: F.Column, weights: dict[str, dict[str, int]], s
         F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"),
     ).filter("n_tokens > 0")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    plan = budgets(leaves, F.floor(F.sum("tokens") * F.lit(share_of_tokens)), weights, max_epochs).withColumn(
+    plan = budgets(leaves, share_of_tokens, weights, max_epochs).withColumn(
         "full", F.floor(F.col("given") / F.col("tokens")).cast("long")).withColumn(
         "left", F.col("given") - F.col("full") * F.col("tokens")).drop("tokens", "given")
 

@@ -105,4 +105,4 @@ def test_repeated_rows_nulls_and_no_rows(frame):
 
 def test_no_python_on_rows(frame):
     plan = M.choose(frame([(1, "a")]), F.lit("d"), {}, 0.5)._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian"))
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
