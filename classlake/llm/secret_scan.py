@@ -3,8 +3,9 @@
 Natural words and identifiers take few tokens of a byte-pair vocabulary; random
 strings fall apart, so few characters go into each token.  Runs of key-like
 characters are encoded and reported if a token holds at most ``ratio``
-characters of them on average.  Digests, UUIDs and numbers are left out first:
-they are random without being secret.
+characters of them on average, with or without the separators ``/ + _ -``.
+Digests, UUIDs and numbers are left out first: they are random without being
+secret.
 
 Spans are code points, the end exclusive, sorted by start, then by kind in the
 order of ``KINDS``.  Every row is judged for itself, without a shuffle.
@@ -34,6 +35,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run is matched whole, so this equals all runs less the short ones
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9]+")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 #: Lengths of hexadecimal MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
@@ -61,11 +63,33 @@ def _encoding(ranks: bytes):
 
 
 def known(run: str) -> bool:
-    """A digest, a UUID, a number, or a name of letters alone."""
+    """A digest, a UUID, a number, or no letter at all."""
     bare = run.rstrip("=")
     if HEXADECIMAL.fullmatch(bare):
         return len(bare) in DIGESTS or bare.isdigit()
-    return bool(UUID.fullmatch(bare)) or not any(c.isdigit() for c in bare) or not any(c.isalpha() for c in bare)
+    return bool(UUID.fullmatch(bare)) or not any(c.isalpha() for c in bare)
+
+
+def _score(part: str, encoding, ratio: float) -> float:
+    """Above zero if packed worse than ``ratio``.  Numbers say nothing; words in capitals may pack well in small letters."""
+    if part.isdigit():
+        return 0
+    least = len(encoding.encode_ordinary(part))
+    if part.isupper() and part.isalpha():
+        least = min(least, len(encoding.encode_ordinary(part.lower())))
+    return ratio * least - len(part)
+
+
+def random_spans(run: str, encoding, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """(start, end) of the random strings of one run."""
+    if known(run):
+        return []
+    # tokens do not cross separators, which count neither as tokens nor as characters of a part
+    parts = [(m.start(), m.end(), _score(m[0], encoding, ratio)) for m in PART.finditer(run)]
+    if sum(p[2] for p in parts) >= 0 or (
+            any(c.isdigit() for c in run) and len(run) <= ratio * len(encoding.encode_ordinary(run))):
+        return [(0, len(run))]
+    return []
 
 
 def spans_of(text: str | None, encoding, ratio: float = RATIO) -> list[tuple[int, int, str]]:
@@ -81,10 +105,8 @@ def spans_of(text: str | None, encoding, ratio: float = RATIO) -> list[tuple[int
         while at < len(base) and base[at][0] < m.end():
             reach = max(reach, base[at][1])
             at += 1
-        if reach > m.start() or known(m[0]):
-            continue
-        if m.end() - m.start() <= ratio * len(encoding.encode_ordinary(m[0])):
-            found.append((m.start(), m.end(), 3))
+        if reach <= m.start():
+            found += [(m.start() + s, m.start() + e, 3) for s, e in random_spans(m[0], encoding, ratio)]
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 

@@ -53,6 +53,19 @@ def test_random_strings():
         assert S.spans_of(plain, ENCODING) == []
 
 
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters])
+def test_random_letters(letters):
+    rng = random.Random(2)
+    found = 0
+    for _ in range(200):
+        run = "".join(rng.choice(letters) for _ in range(rng.randrange(24, 60)))
+        found += S.spans_of(f"see {run} there", ENCODING) == [(4, 4 + len(run), "random")]
+    assert found >= 190
+    for plain in ("internationalizationOfTheConfiguration", "INTERNATIONAL_CONFIGURATION_OF_PARTS", "FETCHERRORDETAILSRESPONSE",
+                  "end-to-end-up-to-date", "getElementsByClassNameFromDocument", "-" * 40, "==/" * 20):
+        assert S.spans_of(f"see {plain} there", ENCODING) == []
+
+
 def test_given_documents_have_no_random_prose(documents):
     for r in documents:
         assert all(k != "random" for _, _, k in S.spans_of(r[1], ENCODING))
