@@ -1,11 +1,14 @@
 """Secrets in whole texts: fixed patterns, and random strings that a token vocabulary packs badly.
 
 Natural words and identifiers take few tokens of a byte-pair vocabulary; random
-strings fall apart, so few characters go into each token.  Runs of key-like
-characters are encoded and reported if a token holds at most ``ratio``
-characters of them on average, with or without the separators ``/ + _ -``.
-Digests, UUIDs and numbers are left out first: they are random without being
-secret.
+strings fall apart, so few characters go into each token.  What fixed patterns
+cover is cut out; the runs of key-like characters that are left are encoded and
+reported if a token holds at most ``ratio`` characters of them on average.  A
+run that passes is cut at ``/ + _ -`` into parts, and the stretches of parts that
+the vocabulary packs badly are reported, so a key behind a readable path is
+found.  Digests, UUIDs and numbers are left out: they are random without being
+secret.  A key that follows readable letters without a separator is judged
+together with them.
 
 Spans are code points, the end exclusive, sorted by start, then by kind in the
 order of ``KINDS``.  Every row is judged for itself, without a shuffle.
@@ -36,11 +39,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run is matched whole, so this equals all runs less the short ones
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 PART = re.compile(r"[A-Za-z0-9]+")
-LEAST_ASSIGN, LEAST_ACCESS = 8, 16
+LEAST_ASSIGN, LEAST_ACCESS, LEAST_RANDOM = 8, 16, 20
 
 #: Lengths of hexadecimal MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+INNER_UUID = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
 HEXADECIMAL = re.compile(r"[0-9A-Fa-f]+")
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -80,6 +84,50 @@ def _score(part: str, encoding, ratio: float) -> float:
     return ratio * least - len(part)
 
 
+def _stretches(scores: list[float]) -> list[tuple[int, int, float]]:
+    """(first, last, sum) of the maximal stretches by score: any longer or shorter one around them has less.
+
+    A stretch is kept with the sums before and after it and the nearest earlier
+    one that begins lower, so the pass is linear.
+    """
+    kept: list[tuple[float, float, int, int, int]] = []
+    total = 0.0
+    for k, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        low, first = before, k
+        while True:
+            j = len(kept) - 1
+            while j >= 0 and kept[j][0] >= low:
+                j = kept[j][4]
+            if j < 0 or kept[j][1] >= total:
+                break
+            low, first = kept[j][0], kept[j][2]
+            del kept[j:]
+        kept.append((low, total, first, k, j))
+    return [(i, k, high - low) for low, high, i, k, _ in kept]
+
+
+def _bad_stretches(run: str, parts: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """(start, end) of stretches of parts that are long enough and packed badly; short ones grow by what costs least."""
+    out: list[tuple[int, int]] = []
+    for i, k, total in _stretches([p[2] for p in parts]):
+        while parts[k][1] - parts[i][0] < LEAST_RANDOM:
+            beside = [j for j in (i - 1, k + 1) if 0 <= j < len(parts) and not run[slice(*parts[j][:2])].isdigit()]
+            j = max(beside, key=lambda j: parts[j][2], default=None)
+            if j is None or total + parts[j][2] < 0:
+                break
+            i, k, total = min(i, j), max(k, j), total + parts[j][2]
+        s, e = parts[i][0], parts[k][1]
+        if e - s < LEAST_RANDOM or known(run[s:e]):
+            continue
+        if out and s <= out[-1][1]:
+            s, e = min(s, out[-1][0]), max(e, out.pop()[1])
+        out.append((s, e))
+    return out
+
+
 def random_spans(run: str, encoding, ratio: float = RATIO) -> list[tuple[int, int]]:
     """(start, end) of the random strings of one run."""
     if known(run):
@@ -89,7 +137,19 @@ def random_spans(run: str, encoding, ratio: float = RATIO) -> list[tuple[int, in
     if sum(p[2] for p in parts) >= 0 or (
             any(c.isdigit() for c in run) and len(run) <= ratio * len(encoding.encode_ordinary(run))):
         return [(0, len(run))]
-    return []
+    ids = [m.span() for m in INNER_UUID.finditer(run)]
+    ids = sorted(ids + [p[:2] for p in parts if known(run[p[0]:p[1]]) and not run[p[0]:p[1]].isdigit()])
+    out, at, k = [], 0, 0
+    for start, end in [*ids, (len(run), len(run))]:
+        held = []
+        while k < len(parts) and parts[k][0] < max(start, end):
+            if at <= parts[k][0] < start:
+                held.append(parts[k])
+            k += 1
+        out += _bad_stretches(run, held)
+        at = max(at, end)
+    # the last part takes what ends the run
+    return [(s, e if PART.search(run, e) else len(run)) for s, e in out]
 
 
 def spans_of(text: str | None, encoding, ratio: float = RATIO) -> list[tuple[int, int, str]]:
@@ -99,14 +159,11 @@ def spans_of(text: str | None, encoding, ratio: float = RATIO) -> list[tuple[int
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    base = sorted(found)
-    at, reach = 0, -1  # base spans that begin before the run, and how far they go
-    for m in RUN.finditer(text):
-        while at < len(base) and base[at][0] < m.end():
-            reach = max(reach, base[at][1])
-            at += 1
-        if reach <= m.start():
+    at = 0
+    for start, end, _ in [*sorted(found), (len(text), len(text), 0)]:
+        for m in RUN.finditer(text, at, max(at, start)):
             found += [(m.start() + s, m.start() + e, 3) for s, e in random_spans(m[0], encoding, ratio)]
+        at = max(at, end)
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
