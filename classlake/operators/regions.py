@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from classlake.iterate import cut, fixpoint
+from classlake.iterate import cut
+from classlake.operators.ranges import SPAN, members
 from classlake.scan import first_by, running_sum
 
 
@@ -68,34 +69,81 @@ def duplicate_blocks(rows: DataFrame) -> DataFrame:
     return found.join(differs, ["unit", "block"], "left_anti")
 
 
-def equal_subgraphs(pairs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Start pairs (unit, a, b) whose whole subgraphs match.
+def block_classes(blocks: DataFrame) -> DataFrame:
+    """(unit, node, cls): blocks have one class if and only if their normalised instructions are equal."""
+    alike = duplicate_blocks(cut(normalised(blocks))).select(
+        "unit", F.col("block").alias("node"), F.struct("rep_unit", "rep_block").alias("_rep"))
+    nodes = blocks.select("unit", F.col("block").alias("node")).distinct()
+    return nodes.join(alike, ["unit", "node"], "left").select(
+        "unit", "node", F.coalesce("_rep", F.struct(F.col("unit").alias("rep_unit"), F.col("node").alias("rep_block"))).alias("cls"))
 
-    Both are walked together in successor order; a pair fails when it meets
-    blocks of different ``classes(unit, node, cls)`` or a missing partner.
+
+def successors(blocks: DataFrame, edges: DataFrame, ranges: DataFrame) -> DataFrame:
+    """All successors with their place: (unit, src, place, dst).
+
+    Regular ones are placed by ``ord``; exception ones by their handler's first
+    range over the block, with the set of types.
+    """
+    from pyspark.sql.window import Window
+
+    at = blocks.select("unit", F.col("idx").alias("handler_idx"), F.col("block").alias("dst"))
+    typed = ranges.select(*SPAN, F.coalesce("exc_type", F.lit("")).alias("exc_type")).distinct()
+    caught = (
+        members(blocks, ranges).withColumnRenamed("block", "src").join(at, ["unit", "handler_idx"]).join(typed, SPAN)
+        .groupBy("unit", "src", "dst").agg(
+            F.min(F.struct("from_idx", "to_idx", "handler_idx")).alias("_at"),
+            F.array_join(F.array_sort(F.collect_set("exc_type")), ",").alias("_types")))
+    rank = F.row_number().over(Window.partitionBy("unit", "src").orderBy("_at"))
+    return edges.select("unit", "src", F.concat(F.lit("r"), F.col("ord").cast("string")).alias("place"), "dst").unionByName(
+        caught.select("unit", "src", F.concat(F.lit("e"), rank.cast("string"), F.lit(":"), "_types").alias("place"), "dst")
+    ).distinct()
+
+
+def equal_subgraphs(classes: DataFrame, outs: DataFrame) -> DataFrame:
+    """Blocks whose whole subgraph equals that of another block of the unit: (unit, a, b), a the least such block.
+
+    Blocks are equal if their ``classes(unit, node, cls)`` are, their successors
+    ``outs(unit, src, place, dst)`` have equal places, and successors in one
+    place are equal again.  Classes are refined by the places and classes of
+    successors until their number is stable; there is no list of pairs.  Equal
+    blocks are never parted.  A chance hash match could only join unequal ones:
+    members are checked against the least block of their class, and refined
+    anew with other hashes if one differs.
     """
-    cls = lambda c, n: classes.select("unit", F.col("node").alias(c), F.col("cls").alias(n))
-    outs = edges.select("unit", "src", "dst", "ord").distinct()
-    left = cut(outs.select("unit", F.col("src").alias("x"), "ord", F.col("dst").alias("_x")))
-    right = cut(outs.select("unit", F.col("src").alias("y"), "ord", F.col("dst").alias("_y")))
-    same = cut(classes.select("unit", "node", "cls"))
-    cx = same.select("unit", F.col("node").alias("x"), F.col("cls").alias("_cx"))
-    cy = same.select("unit", F.col("node").alias("y"), F.col("cls").alias("_cy"))
-
-    def step(f: DataFrame) -> DataFrame:
-        equal = f.join(cx, ["unit", "x"]).join(cy, ["unit", "y"]).filter("_cx = _cy").drop("_cx", "_cy")
-        return (
-            equal.join(left, ["unit", "x"]).join(right, ["unit", "y", "ord"])
-            .select("unit", "a", "b", F.col("_x").alias("x"), F.col("_y").alias("y")))
-
-    seed = pairs.select("unit", "a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
-    met = cut(fixpoint(seed, step, hops=2))
-    unlike = met.join(cls("x", "_cx"), ["unit", "x"]).join(cls("y", "_cy"), ["unit", "y"]).filter("_cx <> _cy")
-    lone_x = met.join(left, ["unit", "x"]).join(right, ["unit", "y", "ord"], "left_anti")
-    lone_y = met.join(right, ["unit", "y"]).join(left, ["unit", "x", "ord"], "left_anti")
-    bad = unlike.select("unit", "a", "b").unionByName(lone_x.select("unit", "a", "b")).unionByName(
-        lone_y.select("unit", "a", "b")).distinct()
-    return pairs.select("unit", "a", "b").join(bad, ["unit", "a", "b"], "left_anti")
+    nodes = cut(classes.select("unit", "node", "cls"))
+    outs = cut(outs.select("unit", "src", "place", "dst").distinct())
+    mod, salt = F.lit(1 << 40), 0
+    while True:
+        labels = cut(nodes.select("unit", "node", F.xxhash64(F.lit(salt), "cls").alias("l1"), F.xxhash64(F.lit(~salt), "cls").alias("l2")))
+        number = 0
+        while True:
+            for _ in range(3):
+                ahead = labels.withColumnRenamed("node", "dst")
+                following = outs.join(ahead, ["unit", "dst"], "left").groupBy("unit", F.col("src").alias("node")).agg(
+                    F.count(F.lit(1)).alias("_n"),
+                    F.sum(F.pmod(F.xxhash64(F.lit(salt), "place", "l1", "l2"), mod)).alias("_s1"),
+                    F.sum(F.pmod(F.xxhash64("l2", F.lit(salt), "l1", "place"), mod)).alias("_s2"))
+                labels = labels.join(following, ["unit", "node"], "left").select(
+                    "unit", "node", F.xxhash64("l1", "_n", "_s1", "_s2").alias("l1"), F.xxhash64("_s2", "_n", "l2", "_s1").alias("l2"))
+            labels = cut(labels)
+            before, number = number, labels.select("unit", "l1", "l2").distinct().count()
+            if number == before:
+                break
+        least = labels.groupBy("unit", "l1", "l2").agg(F.min("node").alias("a"))
+        members_of = cut(labels.join(least, ["unit", "l1", "l2"]).select("unit", "node", "a"))
+        found = cut(members_of.filter("node <> a").select("unit", "a", F.col("node").alias("b")))
+        own = nodes.select("unit", "node", "cls")
+        unlike = (
+            found.join(own.withColumnsRenamed({"node": "a", "cls": "_ca"}), ["unit", "a"])
+            .join(own.withColumnsRenamed({"node": "b", "cls": "_cb"}), ["unit", "b"]).filter(~F.col("_ca").eqNullSafe(F.col("_cb"))))
+        classed = outs.join(members_of.withColumnsRenamed({"node": "dst", "a": "to"}), ["unit", "dst"], "left").groupBy(
+            "unit", "src", "place", "to").agg(F.count(F.lit(1)).alias("n"))
+        of_a = found.join(classed.withColumnRenamed("src", "a"), ["unit", "a"])
+        of_b = found.join(classed.withColumnRenamed("src", "b"), ["unit", "b"])
+        lone = of_a.select(*of_b.columns).exceptAll(of_b).unionByName(of_b.exceptAll(of_a.select(*of_b.columns)))
+        if unlike.select("unit").unionByName(lone.select("unit")).isEmpty():
+            return found
+        salt += 1
 
 
 # ---------------------------------------------------------------- imports

@@ -453,12 +453,7 @@ bad as (select w.unit, w.a, w.b from w join c cx on cx.unit = w.unit and cx.node
   union select w.unit, w.a, w.b from w join v_edge e on e.unit = w.unit and e.src = w.y where not exists (select 1 from v_edge k where k.unit = w.unit and k.src = w.x and k.ord = e.ord))
 select unit, a, b from p where not exists (select 1 from bad where bad.unit = p.unit and bad.a = p.a and bad.b = p.b)""")
 def equal_subgraphs(f):
-    from classlake.operators.blocks import last_instructions
-
-    classes = cut(last_instructions(f.block).select("unit", F.col("block").alias("node"), F.col("op").alias("cls")))
-    first = classes.groupBy("unit", "cls").agg(F.min("node").alias("a"))
-    pairs = cut(classes.join(first, ["unit", "cls"]).filter("node <> a").select("unit", "a", F.col("node").alias("b")))
-    return R.equal_subgraphs(pairs, classes, f.edge)
+    return R.equal_subgraphs(R.block_classes(f.block), R.successors(f.block, f.edge, f.range))
 
 
 def type_uses(f):

@@ -197,3 +197,76 @@ def test_closure_is_reflexive_and_transitive(spark):
     names = {a for a, _ in TREE}
     assert all((n, n) in pairs for n in names)
     assert all((a, d) in pairs for (a, b), (c, d) in itertools.product(pairs, pairs) if b == c)
+
+
+def equal_by_definition(classes, outs):
+    """Least equal block of each block that has one: pairs are struck out until none differs."""
+    place = {}
+    for u, s, p, d in outs:
+        place.setdefault((u, s), []).append((p, d))
+    blocks = sorted(classes)
+    same = {(x, y) for x in blocks for y in blocks if x[0] == y[0] and classes[x] == classes[y]}
+    while True:
+        bad = set()
+        for x, y in same:
+            px, py = dict(place.get(x, [])), dict(place.get(y, []))
+            if px.keys() != py.keys() or any(((x[0], px[p]), (y[0], py[p])) not in same for p in px):
+                bad.add((x, y))
+        if not bad:
+            break
+        same -= bad
+    least = {y: min(x[1] for x, z in same if z == y) for y in blocks}
+    return sorted((u, a, n) for (u, n), a in least.items() if a != n)
+
+
+def subgraphs(spark, classes, outs):
+    nodes = spark.createDataFrame([(*k, v) for k, v in classes.items()], "unit string, node long, cls string")
+    return rows(R.equal_subgraphs(nodes, spark.createDataFrame(outs, "unit string, src long, place string, dst long")), "unit", "a", "b")
+
+
+def test_equal_subgraphs_beside_the_least_block(spark):
+    # calls 1, 3 and 5 lead to a return, a store and a store
+    classes = {("u", n): c for n, c in {1: "call", 2: "return", 3: "call", 4: "store", 5: "call", 6: "store"}.items()}
+    outs = [("u", 1, "r1", 2), ("u", 3, "r1", 4), ("u", 5, "r1", 6)]
+    assert subgraphs(spark, classes, outs) == [("u", 3, 5), ("u", 4, 6)] == equal_by_definition(classes, outs)
+    # a handler of another type, or in another place, parts them
+    assert subgraphs(spark, classes, outs + [("u", 4, "e1:E", 2), ("u", 6, "e1:F", 2)]) == []
+    # loops of one and of two blocks are alike
+    ring = {("v", n): "load" for n in range(1, 4)}
+    assert subgraphs(spark, ring, [("v", 1, "r1", 1), ("v", 2, "r1", 3), ("v", 3, "r1", 2)]) == [("v", 1, 2), ("v", 1, 3)]
+
+
+def test_equal_subgraphs_by_definition(spark, rng):
+    classes = {(f"u{u}", n): rng.choice("abc") for u in range(6) for n in range(1, 30)}
+    outs = [(u, n, p, rng.randrange(1, 30)) for u, n in classes for p in ("r0", "r1", "e1:E") if rng.random() < 0.3]
+    # a chain, equal to another one but for its last block
+    classes.update({("w", n): "z" if n == 40 else "x" for n in range(1, 61)})
+    outs += [("w", n, "r1", n + 1) for n in range(1, 60) if n not in (20, 40)]
+    want = equal_by_definition(classes, outs)
+    assert len(want) > 40 and subgraphs(spark, classes, outs) == want
+
+
+def test_successors_of_both_kinds(spark):
+    blocks = spark.createDataFrame([("u", i, i // 2 + 1) for i in range(8)], "unit string, idx long, block long")
+    edges = spark.createDataFrame([("u", 1, 2, 1), ("u", 1, 4, 0)], "unit string, src long, dst long, ord int")
+    ranges = spark.createDataFrame(
+        [("u", 0, 4, 6, "F"), ("u", 0, 4, 6, "E"), ("u", 2, 4, 4, None)],
+        "unit string, from_idx long, to_idx long, handler_idx long, exc_type string")
+    assert rows(R.successors(blocks, edges, ranges), "src", "place", "dst") == [
+        (1, "e1:E,F", 4), (1, "r0", 4), (1, "r1", 2), (2, "e1:E,F", 4), (2, "e2:", 3)]
+    instr = spark.createDataFrame(
+        [("u", 0, "store", 5, 1), ("u", 1, "load", 5, 1), ("u", 2, "store", 7, 2), ("u", 3, "load", 7, 2), ("u", 4, "store", 7, 3), ("u", 5, "load", 8, 3)],
+        "unit string, idx long, op string, slot long, block long")
+    got = {n: tuple(c) for n, c in rows(R.block_classes(instr), "node", "cls")}
+    assert got[1] == got[2] != got[3]
+
+
+def test_equal_subgraphs_of_the_tables(spark):
+    from classlake.plans.facts import facts
+    from classlake.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    f = facts(spark, sf)
+    classes = {(u, n): tuple(c) for u, n, c in R.block_classes(f.block).collect()}
+    outs = [tuple(r) for r in R.successors(f.block, f.edge, f.range).collect()]
+    assert rows(QUERIES["equal_subgraphs"](spark, sf), "unit", "a", "b") == equal_by_definition(classes, outs)
