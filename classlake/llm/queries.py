@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classlake.llm import decontaminate, katz, language_id, maxscore, minhash_forest, mixture, preference, secret_scan, shared, suffix_dedup, warc
+from classlake.llm import (
+    byte_bpe, decontaminate, katz, language_id, maxscore, minhash_forest, mixture, preference, secret_scan, shared,
+    suffix_dedup, warc)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +236,13 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = katz.katz_scores(table(spark, sf_dir, "documents"))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                       "base_score", "score")
+
+
+# ---- 11: byte-level BPE (tested against the library; see the tests)
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.decode(byte_bpe.encode(docs).select("doc_id", "ids"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))

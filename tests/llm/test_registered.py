@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registry():
     names = list(Q.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) | {"pipeline"} <= set(contract.queries()) and set(Q.ORACLES) <= set(contract.oracle_sql())
 
 
