@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from classlake.llm import (
-    byte_bpe, decontaminate, katz, language_id, maxscore, minhash_forest, mixture, preference, secret_scan, shared,
-    suffix_dedup, warc)
+    byte_bpe, collocation, decontaminate, katz, language_id, maxscore, minhash_forest, mixture, preference, secret_scan,
+    shared, suffix_dedup, warc)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -246,3 +246,40 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---- 12: phrase collocations
+PHRASE_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from p),
+words as (select lang, sum(len(w))::bigint n from w group by lang),
+f as (
+  select lang, k, array_to_string(w[s:s + k - 1], ' ') phrase, count(*)::bigint a
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) s from w, range(1, 5) t(k) where len(w) >= k)
+  group by all having count(*) >= 30),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') w from f where k > 1),
+cuts as (
+  select lang, phrase, a, cut, array_to_string(w[:cut], ' ') lp, array_to_string(w[cut + 1:], ' ') rp
+  from (select *, unnest(range(1, k)) cut from c)),
+scored as (
+  select cuts.lang, cuts.phrase, cuts.a, cut, x.a l, y.a r, (2000000::hugeint * cuts.a) // (x.a::hugeint + y.a) score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = lp join f y on y.lang = cuts.lang and y.phrase = rp),
+best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_parts as (
+  select lang, array_to_string(w[i:i + z - 1], ' ') phrase, max(a) longer
+  from (select *, unnest(range(1, k - z + 2)) i from (select *, unnest(range(2, k)) z from c where k > 2)) group by all),
+ranked as (
+  select best.lang, best.phrase, a, l, r, score::bigint score,
+    row_number() over (partition by best.lang order by score desc, a desc, best.phrase) rank
+  from best left join inner_parts o on o.lang = best.lang and o.phrase = best.phrase
+  where longer is null or 100::hugeint * longer < 80::hugeint * a)
+select ranked.lang, rank, phrase, a, l, r, n, score from ranked join words on words.lang = ranked.lang where rank <= 2000"""
+
+
+@query("op12_collocations", PHRASE_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents")).drop("cut")
