@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from classlake.llm import (
     byte_bpe, collocation, decontaminate, katz, language_id, maxscore, minhash_forest, mixture, preference, secret_scan,
-    shared, suffix_dedup, warc)
+    shared, suffix_dedup, vector_codes, warc)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -283,3 +283,42 @@ select ranked.lang, rank, phrase, a, l, r, n, score from ranked join words on wo
 @query("op12_collocations", PHRASE_SQL)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents")).drop("cut")
+
+
+# ---- 13: vector code compression
+def _codes_sql(entries: int = 256, rounds: int = 4) -> str:
+    """One assignment and one new codebook after the other; the digest is a list of all entries."""
+    steps = ["""
+v as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) x from embeddings
+      where embedding is not null and list_count(embedding) = len(embedding)
+        and not list_bool_or(list_transform(embedding, lambda x: not isfinite(x)))),
+p as (select vec_id, label, pos, x[pos * len(x) // 4 + 1:(pos + 1) * len(x) // 4] x from v, range(0, 4) t(pos)),
+o as (select vec_id, row_number() over (order by vec_id) - 1 e from v),
+c0 as (select pos, e, x from p join o using (vec_id) where e < %d)""" % entries]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} as materialized (
+  select vec_id, label, pos, any_value(x) x, min(struct_pack(d := d, e := e)) best
+  from (select p.*, e, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d
+        from p join c{k} c using (pos))
+  group by vec_id, label, pos)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} as (select pos, e, list(s order by i) x from (
+  select pos, best.e e, i, floor(sum(x[i]) / count(*)) s from a{k}, range(1, (select max(len(x)) from a{k}) + 1) t(i)
+  group by pos, best.e, i) group by pos, e),
+c{k + 1} as materialized (select pos, e, coalesce(m.x, c.x) x from c{k} c left join m{k} m using (pos, e))""")
+    return "with" + ",".join(steps) + f""",
+code as (
+  select vec_id, label, string_agg(lower(lpad(to_hex(best.e::bigint), 2, '0')), '' order by pos) code, sum(best.d)::bigint error
+  from a{rounds} group by vec_id, label),
+book as (select sha256(string_agg(array_to_string(list_transform(x, lambda z: z::bigint), ','), ',' order by pos, e)) codebooks_sha256
+         from c{rounds})
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, codebooks_sha256 from code, book"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error",
+                        F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
