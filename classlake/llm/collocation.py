@@ -4,20 +4,21 @@ A phrase is 1 to ``LONGEST`` words in a row within a piece of a text; everything
 counted for each language by itself.
 
 1. A sample of whole documents, chosen by a hash of doc_id, proposes phrases: those
-   with at least ``sample_least`` occurrences in it.  Shorter parts of a proposed phrase
-   are proposed too.  Proposals are kept as bits of a table of fixed size, at the place
-   that a phrase's hash names; a chance hit only has a phrase counted that need not be.
-2. The full pass counts, exactly and over all documents, every word and every phrase
-   whose first and last words but one are proposed: the proposals and their negative
-   border, which is never listed.  A task adds its counts up before they are dealt out
-   by the phrase itself.
-3. A phrase of the border that turns out frequent is a failure: phrases around it have
+   with at least ``sample_least`` occurrences in it.  Parts of a proposed phrase are
+   proposed too.  Proposals are kept as bits of a table of fixed size, at the place that
+   a phrase's hash names; a chance hit only has a phrase counted that need not be.
+2. The full pass counts, over all documents, every word and every phrase whose first
+   and last words but one are proposed: the proposals and their negative border, which
+   is never listed.  Counts are added up by 64-bit hash; a hash has at least the count of
+   each phrase under it.
+3. A phrase of the border with enough occurrences is a failure: phrases around it have
    not been counted.  Failures are added to the proposals and another full pass counts
    what that opens, until none fails.  Each phrase is counted whole in one pass.  As
-   words are all counted, the passes end after ``LONGEST`` + 1 at most.
+   words are all counted, there are at most ``LONGEST`` passes.
+4. The phrases under a hash with enough occurrences are counted once more, by
+   themselves: what was found is exact, whatever hashes did.
 
-Words of a batch are told apart by two 64-bit hashes; dealt out and joined are the
-phrases themselves.
+A task adds its counts up before they are dealt out.
 
 Defined results: a null text is empty; a null language is ``und``; repeated rows count
 each time; the sample of a null doc_id is that of 0 and changes no result; other columns
@@ -47,12 +48,13 @@ COVERED = (100, 80)          # dropped inside a longer phrase if 100 * longer >=
 TOP = 2000
 BLOCK_BYTES = 2 << 20
 HELD = 1 << 20               # rows that a task adds up before it lets them go
+LENGTH = W.U(15)             # bits of a hash that hold the phrase's number of words
 
 #: What a byte is: part of a word, a blank between words, or the end of a piece.
 WORD, BLANK, BREAK = 0, 1, 2
 KIND = np.array([BREAK if c in b".,;:!?\n\v\f\r" else BLANK if c in b" \t" else WORD for c in range(256)], np.uint8)
 _VALUES = np.random.default_rng(12).integers(1, 2**63, (2, 256), dtype=np.uint64) | W.U(1)
-_PLACE = np.random.default_rng(34).integers(1, 2**63, LONGEST + 1, dtype=np.uint64) | W.U(1)
+_PLACE = np.random.default_rng(34).integers(1, 2**63, 16, dtype=np.uint64) | W.U(1)
 
 
 @dataclass
@@ -67,12 +69,12 @@ class Words:
     hash: np.ndarray    # two rows
 
     def grams(self, k: int, at: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-        """Two hashes of the phrases of k words that begin at the words ``at``."""
-        value = seeds[self.lang[at]] * _PLACE[LONGEST] + W.U(k)
-        out = np.stack([value, value ^ _PLACE[LONGEST]])
+        """Two hashes of the phrases of k words that begin at the words ``at``, with k in the last bits."""
+        value = seeds[self.lang[at]] * _PLACE[-1]
+        out = np.stack([value, value ^ _PLACE[-1]])
         for j in range(k):
             out += self.hash[:, at + j] * _PLACE[j]
-        return W.mix(out)
+        return W.mix(out) & ~LENGTH | W.U(k)
 
     def phrases(self, k: np.ndarray, at: np.ndarray) -> pa.Array:
         last = at + k - 1
@@ -175,18 +177,18 @@ def opened(words: Words, seeds: np.ndarray, new: Proposals | None, old: Proposal
 
 
 def _distinct(h: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(one place of each pair of hashes, sum of n)."""
+    """(one place of each column of hashes, sum of n); ``h`` has one row or two."""
     if not h.shape[1]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(h[0])
     for last in (False, True):
         new = np.ones(len(order), bool)
         np.not_equal(h[0][order[1:]], h[0][order[:-1]], out=new[1:])
-        other = h[1][order[1:]] != h[1][order[:-1]]
+        other = h[-1][order[1:]] != h[-1][order[:-1]]
         if last:
             new[1:] |= other
         elif (other & ~new[1:]).any():  # two phrases under one hash
-            order = np.lexsort((h[1], h[0]))
+            order = np.lexsort((h[-1], h[0]))
             continue
         break
     first = np.flatnonzero(new)
@@ -201,7 +203,8 @@ class Tally:
         self.parts: list[tuple[np.ndarray, pa.Table]] = []
         self.rows = 0
 
-    def add(self, hashes: np.ndarray, table: pa.Table) -> Iterator[pa.Table]:
+    def add(self, hashes: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """``hashes`` tell the rows of ``table`` apart, whose column n is added up."""
         self.parts.append((hashes, table))
         self.rows += table.num_rows
         if self.rows > HELD:
@@ -213,14 +216,15 @@ class Tally:
         if len(self.parts) > 1:
             h = np.concatenate([p[0] for p in self.parts], axis=1)
             table = pa.concat_tables([p[1] for p in self.parts])
+            self.parts = []
             at, total = _distinct(h, table["n"].to_numpy())
-            table = table.take(pa.array(at)).set_column(table.schema.get_field_index("n"), "n", pa.array(total))
+            table = table.drop_columns("n").take(pa.array(at)).append_column("n", pa.array(total))
             self.parts, self.rows = [(h[:, at], table)], len(at)
 
-    def let_go(self) -> Iterator[pa.Table]:
+    def let_go(self) -> Iterator[pa.RecordBatch]:
         self.merge()
         for _, table in self.parts:
-            yield table
+            yield from table.combine_chunks().to_batches(max_chunksize=1 << 17)
         self.parts, self.rows = [], 0
 
 
@@ -242,115 +246,93 @@ def prepared(docs: DataFrame) -> DataFrame:
         F.concat(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\n")).alias("text"))
 
 
-def _sampled(docs: DataFrame, share: int, least: int, lengths: range, known, longest: int) -> DataFrame:
-    """(g): hashes of the phrases of these lengths with ``least`` occurrences in the sample."""
+def _hashes_counted(docs: DataFrame, new, old, lengths: range, least: int) -> DataFrame:
+    """(g): hashes with ``least`` occurrences of phrases of these lengths that ``new`` opens and ``old`` does not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
-        before = known.value if known else None
-
-        def out(tables):
-            for t in tables:
-                yield from t.select(["g", "n"]).combine_chunks().to_batches()
-
+        known, before = new.value if new else None, old.value if old else None
         for batch in batches:
             names, found = _read(batch)
             seeds = _seeds(names)
             for words in found:
-                hs = [g for k, _, g in opened(words, seeds, before, None, lengths[-1]) if k in lengths]
-                h = np.concatenate(hs, axis=1)
-                at, n = _distinct(h, None)
-                yield from out(tally.add(h[:, at], pa.table({"g": h[0][at].view(np.int64), "n": n})))
-        yield from out(tally.let_go())
-
-    chosen = docs.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(share)) == 0)
-    return (chosen.select("lang", "text").mapInArrow(tidied(run), "g long, n long")
+                g = np.concatenate([g[:1] for k, _, g in opened(words, seeds, known, before, lengths[-1]) if k in lengths], axis=1)
+                at, n = _distinct(g, None)
+                g = g[:, at]
+                yield from tally.add(g, pa.table({"g": g[0].view(np.int64), "n": n}))
+        yield from tally.let_go()
+
+    # tasks have added up what they can, so rows are dealt out as they are
+    return (docs.select("lang", "text").mapInArrow(tidied(run), "g long, n long").repartition("g")
             .groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("g"))
 
 
-def _counted(docs: DataFrame, new, old, least: int, longest: int) -> DataFrame:
-    """(lang, k, phrase, n): phrases that ``new`` opens, with ``least`` occurrences; k = 0 holds a language's words."""
+def _phrases_counted(docs: DataFrame, chosen, least: int, longest: int) -> DataFrame:
+    """(lang, k, phrase, n): phrases under the ``chosen`` hashes with ``least`` occurrences; k = 0 holds a language's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        known, before = new.value, old.value if old else None
-
-        def out(tables):
-            for t in tables:
-                yield from t.combine_chunks().to_batches()
-
+        tally, known = Tally(), chosen.value
         for batch in batches:
             names, found = _read(batch)
             seeds, langs = _seeds(names), pa.array(names, pa.string())
             for words in found:
-                got = list(opened(words, seeds, known, before, longest))
-                h = np.concatenate([g for _, _, g in got], axis=1)
-                k = np.repeat([k for k, _, _ in got], [len(at) for _, at, _ in got])
-                start = np.concatenate([at for _, at, _ in got])
+                some = [(k, at[held], g[:, held]) for k, at, g in opened(words, seeds, known, None, longest)
+                        for held in [known.holds(g[0])]]
+                h = np.concatenate([g for _, _, g in some], axis=1)
+                k = np.repeat([k for k, _, _ in some], [len(at) for _, at, _ in some])
+                start = np.concatenate([at for _, at, _ in some])
                 at, n = _distinct(h, None)
                 k, start = k[at], start[at]
-                yield from out(tally.add(h[:, at], pa.table({
+                yield from tally.add(h[:, at], pa.table({
                     "lang": langs.take(pa.array(words.lang[start])), "k": pa.array(k, pa.int32()),
-                    "phrase": words.phrases(k, start).cast(pa.string()), "n": n})))
-                if before is None:
-                    total = np.bincount(words.lang, minlength=len(names))
-                    here = np.flatnonzero(total)
-                    h = np.stack([seeds[here], ~seeds[here]])
-                    yield from out(tally.add(h, pa.table({
-                        "lang": langs.take(pa.array(here)), "k": pa.array(np.zeros(len(here)), pa.int32()),
-                        "phrase": pa.array([""] * len(here)), "n": total[here].astype(np.int64)})))
-        yield from out(tally.let_go())
+                    "phrase": words.phrases(k, start).cast(pa.string()), "n": n}))
+                total = np.bincount(words.lang, minlength=len(names))
+                here = np.flatnonzero(total)
+                yield from tally.add(np.stack([seeds[here] & ~LENGTH, seeds[here]]), pa.table({
+                    "lang": langs.take(pa.array(here)), "k": pa.array(np.zeros(len(here)), pa.int32()),
+                    "phrase": pa.array([""] * len(here)), "n": total[here].astype(np.int64)}))
+        yield from tally.let_go()
 
     return (docs.select("lang", "text").mapInArrow(tidied(run), "lang string, k int, phrase string, n long")
             .groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("k") == 0)))
 
 
-def _failures(frequent: DataFrame, known, longest: int) -> DataFrame:
-    """(g): hashes of frequent phrases that were not proposed and may have longer ones around them."""
+def _failures(found: DataFrame, known, longest: int) -> DataFrame:
+    """(g): those of ``found`` that were not proposed and may have longer phrases around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, found = _read(batch)
-            ks = batch.column("k").to_numpy()
-            seeds, row = _seeds(names), 0
-            for words in found:
-                first = np.flatnonzero(~words.joined)  # each text is one phrase, so one piece
-                size = ks[row:row + len(first)]
-                row += len(first)
-                for k in np.unique(size):
-                    g = words.grams(int(k), first[size == k], seeds)[0]
-                    g = g[~known.value.holds(g)]
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], names=["g"])
+            g = batch.column("g").to_numpy().view(W.U)
+            g = g[((g & LENGTH) < W.U(longest)) & ~known.value.holds(g)]
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], names=["g"])
 
-    shorter = frequent.filter(F.col("k").between(1, longest - 1))
-    return shorter.select("lang", "k", F.concat("phrase", F.lit("\n")).alias("text")).mapInArrow(tidied(run), "g long")
+    return found.mapInArrow(tidied(run), "g long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE,
                      sample_least: int = SAMPLE_LEAST, bits: int = BITS) -> DataFrame:
     """(lang, k, phrase, n): all phrases of k <= ``longest`` words with ``least`` occurrences; k = 0 has all words' sum."""
-    spark = docs.sparkSession
+    if not 1 <= longest < 16:
+        raise ValueError("phrases have 1 to 15 words")
+    share = docs.sparkSession.sparkContext.broadcast  # of tables with 2 ** bits bits
     docs = prepared(docs)
-    share = lambda p: spark.sparkContext.broadcast(p)  # 2 ** bits bits
-    held = Proposals(bits).with_hashes(_sampled(docs, sample, sample_least, range(1, min(2, longest) + 1), None, longest))
-    if longest > 3:  # what is proposed only has to tell which longer phrases to count
-        held = held.with_hashes(_sampled(docs, sample, sample_least, range(3, longest), share(held), longest))
-    passes, old = [], None
+    chosen = docs.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(sample)) == 0)
+    # what is proposed only has to tell which longer phrases to count
+    held = Proposals(bits).with_hashes(_hashes_counted(chosen, None, None, range(1, min(2, longest) + 1), sample_least))
+    for k in range(3, longest):
+        held = held.with_hashes(_hashes_counted(chosen, share(held), None, range(k, k + 1), sample_least))
+    old, frequent = None, Proposals(bits)
     while True:
         new = share(held)
-        passes.append(written(_counted(docs, new, old, least, longest)))
-        found = written(_failures(passes[-1], new, longest))
-        more = not found.isEmpty()
-        if more:
-            held = held.with_hashes(found)
-        drop(found)
-        if not more:
-            break
-        old = new
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    return out
+        found = written(_hashes_counted(docs, new, old, range(1, longest + 1), least))
+        frequent = frequent.with_hashes(found)
+        failed = written(_failures(found, new, longest))
+        closed = failed.isEmpty()
+        if not closed:
+            old, held = new, held.with_hashes(failed)
+        drop(found, failed)
+        if closed:
+            return written(_phrases_counted(docs, share(frequent), least, longest))
 
 
 def _over(phrase: str, first, size) -> F.Column:
