@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from classlake.llm import words as W
-from classlake.llm.shared import bounded_batches, drop, tidied, written
+from classlake.llm.shared import bounded_batches, cleaned_shuffles, drop, tidied, written
 
 LONGEST = 4
 LEAST = 30
@@ -47,7 +47,7 @@ BITS = 26                    # the table of proposals has 2 ** BITS bits, whatev
 COVERED = (100, 80)          # dropped inside a longer phrase if 100 * longer >= 80 * own
 TOP = 2000
 BLOCK_BYTES = 2 << 20
-HELD = 1 << 20               # rows that a task adds up before it lets them go
+HELD = 3 << 20               # rows that a task adds up before it lets them go
 LENGTH = W.U(15)             # bits of a hash that hold the phrase's number of words
 
 #: What a byte is: part of a word, a blank between words, or the end of a piece.
@@ -144,7 +144,8 @@ class Proposals:
         bit = F.expr(f"shiftrightunsigned(g, {int(self.shift)})")
         rows = hashes.select(bit.alias("bit")).select(
             F.shiftright("bit", 6).alias("place"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
-        got = rows.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+        with cleaned_shuffles(hashes.sparkSession):
+            got = rows.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
         table = self.table.copy()
         place = got["place"].to_numpy()
         table[place] |= got["mask"].to_numpy().view(W.U)
@@ -197,19 +198,20 @@ def _distinct(h: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarr
 
 
 class Tally:
-    """Counts of a task, added up block by block; at most about 2 * ``HELD`` rows are held."""
+    """Counts of a task, added up block by block; at most ``HELD`` rows and a block's are held."""
 
-    def __init__(self):
+    def __init__(self, key: str | None = None):
+        self.key = key  # name of a column that takes the first hash
         self.parts: list[tuple[np.ndarray, pa.Table]] = []
-        self.rows = 0
+        self.rows = self.merged = 0
 
     def add(self, hashes: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
         """``hashes`` tell the rows of ``table`` apart, whose column n is added up."""
         self.parts.append((hashes, table))
         self.rows += table.num_rows
-        if self.rows > HELD:
+        if self.rows > max(HELD // 4, 2 * self.merged):  # what was added up doubled
             self.merge()
-            if self.rows > HELD // 2:
+            if self.merged > HELD // 2:
                 yield from self.let_go()
 
     def merge(self) -> None:
@@ -218,14 +220,20 @@ class Tally:
             table = pa.concat_tables([p[1] for p in self.parts])
             self.parts = []
             at, total = _distinct(h, table["n"].to_numpy())
-            table = table.drop_columns("n").take(pa.array(at)).append_column("n", pa.array(total))
+            names = [c for c in table.column_names if c != "n"]
+            table = pa.table([*(table[c].take(pa.array(at)) for c in names), total], names=[*names, "n"])
             self.parts, self.rows = [(h[:, at], table)], len(at)
+        self.merged = self.rows
 
     def let_go(self) -> Iterator[pa.RecordBatch]:
         self.merge()
-        for _, table in self.parts:
-            yield from table.combine_chunks().to_batches(max_chunksize=1 << 17)
-        self.parts, self.rows = [], 0
+        for h, table in self.parts:
+            for batch in table.combine_chunks().to_batches(max_chunksize=1 << 17):
+                if self.key:
+                    key, h = pa.array(h[0][:batch.num_rows].view(np.int64)), h[:, batch.num_rows:]
+                    batch = pa.RecordBatch.from_arrays([key, *batch.columns], names=[self.key, *batch.schema.names])
+                yield batch
+        self.parts, self.rows, self.merged = [], 0, 0
 
 
 def _seeds(names: list[str]) -> np.ndarray:
@@ -250,7 +258,7 @@ def _hashes_counted(docs: DataFrame, new, old, lengths: range, least: int) -> Da
     """(g): hashes with ``least`` occurrences of phrases of these lengths that ``new`` opens and ``old`` does not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally("g")
         known, before = new.value if new else None, old.value if old else None
         for batch in batches:
             names, found = _read(batch)
@@ -258,8 +266,7 @@ def _hashes_counted(docs: DataFrame, new, old, lengths: range, least: int) -> Da
             for words in found:
                 g = np.concatenate([g[:1] for k, _, g in opened(words, seeds, known, before, lengths[-1]) if k in lengths], axis=1)
                 at, n = _distinct(g, None)
-                g = g[:, at]
-                yield from tally.add(g, pa.table({"g": g[0].view(np.int64), "n": n}))
+                yield from tally.add(g[:, at], pa.table({"n": n}))
         yield from tally.let_go()
 
     # tasks have added up what they can, so rows are dealt out as they are

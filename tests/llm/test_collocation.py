@@ -88,7 +88,7 @@ def test_small_blocks_and_tallies(frame, monkeypatch):
 
     names, found = batch(texts(rows))
     got = {n: [Counter() for _ in range(5)] for n in names}
-    monkeypatch.setattr(C, "HELD", 50)
+    monkeypatch.setattr(C, "HELD", 80)
     tally, out = C.Tally(), []
     for words in found:
         for k, at, g in C.opened(words, C._seeds(names), None, None, 4):
@@ -97,13 +97,30 @@ def test_small_blocks_and_tallies(frame, monkeypatch):
                 "lang": pa.array([names[x] for x in words.lang[at[some]]], pa.string()), "k": pa.array([k] * len(some), pa.int32()),
                 "phrase": words.phrases(C.np.full(len(some), k), at[some]).cast(pa.string()), "n": n}))
     out += tally.let_go()
+    assert all(t.num_rows <= 300 for t in out)
     for t in out:
-        assert t.num_rows <= 300
         for r in t.to_pylist():
             got[r["lang"]][r["k"]][tuple(r["phrase"].split(" "))] += r["n"]
     assert len(out) > 3 and got == phrases(rows)
 
 
+def test_tally_of_hashes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "HELD", 40)
+    rng, tally, want, out = random.Random(3), C.Tally("g"), Counter(), []
+    for _ in range(60):
+        g = sorted(set(rng.choices(range(35 if rng.random() < 0.8 else 900), k=9)))
+        want.update(g)
+        out += tally.add(np.array([g], np.uint64), pa.table({"n": np.ones(len(g), np.int64)}))
+    out += tally.let_go()
+    got = Counter()
+    for b in out:
+        got.update(dict(zip(b["g"].to_pylist(), b["n"].to_pylist())))
+    assert got == want and sum(b.num_rows for b in out) < want.total()
+
+
 def test_two_phrases_under_one_hash():
     import numpy as np
 
