@@ -478,6 +478,32 @@ def levels(edges: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
                 raise ValueError("cycle: nodes precede themselves")
 
 
+def wavefront(levels: DataFrame, step: Callable[[int, DataFrame], tuple[DataFrame, DataFrame]], sent: str) -> DataFrame:
+    """Work through an acyclic graph level by level; what one level decides is input of the later ones.
+
+    ``levels(node, level)``.  ``step(level, rows)`` gets the rows that earlier
+    levels sent to this one and returns its result and the rows it sends on,
+    with the schema ``sent``, which has a column ``level`` for their receiver's.
+    Rows sent are written in folders by that level, so each is written once and
+    read once.  The union of the results is returned.
+    """
+    spark = levels.sparkSession
+    last = levels.agg(F.max("level")).first()[0]
+    paths: list[str] = []
+    results: list[DataFrame] = []
+    none = spark.createDataFrame([], sent)
+    for level in range(0, -1 if last is None else int(last) + 1):
+        rows = _union([none, *(spark.read.schema(none.schema).parquet(p).filter(F.col("level") == level) for p in paths)])
+        done, on = step(level, rows)
+        results.append(done)
+        if level < last:
+            paths.append(f"{work_dir(spark)}/{uuid.uuid4().hex}")
+            on.select(none.columns).write.partitionBy("level").parquet(paths[-1])
+    if not results:
+        return step(0, none)[0]
+    return _union(results)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete everything this application wrote to the work folder.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from classlake.functions import descriptors as D
 from classlake.functions import names as N
+from classlake.operators import hierarchy as H
 from classlake.operators import rename as R
 from classlake.operators.members import KEY
 from classlake.plans.member_queries import family_table
@@ -290,6 +291,84 @@ def family_renaming(f):
     return R.rename_members(owned_methods(f), family_table(f), f.up, method_mapping(f))
 
 
+def proposed_methods(f):
+    """Methods with the name their family would take."""
+    chosen = R.family_names(family_table(f), f.method, method_mapping(f))
+    families = family_table(f).join(chosen, "family", "left").select(*KEY, "target")
+    return owned_methods(f).join(families, KEY, "left").select(
+        *KEY, "ord", "overridable", (~F.col("own")).alias("fixed"), F.coalesce("target", "name").alias("proposed"))
+
+
+@query("flowing_names", f"""
+with {FAMILY_NAME},
+lv as (select node, max(len(path)) as level from o_paths group by node),
+w as (
+  select m.class, m.name, m.params, m.ret, m.ord, m.overridable, not h.is_own as fixed, coalesce(fam.target, m.name) as proposed, lv.level
+  from v_method m join v_hier h on h.node = m.class join lv on lv.node = m.class
+  left join o_family f on f.class = m.class and f.name = m.name and f.params = m.params and f.ret = m.ret
+  left join fam on fam.family = f.family),
+s(class, name, params, ret, own, passes, new_name, how, lvl) using key (class, name, params, ret, own) as (
+  select -1::bigint, '', '', '', true, false, '', '', -1::bigint
+  union
+  (with l as (select max(lvl) + 1 as l from s),
+  inh as (
+    select p.node as class, r.name, r.params, r.ret, arg_max(r.new_name, p.pos) as nn
+    from l join lv on lv.level = l.l join v_parent p on p.node = lv.node join recurring.s r on r.class = p.parent and r.passes
+    group by p.node, r.name, r.params, r.ret),
+  a as (
+    select w.*, inh.nn, case when fixed then 0 when overridable and nn is not null then 1 else 2 end as turn,
+      case when fixed then w.name when overridable and nn is not null then nn else proposed end as want
+    from l join w on w.level = l.l left join inh on inh.class = w.class and inh.name = w.name and inh.params = w.params and inh.ret = w.ret),
+  b as (
+    select a.*, turn > 0 and (row_number() over (partition by class, want, params order by turn, ord, name, ret) > 1
+      or (turn = 2 and exists (select 1 from inh i where i.class = a.class and i.nn = a.want and i.params = a.params))) as loses from a),
+  c as (select *, row_number() over (partition by class, want, params, loses order by turn, ord, name, ret) as r from b),
+  used as (
+    select class, params, list(nm) as names from (
+      select class, params, want as nm from a union select class, params, nn from inh) group by class, params),
+  d as (
+    select c.*, case when loses then want || '_' || list_filter(range(1, 200), lambda k: not list_contains(used.names, want || '_' || k))[r]
+      else want end as fin
+    from c join used on used.class = c.class and used.params = c.params)
+  select class, name, params, ret, true, overridable, fin,
+    case when loses then 'renamed' when turn = 1 then 'inherited' else 'kept' end, level from d
+  union all
+  select class, name, params, ret, false, true, nn, '', l.l from inh, l
+  where not exists (select 1 from d where d.class = inh.class and d.name = inh.name and d.params = inh.params and d.ret = inh.ret and d.overridable)
+  union all
+  select -2 - l, '', '', '', true, false, '', '', l from l where l <= (select max(level) from lv)))
+select class, name, params, ret, new_name, how from s where own and class >= 0""")
+def flowing_names(f):
+    levels = H.inheritance_levels(f.parent, f.hier.select("node"))
+    return R.flowing_names(proposed_methods(f), f.parent, levels)
+
+
+def all_fields(f):
+    """Members as fields of one name each."""
+    owners = f.hier.select(F.col("node").alias("class"), F.col("is_iface").alias("in_iface"), F.col("is_own").alias("own"))
+    return f.member.withColumn("name", F.concat("name", "params", "ret")).join(owners, "class").select(
+        "class", "name", "ord", "in_iface", "own")
+
+
+@query("field_renaming", """
+with st as (
+  select 0 as round, class, concat(name, params, ret) as name, concat(name, params, ret) as new_name from v_member
+  union all
+  select round + 1, class, name, new_name from (
+    with s as (select st.*, m.ord, h.is_iface, h.is_own from st join v_hier h on h.node = st.class
+               join v_member m on m.class = st.class and concat(m.name, m.params, m.ret) = st.name),
+    r as (select s.class, s.name, s.new_name, s.ord, s.is_own, row_number() over (
+        partition by d.node, s.new_name order by s.is_iface, d.path, s.ord, s.name) as place
+      from s join o_dfs d on d.anc = s.class),
+    lo as (select distinct class, name, new_name, ord from r where place > 1 and is_own),
+    num as (select class, name, row_number() over (partition by new_name order by ord, class, name) as k from lo)
+    select s.round, s.class, s.name, case when num.k is null then s.new_name else concat(s.new_name, '_', cast(num.k as varchar)) end as new_name
+    from s left join num on num.class = s.class and num.name = s.name where exists (select 1 from num)) q)
+select class, name, new_name from st where round = (select max(round) from st)""")
+def field_renaming(f):
+    return R.rename_fields(all_fields(f), f.depth_first)
+
+
 @query("field_keepers", """
 select d.node, concat(m.name, m.params, m.ret) as name, arg_min(m.class, (h.is_iface, d.path, m.ord)) as keeper, count(*) as fields
 from o_dfs d join v_member m on m.class = d.anc join v_hier h on h.node = m.class
