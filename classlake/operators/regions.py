@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from classlake.iterate import cut
+from classlake.iterate import cut, fixpoint
 from classlake.operators.ranges import SPAN, members
 from classlake.scan import first_by, running_sum
 
@@ -146,6 +146,63 @@ def equal_subgraphs(classes: DataFrame, outs: DataFrame) -> DataFrame:
         salt += 1
 
 
+def local_slots(blocks: DataFrame) -> DataFrame:
+    """(unit, node, nslot, slot): the slot behind each number of :func:`normalised`."""
+    from pyspark.sql.window import Window
+
+    uses = blocks.filter("op in ('store', 'load')").groupBy("unit", F.col("block").alias("node"), "slot").agg(F.min("idx").alias("_at"))
+    return uses.select("unit", "node", F.row_number().over(Window.partitionBy("unit", "node").orderBy("_at")).alias("nslot"), "slot")
+
+
+def analogous_subgraphs(found: DataFrame, outs: DataFrame, slots: DataFrame) -> DataFrame:
+    """Equal subgraphs whose slots correspond one to one throughout: (unit, a, b), a the least such block.
+
+    ``found(unit, a, b)`` are equal subgraphs by :func:`equal_subgraphs`, whose
+    blocks agree in slots only inside each block; ``slots(unit, node, nslot,
+    slot)`` tells the slots behind the numbers.  A class's blocks are walked in
+    step with its least one, place by place; a pair fails if the walk maps a
+    slot to two, or two to one.  Composition keeps such maps one to one, so
+    being analogous is an equivalence: what fails forms a class of its own, and
+    is walked with its least block in the next round.  Each round settles a
+    block of every class.
+    """
+    outs = cut(outs.select("unit", "src", "place", "dst").distinct())
+    slots = cut(slots)
+    cls = F.col("a").alias("cls")
+    pending = cut(
+        found.select("unit", cls, F.col("b").alias("node"))
+        .unionByName(found.select("unit", cls, F.col("a").alias("node")).distinct()))
+    settled: list[DataFrame] = []
+
+    def step(f: DataFrame) -> DataFrame:
+        of = lambda c: outs.select("unit", F.col("src").alias(c), "place", F.col("dst").alias("_" + c))
+        return f.join(of("x"), ["unit", "x"]).join(of("y"), ["unit", "y", "place"]).select(
+            "unit", "a", "b", F.col("_x").alias("x"), F.col("_y").alias("y"))
+
+    while True:
+        least = pending.groupBy("unit", "cls").agg(F.min("node").alias("a"))
+        pairs = cut(
+            pending.join(least, ["unit", "cls"]).filter("node <> a").select("unit", "cls", "a", F.col("node").alias("b")))
+        if pairs.isEmpty():
+            break
+        walk = fixpoint(pairs.select("unit", "a", "b", F.col("a").alias("x"), F.col("b").alias("y")), step)
+        side = lambda c, s: slots.select("unit", F.col("node").alias(c), "nslot", F.col("slot").alias(s))
+        maps = cut(
+            walk.join(side("x", "s"), ["unit", "x"]).join(side("y", "t"), ["unit", "y", "nslot"])
+            .select("unit", "a", "b", "s", "t").distinct())
+        pair = ["unit", "a", "b"]
+        twice = lambda c: maps.groupBy(*pair, c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*pair)
+        failed = cut(twice("s").unionByName(twice("t")).distinct())
+        settled.append(pairs.join(failed, pair, "left_anti").select(*pair))
+        pending = cut(pairs.join(failed, pair, "left_semi").select("unit", "cls", F.col("b").alias("node")))
+    if not settled:
+        return found.select("unit", "a", "b").limit(0)
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # ---------------------------------------------------------------- imports
 
 

@@ -216,7 +216,7 @@ ln as (select r.unit, r.idx, max(m.idx) as prev from tc r join tc m on m.unit =
     and m.role in ('assign', 'effect') where r.role in ('read', 'effect') group by r.unit, r.idx, r.slot
   union select r.unit, r.idx, max(m.idx) from tc r join tc m on m.unit = r.unit and m.slot = r.slot and m.idx < r.idx
     and m.role = 'declare' where r.role in ('assign', 'declare') group by r.unit, r.idx, r.slot),
-sl as (select unit, idx from v_seq where op = 'load' and event_id % 20 = 0
+sl as (select unit, idx from v_seq where op = 'load'
   union select s.unit, l.prev from sl s join ln l on l.unit = s.unit and l.idx = s.idx)"""
 
 
@@ -229,7 +229,7 @@ def backward_slice(f):
     touches = (
         touch("op = 'store'", s, "assign").unionByName(touch("op = 'store'", (s + 1) % 4, "read"))
         .unionByName(touch("op = 'load'", s, "effect")).unionByName(touch("op = 'goto'", s, "declare")))
-    seeds = f.seq.filter("op = 'load' and event_id % 20 = 0").select("unit", "idx")
+    seeds = f.seq.filter("op = 'load'").select("unit", "idx")
     return D.backward_slice(seeds, D.slice_links(touches))
 
 
@@ -443,17 +443,39 @@ def duplicate_blocks(f):
 
 
 @query("equal_subgraphs", """
-with c as (select unit, block as node, op as cls from v_last),
-p as (select c.unit, m.a, c.node as b from c join (select unit, cls, min(node) as a from c group by all) m on m.unit = c.unit and m.cls = c.cls where c.node <> m.a),
-w as (select unit, a, b, a as x, b as y from p
-  union select w.unit, w.a, w.b, e.dst, k.dst from w join c cx on cx.unit = w.unit and cx.node = w.x join c cy on cy.unit = w.unit and cy.node = w.y and cy.cls = cx.cls
-    join v_edge e on e.unit = w.unit and e.src = w.x join v_edge k on k.unit = w.unit and k.src = w.y and k.ord = e.ord),
-bad as (select w.unit, w.a, w.b from w join c cx on cx.unit = w.unit and cx.node = w.x join c cy on cy.unit = w.unit and cy.node = w.y where cx.cls <> cy.cls
-  union select w.unit, w.a, w.b from w join v_edge e on e.unit = w.unit and e.src = w.x where not exists (select 1 from v_edge k where k.unit = w.unit and k.src = w.y and k.ord = e.ord)
-  union select w.unit, w.a, w.b from w join v_edge e on e.unit = w.unit and e.src = w.y where not exists (select 1 from v_edge k where k.unit = w.unit and k.src = w.x and k.ord = e.ord))
-select unit, a, b from p where not exists (select 1 from bad where bad.unit = p.unit and bad.a = p.a and bad.b = p.b)""")
+with fs as (select unit, block, slot, dense_rank() over (partition by unit, block order by min(idx)) as ns
+  from v_block where op in ('store', 'load') group by unit, block, slot),
+sg as (select b.unit, b.block as node, string_agg(concat(b.op, ':', case when b.op in ('store', 'load') then fs.ns else -1 end), ',' order by b.idx) as sig
+  from v_block b left join fs on fs.unit = b.unit and fs.block = b.block and fs.slot = b.slot group by b.unit, b.block),
+et as (select m.unit, m.block as src, h.block as dst, min((m.from_idx, m.to_idx, m.handler_idx)) as spot,
+    string_agg(distinct r.exc_type, ',' order by r.exc_type) as types
+  from o_member_of m join v_block h on h.unit = m.unit and h.idx = m.handler_idx
+  join v_range r on r.unit = m.unit and r.from_idx = m.from_idx and r.to_idx = m.to_idx and r.handler_idx = m.handler_idx
+  group by m.unit, m.block, h.block),
+ou as (select unit, src, concat('r', ord) as place, dst from v_edge
+  union select unit, src, concat('e', row_number() over (partition by unit, src order by spot), ':', types), dst from et),
+pl as (select sg.unit, sg.node, sg.sig, coalesce(string_agg(ou.place, ' ' order by ou.place), '') as places
+  from sg left join ou on ou.unit = sg.unit and ou.src = sg.node group by all),
+-- pairs of blocks with like instructions and places of successors; struck out where the successors in one place are not such a pair
+ca as (select x.unit, x.node as x, y.node as y from pl x join pl y on y.unit = x.unit and y.sig = x.sig and y.places = x.places and x.node <> y.node),
+nx as (select ca.unit, ca.x, ca.y, p.dst as nx, q.dst as ny from ca join ou p on p.unit = ca.unit and p.src = ca.x
+  join ou q on q.unit = ca.unit and q.src = ca.y and q.place = p.place),
+bad as (select unit, x, y from nx where nx <> ny and not exists (select 1 from ca where ca.unit = nx.unit and ca.x = nx.nx and ca.y = nx.ny)
+  union select nx.unit, nx.x, nx.y from bad join nx on nx.unit = bad.unit and nx.nx = bad.x and nx.ny = bad.y),
+eq as (select unit, x, y from ca where not exists (select 1 from bad where bad.unit = ca.unit and bad.x = ca.x and bad.y = ca.y)),
+-- both walked in step: the slots on the way have to correspond one to one
+wk as (select unit, x as a, y as b, x, y from eq
+  union select w.unit, w.a, w.b, p.dst, q.dst from wk w join ou p on p.unit = w.unit and p.src = w.x
+    join ou q on q.unit = w.unit and q.src = w.y and q.place = p.place),
+mp as (select distinct w.unit, w.a, w.b, s.slot as s, t.slot as t from wk w join fs s on s.unit = w.unit and s.block = w.x
+  join fs t on t.unit = w.unit and t.block = w.y and t.ns = s.ns),
+un as (select unit, a, b from mp group by unit, a, b, s having count(*) > 1 union select unit, a, b from mp group by unit, a, b, t having count(*) > 1)
+select unit, min(x) as a, y as b from eq where not exists (select 1 from un where un.unit = eq.unit and un.a = eq.x and un.b = eq.y)
+group by unit, y having min(x) < y""")
 def equal_subgraphs(f):
-    return R.equal_subgraphs(R.block_classes(f.block), R.successors(f.block, f.edge, f.range))
+    outs = cut(R.successors(f.block, f.edge, f.range))
+    return R.analogous_subgraphs(
+        R.equal_subgraphs(R.block_classes(f.block), outs), outs, R.local_slots(f.block))
 
 
 def type_uses(f):

@@ -261,6 +261,60 @@ def test_successors_of_both_kinds(spark):
     assert got[1] == got[2] != got[3]
 
 
+def analogous_by_definition(classes, outs, slots):
+    """Least analogous block of each block that has one: all equal pairs are walked in step."""
+    place = {}
+    for u, s, p, d in outs:
+        place.setdefault((u, s), {})[p] = d
+    groups = {}
+    for u, a, b in equal_by_definition(classes, outs):
+        groups.setdefault((u, a), {a}).add(b)
+    least = {}
+    for (u, _), members in groups.items():
+        for a, b in itertools.permutations(sorted(members), 2):
+            seen, todo, there, back, ok = {(a, b)}, [(a, b)], {}, {}, True
+            while todo and ok:
+                x, y = todo.pop()
+                for k, s in slots.get((u, x), {}).items():
+                    t = slots[u, y][k]
+                    ok = ok and there.setdefault(s, t) == t and back.setdefault(t, s) == s
+                for p, d in place.get((u, x), {}).items():
+                    pair = d, place[u, y][p]
+                    if pair not in seen:
+                        seen.add(pair)
+                        todo.append(pair)
+            if ok and a < b:
+                least[u, b] = min(a, least.get((u, b), a))
+    return sorted((u, a, b) for (u, b), a in least.items())
+
+
+def analogous(spark, classes, outs, slots):
+    nodes = spark.createDataFrame([(*k, v) for k, v in classes.items()], "unit string, node long, cls string")
+    o = spark.createDataFrame(outs, "unit string, src long, place string, dst long")
+    local = spark.createDataFrame([(*k, n, s) for k, m in slots.items() for n, s in m.items()], "unit string, node long, nslot int, slot long")
+    return rows(R.analogous_subgraphs(R.equal_subgraphs(nodes, o), o, local), "unit", "a", "b")
+
+
+def test_slots_correspond_throughout(spark, rng):
+    # two stores and the loads behind them: 1-2 and 3-4 rename consistently, 5-6 loads what it did not store
+    classes = {("u", n): "store" if n % 2 else "load" for n in range(1, 9)}
+    outs = [("u", n, "r1", n + 1) for n in (1, 3, 5, 7)]
+    slots = {("u", n): {1: s} for n, s in zip(range(1, 9), (0, 0, 3, 3, 0, 2, 5, 6))}
+    got = analogous(spark, classes, outs, slots)
+    assert got == analogous_by_definition(classes, outs, slots) and ("u", 1, 3) in got and ("u", 5, 7) in got and ("u", 1, 5) not in got
+    # on the way back, two slots may not become one
+    assert ("u", 1, 7) not in got and ("u", 2, 8) in got
+    many = {(f"v{u}", n): rng.choice("ab") for u in range(5) for n in range(1, 20)}
+    more = [(u, n, p, rng.randrange(1, 20)) for u, n in many for p in ("r0", "e1:E") if rng.random() < 0.35]
+    more += [("w", n, "r1", n + 1) for n in range(1, 30) if n not in (10, 20)]
+    many.update({("w", n): "s" for n in range(1, 31)})
+    local = {k: {1: rng.randrange(3)} if v != "b" else {1: rng.randrange(2), 2: 2} for k, v in many.items()}
+    want = analogous_by_definition(many, more, local)
+    assert len(want) > 10 and len(want) != len(equal_by_definition(many, more))
+    assert analogous(spark, many, more, local) == want
+    assert analogous(spark, {("u", 1): "a"}, [], {}) == []
+
+
 def test_equal_subgraphs_of_the_tables(spark):
     from classlake.plans.facts import facts
     from classlake.plans import QUERIES
@@ -269,4 +323,7 @@ def test_equal_subgraphs_of_the_tables(spark):
     f = facts(spark, sf)
     classes = {(u, n): tuple(c) for u, n, c in R.block_classes(f.block).collect()}
     outs = [tuple(r) for r in R.successors(f.block, f.edge, f.range).collect()]
-    assert rows(QUERIES["equal_subgraphs"](spark, sf), "unit", "a", "b") == equal_by_definition(classes, outs)
+    slots = {}
+    for u, n, k, s in R.local_slots(f.block).collect():
+        slots.setdefault((u, n), {})[k] = s
+    assert rows(QUERIES["equal_subgraphs"](spark, sf), "unit", "a", "b") == analogous_by_definition(classes, outs, slots)
