@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from classlake import iterate
 from classlake.iterate import cut, fixpoint
+from classlake.scan import ranked
 
 
 def arcs(edges: DataFrame) -> DataFrame:
@@ -122,56 +123,173 @@ def chains(nodes: DataFrame, edges: DataFrame, blocked: DataFrame | None = None,
 # ---------------------------------------------------------------- dominance
 
 
-def dominators(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
-    """Reflexive dominator pairs of live nodes: (unit, n, d).
+#: Stands above all entries of a unit; a node of its own, so a graph may have several.
+TOP = -(2**62)
+
+
+def dominator_tree(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None,
+                   live: DataFrame | None = None) -> DataFrame:
+    """Dominator tree of live nodes: (unit, node, idom, pre, post, depth).
+
+    ``idom`` is ``TOP`` where no node dominates, as for entries.  ``d`` dominates
+    ``n`` if and only if ``pre(d) <= pre(n) <= post(d)``; see :func:`dominated`.
 
-    Starts from the ancestors in a breadth-first tree, which contain all
-    dominators, and deletes (n, d) whenever a predecessor of n lacks d.  Work
-    grows with nodes times tree depth, never with all node pairs of a unit.
-    Several entries act as several roots.
+    A node with one predecessor hangs below it for good.  The others start below
+    a predecessor that a breadth-first search met first; then each moves up to the
+    nearest common ancestor of its predecessors and its place, all at once, until
+    none moves: every tree on the way holds all dominators of a node above it.
+    Units in which nothing moved are done and leave the loop.
+    Ancestors are looked up in the tree's Euler tour (:func:`tour`) as the least
+    depth between two positions, from a table of minima over 2 ** k positions.
+    So a tree takes rows in the order of its nodes and their logarithm, however
+    deep it is, and there are no pairs of a node and its ancestors.  ``live``
+    nodes may be given if they are known.
     """
-    dist = cut(reachable(nodes, edges, entries, depth="depth"))
-    return _dominators(edges, dist)
-
-
-def _dominators(edges: DataFrame, dist: DataFrame) -> DataFrame:
-    here = dist.select("unit", F.col("node").alias("src"), F.col("depth").alias("_ds"))
-    there = dist.select("unit", F.col("node").alias("dst"), F.col("depth").alias("_dd"))
-    live = cut(edges.select("unit", "src", "dst").distinct()
-               .join(here, ["unit", "src"]).join(there, ["unit", "dst"]).filter("_dd > 0"))
-    tree = (
-        live.filter("_dd = _ds + 1").groupBy("unit", F.col("dst").alias("n"))
-        .agg(F.min("src").alias("p")))
-    above = iterate.ancestors(tree, ["unit"], "n", "p", "d")
-    own = dist.select("unit", F.col("node").alias("n"), F.col("node").alias("d"))
-    has = cut(above.unionByName(own))
-    has_p = has.select("unit", F.col("n").alias("src"), "d")
-    lacking = (
-        above.join(live.select("unit", F.col("dst").alias("n"), "src"), ["unit", "n"])
-        .join(has_p, ["unit", "src", "d"], "left_anti")
-        .select("unit", "n", "d"))
-    out = live.select("unit", F.col("src").alias("n"), F.col("dst").alias("_to"))
-    candidates = above.select("unit", F.col("n").alias("_to"), "d")
-
-    def spread(f: DataFrame) -> DataFrame:
-        return (
-            f.join(out, ["unit", "n"]).filter("_to <> d")
-            .join(candidates, ["unit", "_to", "d"], "left_semi")
-            .select("unit", F.col("_to").alias("n"), "d"))
-
-    deleted = fixpoint(lacking, spread)
-    return has.join(deleted, ["unit", "n", "d"], "left_anti")
+    if live is None:
+        live = cut(reachable(nodes, edges, entries))
+    top = F.lit(TOP).cast("long")
+    seed = (entries_of(nodes) if entries is None else entries).select("unit", F.col("node").alias("n")).distinct()
+    preds = cut(
+        edges.select("unit", F.col("src").alias("p"), F.col("dst").alias("n")).filter("p <> n").distinct()
+        .join(live.withColumnRenamed("node", "p"), ["unit", "p"], "left_semi")
+        .unionByName(seed.withColumn("p", top)))
+    single = cut(
+        preds.groupBy("unit", "n").agg(F.count(F.lit(1)).alias("_n"), F.min("p").alias("p")).filter("_n = 1").select("unit", "n", "p"))
+    several = cut(preds.join(single.select("unit", "n"), ["unit", "n"], "left_anti"))
+    size = live.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    steps = (2 * size + 2).bit_length()  # doublings that reach over a unit's tour
+    if several.isEmpty():
+        return _placed(single, tour(single, steps))
+    starts = iterate.chain_starts(single, ["unit"], "n", "p")
+    folded = cut(
+        several.join(starts.select("unit", F.col("n").alias("p"), F.col("p").alias("_s")), ["unit", "p"], "left")
+        .select("unit", "p", "n", F.coalesce("_s", "p").alias("node")))
+    roots = seed.select("unit").distinct().withColumn("node", top)
+    hops = cut(folded.select("unit", "node", F.col("n").alias("_to")).distinct())
+    dist = cut(fixpoint(
+        roots, lambda f: f.join(hops, ["unit", "node"]).select("unit", F.col("_to").alias("node")), depth="depth"))
+    of = lambda c, d: dist.select("unit", F.col("node").alias(c), F.col("depth").alias(d))
+    above = cut(
+        folded.join(of("node", "_dp"), ["unit", "node"]).join(of("n", "_dn"), ["unit", "n"]).filter("_dn = _dp + 1")
+        .groupBy("unit", "n").agg(F.min("p").alias("p")))
+    settled: list[DataFrame] = []
+    while True:
+        tree = cut(single.unionByName(above))
+        places = tour(tree, steps)
+        asked = several.unionByName(above.select("unit", "p", "n"))
+        common = cut(nearest_common(asked, places, steps))
+        moving = cut(common.join(above, ["unit", "n"]).filter("common <> p").select("unit").distinct())
+        placed = _placed(tree, places)
+        if moving.isEmpty():
+            return iterate._union([*settled, placed])
+        settled.append(placed.join(moving, "unit", "left_anti"))
+        single, several = (x.join(moving, "unit", "left_semi") for x in (single, several))
+        above = cut(common.join(moving, "unit", "left_semi").select("unit", "n", F.col("common").alias("p")))
+
+
+def tour(tree: DataFrame, steps: int) -> DataFrame:
+    """Euler tour of each unit's tree of (unit, n, p): (unit, at, depth, node, side, n).
+
+    Every node is opened (side 0) before and closed (side 1) behind its
+    children, which come in order; a closing row carries the parent that the
+    tour is back at, and the parent's depth.  Positions come from list ranking:
+    each step doubles the reach of every link, three in a job, so ``steps`` is
+    the logarithm of the longest tour.
+    """
+    child = cut(ranked(tree, ["unit", "p"], ["n"], "_i", F.floor(F.col("n") / 65536)))
+    nodes = tree.select("unit", "n").unionByName(tree.select("unit", F.col("p").alias("n"))).distinct()
+    first = child.filter("_i = 0").select("unit", F.col("p").alias("n"), F.col("n").alias("_first"))
+    later = child.select("unit", "p", (F.col("_i") - 1).alias("_i"), F.col("n").alias("_next"))
+    opened = nodes.join(first, ["unit", "n"], "left").select(
+        "unit", "n", F.lit(0).alias("side"), F.coalesce("_first", "n").alias("m"),
+        F.when(F.col("_first").isNull(), 1).otherwise(0).alias("mside"))
+    closed = child.join(later, ["unit", "p", "_i"], "left").select(
+        "unit", "n", F.lit(1).alias("side"), F.coalesce("_next", "p").alias("m"),
+        F.when(F.col("_next").isNull(), 1).otherwise(0).alias("mside"))
+    ends = nodes.join(tree.select("unit", "n"), ["unit", "n"], "left_anti").select(
+        "unit", "n", F.lit(1).alias("side"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("int").alias("mside"))
+    # what lies behind a row up to its link: rows, and openings less closings
+    links = opened.unionByName(closed).withColumn("far", F.lit(1).cast("long")).withColumn(
+        "rise", (1 - 2 * F.col("mside")).cast("long")).unionByName(
+        ends.withColumn("far", F.lit(0).cast("long")).withColumn("rise", F.lit(0).cast("long")))
+    current = cut(links)
+
+    def doubled(df: DataFrame) -> DataFrame:
+        ahead = df.select("unit", F.col("n").alias("m"), F.col("side").alias("mside"), F.col("m").alias("_m"),
+                          F.col("mside").alias("_ms"), F.col("far").alias("_f"), F.col("rise").alias("_r"))
+        return df.join(ahead, ["unit", "m", "mside"], "left").select(
+            "unit", "n", "side", F.col("_m").alias("m"), F.col("_ms").alias("mside"),
+            (F.col("far") + F.coalesce("_f", F.lit(0))).alias("far"), (F.col("rise") + F.coalesce("_r", F.lit(0))).alias("rise"))
+
+    for step in range(1, steps + 1):
+        current = doubled(current)
+        if step % 3 == 0 or step == steps:
+            current = cut(current)
+    parent = tree.select("unit", "n", "p", F.lit(1).alias("side"))
+    return cut(
+        current.join(parent, ["unit", "n", "side"], "left")
+        .select("unit", (-F.col("far")).alias("at"), (-F.col("rise") - 1).alias("depth"), F.coalesce("p", "n").alias("node"), "side", "n"))
+
+
+def nearest_common(asked: DataFrame, places: DataFrame, steps: int) -> DataFrame:
+    """(unit, n, common): nearest common ancestor of all p of ``asked(unit, n, p)``, by the tour ``places``."""
+    at = places.filter("side = 0").select("unit", F.col("node").alias("p"), "at")
+    spans = cut(
+        asked.join(at, ["unit", "p"]).groupBy("unit", "n").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+        .withColumn("k", F.floor(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int"))
+        # the logarithm of a power of two may fall short or pass it by rounding
+        .withColumn("k", F.expr("case when shiftleft(1L, k) > hi - lo + 1 then k - 1 when shiftleft(1L, k + 1) <= hi - lo + 1 then k + 1 else k end")))
+    level = places.filter("depth >= 0").select("unit", "at", F.struct("depth", "node").alias("low"))
+    tables = [level.withColumn("k", F.lit(0))]
+    for k in range(1, steps + 1):
+        beside = level.select("unit", (F.col("at") - (1 << (k - 1))).alias("at"), F.col("low").alias("_low"))
+        level = level.join(beside, ["unit", "at"]).select("unit", "at", F.least("low", "_low").alias("low"))
+        if k % 4 == 0:
+            level = cut(level)
+        tables.append(level.withColumn("k", F.lit(k)))
+    low = cut(iterate._union(tables))
+    one = lambda c, name: low.select("unit", "k", F.col("at").alias(c), F.col("low").alias(name))
+    ends = spans.withColumn("_right", F.expr("hi - shiftleft(1L, k) + 1"))
+    return (
+        ends.join(one("lo", "_a"), ["unit", "k", "lo"]).join(one("_right", "_b"), ["unit", "k", "_right"])
+        .select("unit", "n", F.least("_a", "_b")["node"].alias("common")))
+
+
+def _placed(tree: DataFrame, places: DataFrame) -> DataFrame:
+    spans = places.groupBy("unit", "n").agg(
+        F.min("at").alias("pre"), F.max("at").alias("post"), F.max(F.when(F.col("side") == 0, F.col("depth"))).alias("depth"))
+    return tree.join(spans, ["unit", "n"]).select(
+        "unit", F.col("n").alias("node"), F.col("p").alias("idom"), "pre", "post", (F.col("depth") - 1).alias("depth"))
+
+
+def dominated(pairs: DataFrame, tree: DataFrame, n: str, d: str) -> DataFrame:
+    """``pairs`` whose ``d`` dominates ``n``: an interval test, two rows of the tree for each pair."""
+    inner = tree.select("unit", F.col("node").alias(n), F.col("pre").alias("_at"))
+    outer = tree.select("unit", F.col("node").alias(d), F.col("pre").alias("_pre"), F.col("post").alias("_post"))
+    return pairs.join(inner, ["unit", n]).join(outer, ["unit", d]).filter("_at between _pre and _post").select(*pairs.columns)
+
+
+def tree_pairs(tree: DataFrame) -> DataFrame:
+    """The tree spelled out, for who wants all pairs: reflexive (unit, n, d)."""
+    tree = cut(tree.select("unit", "node", "idom"))
+    links = tree.filter(F.col("idom") != TOP).select("unit", F.col("node").alias("n"), F.col("idom").alias("p"))
+    return iterate.ancestors(links, ["unit"], "n", "p", "d").unionByName(
+        tree.select("unit", F.col("node").alias("n"), F.col("node").alias("d")))
+
+
+def dominators(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Reflexive dominator pairs of live nodes: (unit, n, d).  Several entries act as several roots."""
+    return tree_pairs(dominator_tree(nodes, edges, entries))
 
 
 def immediate_dominators(nodes: DataFrame, edges: DataFrame,
                          entries: DataFrame | None = None) -> DataFrame:
     """(unit, node, idom): the strict dominator nearest to the node; roots have none."""
-    dist = cut(reachable(nodes, edges, entries, depth="depth"))
-    dom = _dominators(edges, dist)
-    level = dist.select("unit", F.col("node").alias("d"), "depth")
-    return (
-        dom.filter("n <> d").join(level, ["unit", "d"])
-        .groupBy("unit", F.col("n").alias("node")).agg(F.max_by("d", "depth").alias("idom")))
+    return nearest_dominators(dominator_tree(nodes, edges, entries))
+
+
+def nearest_dominators(tree: DataFrame) -> DataFrame:
+    return tree.filter(F.col("idom") != TOP).select("unit", "node", "idom")
 
 
 def unit_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -194,12 +312,11 @@ def exit_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return comp.join(left, ["unit", "component"], "left_anti").select("unit", "node", "component")
 
 
-def post_dominators(nodes: DataFrame, edges: DataFrame, exit_node: int = -1) -> DataFrame:
-    """Reflexive post-dominator pairs: (unit, n, d).
+def post_dominator_tree(nodes: DataFrame, edges: DataFrame, exit_node: int = -1) -> tuple[DataFrame, DataFrame]:
+    """Dominator tree of the reversed graph below a virtual exit, and (unit, node, component) of what was folded.
 
     A component without a way out counts as an exit even when it loops: it is
-    folded to one node with an edge to a virtual exit, and a node that cannot
-    avoid it is post-dominated by all of its members.
+    folded to one node with an edge to the virtual exit.
     """
     ends = cut(exit_components(nodes, edges))
     fold = lambda c: (ends.select("unit", F.col("node").alias(c), F.col("component").alias("_r" + c)))
@@ -212,7 +329,18 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, exit_node: int = -1) ->
     reps = ends.select("unit", F.col("component").alias("src")).distinct().withColumn("dst", out)
     backward = cut(reverse(folded.unionByName(reps)))
     roots = nodes.select("unit").distinct().withColumn("node", out)
-    dom = dominators(nodes, backward, roots).filter((F.col("d") != out) & (F.col("n") != out))
+    return dominator_tree(nodes, backward, roots), ends
+
+
+def post_dominators(nodes: DataFrame, edges: DataFrame, exit_node: int = -1) -> DataFrame:
+    """Reflexive post-dominator pairs: (unit, n, d).
+
+    A node that cannot avoid a component without a way out is post-dominated by
+    all of its members.
+    """
+    tree, ends = post_dominator_tree(nodes, edges, exit_node)
+    out = F.lit(exit_node).cast("long")
+    dom = tree_pairs(tree).filter((F.col("d") != out) & (F.col("n") != out))
     who = ends.select("unit", F.col("component").alias("d"), F.col("node").alias("_m"))
     inside = ends.select("unit", F.col("component").alias("n"), F.col("node").alias("_n"))
     return (
@@ -223,11 +351,9 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, exit_node: int = -1) ->
 # ---------------------------------------------------------------- loops
 
 
-def back_edges(edges: DataFrame, dom: DataFrame) -> DataFrame:
-    """Edges to a dominator of their source: (unit, src, dst)."""
-    return edges.select("unit", "src", "dst").distinct().join(
-        dom.select("unit", F.col("n").alias("src"), F.col("d").alias("dst")),
-        ["unit", "src", "dst"], "left_semi")
+def back_edges(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """Edges to a dominator of their source, by the dominator tree: (unit, src, dst)."""
+    return dominated(edges.select("unit", "src", "dst").distinct(), tree, "src", "dst")
 
 
 def natural_loops(edges: DataFrame, back: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from classlake import iterate
 from classlake.iterate import cut
-from classlake.operators.graph import entries_of
+from classlake.operators.graph import dominated, entries_of
 from classlake.scan import first_by, interval_join
 
 SPAN = ["unit", "from_idx", "to_idx", "handler_idx"]
@@ -153,8 +153,8 @@ def merge_split(logical: DataFrame, nodes: DataFrame, edges: DataFrame, safe: Da
     return gained.join(wild, key, "left_anti")
 
 
-def circular_parts(blocks: DataFrame, ranges: DataFrame, edges: DataFrame, dom: DataFrame) -> DataFrame:
-    """Blocks taken out of ranges that protect their own handler.
+def circular_parts(blocks: DataFrame, ranges: DataFrame, edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """Blocks taken out of ranges that protect their own handler; ``tree`` is the dominator tree.
 
     (from_idx, to_idx, handler_idx, block): members reached from the handler
     through members it dominates, unless that is the whole of a larger range.
@@ -162,8 +162,7 @@ def circular_parts(blocks: DataFrame, ranges: DataFrame, edges: DataFrame, dom:
     inside = cut(members(blocks, ranges))
     at = blocks.select("unit", F.col("idx").alias("handler_idx"), F.col("block").alias("hb"))
     held = inside.join(at, ["unit", "handler_idx"])
-    ruled = dom.select("unit", F.col("n").alias("block"), F.col("d").alias("hb"))
-    allowed = cut(held.join(ruled, ["unit", "block", "hb"], "left_semi"))
+    allowed = cut(dominated(held, tree, "block", "hb"))
     seed = allowed.filter("block = hb").select(*SPAN, "block")
     step = edges.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to")).distinct()
     ok = allowed.select(*SPAN, F.col("block").alias("_to"))

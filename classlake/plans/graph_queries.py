@@ -37,9 +37,10 @@ def live_flow(f):
 
 
 def live_dominators(f):
-    """Dominators with exception predecessors."""
+    """Dominator tree with exception predecessors."""
     if not hasattr(f, "_dom"):
-        f._dom = cut(G.dominators(live_graph(f)[0], live_flow(f)))
+        nodes = live_graph(f)[0]
+        f._dom = cut(G.dominator_tree(nodes, live_flow(f), live=nodes))
     return f._dom
 
 
@@ -159,7 +160,7 @@ def chain_merge(f):
 
 @query("dominator_pairs", "select unit, n, d from o_dom")
 def dominator_pairs(f):
-    return G.dominators(live_graph(f)[0], live_flow(f))
+    return G.tree_pairs(live_dominators(f))
 
 
 @query("immediate_dominators", """
@@ -167,7 +168,7 @@ with c as (select unit, n, count(*) as k from o_dom group by unit, n)
 select o.unit, o.n as node, arg_max(o.d, c.k) as idom from o_dom o
 join c on c.unit = o.unit and c.n = o.d where o.n <> o.d group by o.unit, o.n""")
 def immediate_dominators(f):
-    return G.immediate_dominators(live_graph(f)[0], live_flow(f))
+    return G.nearest_dominators(live_dominators(f))
 
 
 @query("post_dominators", """

@@ -54,6 +54,35 @@ def test_dominators_match_removal(spark, rng):
     assert got == sorted(want, key=order)
 
 
+def test_tree_intervals_and_common_ancestors(spark, rng):
+    """The tree's interval test tells dominators apart, and the tour finds common ancestors."""
+    parent = {n: rng.randrange(max(0, n - 4), n) for n in range(1, 40)} | {50: 0, 51: 50}
+    tree = spark.createDataFrame([("u", n, p) for n, p in parent.items()] + [("v", 7, 3)], "unit string, n long, p long")
+    places = G.tour(tree, 7)
+
+    def up(n):
+        return [n] + (up(parent[n]) if n in parent else [])
+
+    groups = {g: rng.sample(sorted(parent), rng.randint(1, 4)) for g in range(60)} | {60: [0, 5], 61: [0]}
+    asked = spark.createDataFrame([("u", g, p) for g, ps in groups.items() for p in ps], "unit string, n long, p long")
+    want = [(g, max(set.intersection(*(set(up(p)) for p in ps)), key=lambda x: len(up(x)))) for g, ps in groups.items()]
+    assert rows(G.nearest_common(asked, places, 7), "n", "common") == sorted(want)
+    spans = G._placed(tree, places)
+    pairs = spark.createDataFrame([("u", n, d) for n in parent for d in parent], "unit string, n long, d long")
+    assert rows(G.dominated(pairs, spans, "n", "d"), "n", "d") == sorted((n, d) for n in parent for d in up(n) if d in parent)
+
+
+def test_dominators_of_a_long_line(spark):
+    """Blocks in a row with side exits: no row for a block and each of its ancestors."""
+    n = 600
+    edges = [("u", k, k + 1) for k in range(n)] + [("u", k, n + 1 + k % 3) for k in range(0, n, 5)]
+    e = spark.createDataFrame(edges, "unit string, src long, dst long")
+    nodes = spark.createDataFrame([("u", k) for k in range(n + 4)], "unit string, node long")
+    tree = rows(G.dominator_tree(nodes, e), "node", "idom", "depth")
+    assert tree[0] == (0, G.TOP, 0) and tree[1:n + 1] == [(k, k - 1, k) for k in range(1, n + 1)]
+    assert tree[n + 1:] == [(n + 1 + k, d, d + 1) for k, d in enumerate((0, 10, 5))]
+
+
 def test_dominators_with_two_roots(spark):
     edges = spark.createDataFrame([(1, 0, 2, 0), (1, 1, 2, 0), (1, 2, 3, 0)], "unit long, src long, dst long, ord int")
     nodes = spark.createDataFrame([(1, i) for i in range(4)], "unit long, node long")
