@@ -168,6 +168,59 @@ def best_paths(
             return known
 
 
+def merged(seed: DataFrame, step: Step, keys: list[str], value: str, merge=F.max, hops: int = 3) -> DataFrame:
+    """One row for each of ``keys``, whose ``value`` is merged with what arrives: least solution of a rising system.
+
+    ``step`` maps rows to rows of the same schema and is monotone in ``value``;
+    ``merge`` is an aggregate that is associative and idempotent (``F.max``,
+    ``F.bit_or``).  Only rows that are new or rose go on, so a lattice of finite
+    height ends the loop, on cycles as well.
+    """
+    cols = [*keys, value]
+    fold = lambda df: df.select(cols).groupBy(*keys).agg(merge(value).alias(value))
+    known, path = _write(fold(seed))
+    frontier = known
+    while True:
+        best = frontier
+        for _ in range(hops):
+            best = fold(best.unionByName(step(best).select(cols)))
+        old = known.select(*keys, F.col(value).alias("_old"))
+        both = best.join(old, keys, "left").withColumn("_new", F.col(value))
+        risen = fold(both.select(*keys, F.col("_new").alias(value)).unionByName(
+            both.filter("_old is not null").select(*keys, F.col("_old").alias(value))))
+        fresh = cut(risen.join(old, keys, "left").filter(~F.col(value).eqNullSafe(F.col("_old"))).select(cols))
+        if fresh.isEmpty():
+            return known
+        following, new_path = _write(fold(known.unionByName(fresh)))
+        _drop(known.sparkSession, path)
+        known, path, frontier = following, new_path, fresh
+
+
+def folded_chains(links: DataFrame, node: str, target: str, keep: str, add: str) -> DataFrame:
+    """(node, root, steps, keep, add): where each chain of links ends, and the bit rules on the way as one.
+
+    ``links`` has at most one row for a node; a node turns the bits x that reach
+    it from its target into ``x & keep | add``.  Two such rules in a row are one
+    again, so each round doubles the reach of every link.  Nodes whose links
+    lead into a cycle are left out.
+    """
+    one = F.lit(1).cast("long").alias("steps")
+    current = cut(links.select(F.col(node).alias("node"), F.col(target).alias("root"), one,
+                               F.col(keep).cast("long").alias("keep"), F.col(add).cast("long").alias("add")))
+    ends = current.select(F.col("node").alias("root"))
+    for _ in range(current.count().bit_length()):
+        ahead = current.select(F.col("node").alias("root"), F.col("root").alias("_r"), F.col("steps").alias("_s"),
+                               F.col("keep").alias("_k"), F.col("add").alias("_a"))
+        if current.join(ahead, "root", "left_semi").isEmpty():
+            break
+        mine, inner = F.col("keep"), F.coalesce("_k", F.lit(-1).cast("long"))
+        current = cut(current.join(ahead, "root", "left").select(
+            "node", F.coalesce("_r", "root").alias("root"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"),
+            mine.bitwiseAND(inner).alias("keep"),
+            F.coalesce("_a", F.lit(0).cast("long")).bitwiseAND(mine).bitwiseOR(F.col("add")).alias("add")))
+    return current.join(ends, "root", "left_anti").select("node", "root", "steps", "keep", "add")
+
+
 def converge(state: DataFrame, step: Step, changed: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Apply ``step`` until ``changed(new, old)`` yields no row."""
     spark = state.sparkSession

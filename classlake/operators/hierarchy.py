@@ -107,3 +107,60 @@ def nested_forest(claims: DataFrame, roots: DataFrame) -> DataFrame:
         seed,
         lambda f: f.join(agreed, "node").select("root", F.col("_i").alias("node")),
         depth="depth")
+
+
+#: Bits of access flags.
+PRIVATE, STATIC, FINAL, ABSTRACT, SYNTHETIC = 0x2, 0x8, 0x10, 0x400, 0x1000
+
+
+def nested_classes(claims: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nested classes with their final kind and flags: (root, node, parent, depth, kind, flags, context).
+
+    ``claims(inner, encloser, recorded, ord, kind, flags, anonymous_shape, named,
+    outer_named)``: an inner class hangs below the encloser that it records
+    itself, by the first claim (least ``ord``) that agrees.  ``roots(node, flags)``.
+
+    Kinds: an ``anonymous`` class without the shape of one is ``local``; one that is
+    used by name is ``member`` where its record names the outer class, and
+    ``static`` then, else ``local``.  Flags: anonymous classes are not static, local
+    ones at most abstract or final.
+
+    ``context`` holds what enclosers hand down: ``PRIVATE`` and ``SYNTHETIC`` stay on
+    once a class has them; ``STATIC`` says that there is no instance around, which
+    static members start, other members end and local classes leave as it is.
+    Each class's rule is a pair of masks; the rules along a chain are composed by
+    doubling, so no chain is walked class by class.
+    """
+    agreed = claims.filter("inner <> encloser and encloser = recorded").join(
+        roots.select(F.col("node").alias("inner")), "inner", "left_anti")
+    payload = ["encloser", "kind", "flags", "anonymous_shape", "named", "outer_named"]
+    first = agreed.groupBy("inner").agg(F.min_by(F.struct(*payload), F.struct("ord", "encloser")).alias("c")).select("inner", "c.*")
+    shaped = F.when((F.col("kind") == "anonymous") & ~F.col("anonymous_shape"), "local").otherwise(F.col("kind"))
+    promoted = (F.col("_k") == "anonymous") & F.col("named")
+    kind = F.when(promoted & F.col("outer_named"), "member").when(promoted, "local").otherwise(F.col("_k"))
+    bit = lambda c, m: c.bitwiseAND(F.lit(m).cast("long"))
+    flags = F.col("flags").cast("long")
+    fixed = (
+        first.withColumn("_k", shaped).withColumn("_kind", kind)
+        .withColumn("flags", F.when(promoted & F.col("outer_named"), flags.bitwiseOR(F.lit(STATIC).cast("long")))
+                    .when(F.col("_kind") == "anonymous", bit(flags, ~STATIC))
+                    .when(F.col("_kind") == "local", bit(flags, ABSTRACT | FINAL)).otherwise(flags)))
+    static = bit(F.col("flags"), STATIC) != 0
+    member = F.col("_kind") == "member"
+    ruled = cut(
+        fixed.withColumn("_keep", F.when(member & ~static, F.lit(~STATIC)).otherwise(F.lit(-1)).cast("long"))
+        .withColumn("_add", bit(F.col("flags"), PRIVATE | SYNTHETIC).bitwiseOR(
+            F.when(member & static, F.lit(STATIC)).otherwise(F.lit(0)).cast("long")))
+        .select("inner", "encloser", F.col("_kind").alias("kind"), "flags", "_keep", "_add"))
+    chains = iterate.folded_chains(ruled, "inner", "encloser", "_keep", "_add")
+    top = roots.select(F.col("node").alias("root"), F.col("flags").cast("long").alias("_rf"))
+    handed = bit(F.col("_rf"), PRIVATE | SYNTHETIC).bitwiseOR(F.lit(STATIC).cast("long"))
+    below = (
+        chains.join(top, "root")  # a chain that ends elsewhere hangs below no root
+        .join(ruled.select(F.col("inner").alias("node"), F.col("encloser").alias("parent"), "kind", "flags"), "node")
+        .select("root", "node", "parent", F.col("steps").alias("depth"), "kind", "flags",
+                handed.bitwiseAND(F.col("keep")).bitwiseOR(F.col("add")).alias("context")))
+    tops = top.select("root", F.col("root").alias("node"), F.lit(None).cast(below.schema["parent"].dataType).alias("parent"),
+                      F.lit(0).cast("long").alias("depth"), F.lit("root").alias("kind"), F.col("_rf").alias("flags"),
+                      handed.alias("context"))
+    return tops.unionByName(below)

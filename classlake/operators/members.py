@@ -6,7 +6,7 @@ matters for overriding is (name, params).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from classlake import iterate
@@ -169,6 +169,62 @@ def override_hierarchy(methods: DataFrame, closed: DataFrame, returns: DataFrame
     return compatible("ret", "sup_ret", returns, joined).select(*KEY, "sup", "sup_ret")
 
 
+def hierarchy_gaps(parents: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, gap): how far the supertypes of known classes are known.
+
+    0 all are; 1 one is missing, but none up the chain of superclasses; 2 a
+    superclass is missing.  A gap is handed down, weakened to 1 on the way
+    through an interface.
+    """
+    arcs = cut(
+        parents.join(known.select("node"), "node", "left_semi")
+        .join(known.select(F.col("node").alias("parent"), F.lit(True).alias("_known")), "parent", "left")
+        .select("node", "parent", F.col("pos").cast("int").alias("pos"), "_known"))
+    most = F.when(F.col("pos") == 0, 2).otherwise(1)
+    seed = known.select("node", F.lit(0).alias("gap")).unionByName(
+        arcs.filter("_known is null").select("node", most.alias("gap")))
+    down = cut(arcs.filter("_known").select("parent", F.col("node").alias("_child"), "pos"))
+    return iterate.merged(
+        seed,
+        lambda f: f.filter("gap > 0").join(down, F.col("node") == F.col("parent"))
+        .select(F.col("_child").alias("node"), F.least("gap", most).alias("gap")),
+        ["node"], "gap")
+
+
+def override_ancestry(methods: DataFrame, parents: DataFrame, known: DataFrame, returns: DataFrame) -> DataFrame:
+    """What a method overrides, and the ancestors that nobody knows: KEY + (pos, sup, sup_ret, resolved, gap).
+
+    One row for each inherited declaration (``resolved``) and each ancestor that
+    is not ``known`` (its return type is null), numbered in the order of a
+    depth-first search that takes the superclass before the interfaces and goes
+    no further than an unknown class.  A method without either has one row with
+    ``pos`` null.  ``gap`` as in :func:`hierarchy_gaps`.  ``methods`` as for
+    :func:`override_hierarchy`; ``parents(node, parent, pos)``.
+    """
+    from classlake.operators.hierarchy import ranked_closure
+
+    here = known.select(F.col("node").alias("class"))
+    able = cut(methods.filter("overridable").join(here, "class", "left_semi"))
+    ranks = cut(ranked_closure(
+        parents.join(known.select("node"), "node", "left_semi"), able.select(F.col("class").alias("node")))
+        .filter("node <> anc").select(F.col("node").alias("class"), F.col("anc").alias("sup"), "rank"))
+    parent = able.select(F.col("class").alias("sup"), "name", "params", F.col("ret").alias("sup_ret"),
+                         F.col("visible").alias("_v"), F.col("package").alias("_pkg"))
+    found = compatible("ret", "sup_ret", returns, (
+        able.select(*KEY, "package").join(ranks, "class").join(parent, ["sup", "name", "params"])
+        .filter("_v or _pkg = package"))).select(*KEY, "sup", "sup_ret", "rank", F.lit(True).alias("resolved"))
+    # unknown ancestors are spread over the methods of the classes below them alone
+    lost = ranks.join(known.select(F.col("node").alias("sup")), "sup", "left_anti")
+    missing = able.select(*KEY).join(lost, "class").select(
+        *KEY, "sup", F.lit(None).cast("string").alias("sup_ret"), "rank", F.lit(False).alias("resolved"))
+    rows = found.unionByName(missing)
+    order = Window.partitionBy(*KEY).orderBy("rank", "sup", "sup_ret")  # at most one row an ancestor and return type
+    placed = rows.withColumn("pos", F.row_number().over(order).cast("long"))
+    gaps = hierarchy_gaps(parents, known).select(F.col("node").alias("class"), F.col("gap").cast("long").alias("gap"))
+    return able.select(*KEY).join(placed, KEY, "left").join(gaps, "class").select(
+        *KEY, "pos", "sup", "sup_ret", "resolved", "gap")
+
+
 # ---------------------------------------------------------------- obligations
 
 

@@ -63,6 +63,35 @@ def nested_forest(f):
     return H.nested_forest(claims, f.hier.select("node").join(nested, "node", "left_anti"))
 
 
+@query("nested_classes", """
+with cl as (
+  select node as inner_, p.parent as encloser, super as recorded, p.pos as ord,
+    case node % 3 when 0 then 'anonymous' when 1 then 'member' else 'local' end as kind, node * 37 % 8192 as flags,
+    node % 5 <> 0 as shape, node % 7 = 0 as named, node % 2 = 0 as outer_named
+  from v_hier join v_parent p using (node) where node % 6 <> 0),
+roots as (select node, node * 37 % 8192 as flags from v_hier where node % 6 = 0 or super is null),
+k1 as (select *, case when kind = 'anonymous' and not shape then 'local' else kind end as k from cl where encloser = recorded
+  qualify row_number() over (partition by inner_ order by ord) = 1),
+k2 as (select *, k = 'anonymous' and named as pr from k1),
+k3 as (select inner_, encloser, flags, pr and outer_named as st, case when pr and outer_named then 'member' when pr then 'local' else k end as kind from k2),
+k4 as (select inner_, encloser, kind, case when st then flags | 8 when kind = 'anonymous' then flags & ~8 when kind = 'local' then flags & 1040 else flags end as flags from k3),
+w as (
+  select node as root, node, null::bigint as parent, 0::bigint as depth, 'root' as kind, flags::bigint as flags, ((flags & 4098) | 8)::bigint as context from roots
+  union all
+  select w.root, k4.inner_, k4.encloser, w.depth + 1, k4.kind, k4.flags::bigint,
+    ((case when k4.kind <> 'member' then w.context when k4.flags & 8 <> 0 then w.context | 8 else w.context & ~8 end) | (k4.flags & 4098))::bigint
+  from w join k4 on k4.encloser = w.node)
+select * from w""")
+def nested_classes(f):
+    n = F.col("node")
+    flags = n * 37 % 8192
+    claims = f.parent.join(f.hier.select("node", "super"), "node").filter("node % 6 <> 0").select(
+        n.alias("inner"), F.col("parent").alias("encloser"), F.col("super").alias("recorded"), F.col("pos").alias("ord"),
+        F.when(n % 3 == 0, "anonymous").when(n % 3 == 1, "member").otherwise("local").alias("kind"), flags.alias("flags"),
+        (n % 5 != 0).alias("anonymous_shape"), (n % 7 == 0).alias("named"), (n % 2 == 0).alias("outer_named"))
+    return H.nested_classes(claims, f.hier.filter("node % 6 = 0 or super is null").select("node", flags.alias("flags")))
+
+
 @query("member_resolution", """
 select r.owner, r.name, r.params, r.ret, o.found from (select distinct owner, name, params, ret from v_ref) r
 left join o_found o on o.owner = r.owner and o.name = r.name and o.params = r.params and o.ret = r.ret""")
@@ -146,6 +175,31 @@ def override_hierarchy(f):
     return M.override_hierarchy(f.method, f.up, f.returns)
 
 
+@query("override_ancestry", """
+with kn as (select node from v_hier where node % 9 <> 4),
+pk as (
+  select node, node as anc, []::bigint[] as path from kn
+  union select o.node, p.parent, list_append(o.path, p.pos) from pk o join kn on kn.node = o.anc join v_parent p on p.node = o.anc),
+dk as (select node, anc, min(path) as path from pk where node <> anc group by node, anc),
+lost as (select node, anc, path from pk where anc not in (select node from kn)),
+gap as (select kn.node, coalesce(max(case when list_sum(path) = 0 then 2 when lost.anc is not null then 1 end), 0) as gap
+  from kn left join lost on lost.node = kn.node group by kn.node),
+able as (select m.* from v_method m join kn on kn.node = m.class where m.overridable),
+r as (
+  select m.class, m.name, m.params, m.ret, s.class as sup, s.ret as sup_ret, dk.path, true as resolved
+  from able m join dk on dk.node = m.class join able s on s.class = dk.anc and s.name = m.name and s.params = m.params
+  join v_fits f on f.child = m.ret and f.parent = s.ret where s.visible or s.package = m.package
+  union all
+  select m.class, m.name, m.params, m.ret, dk.anc, null, dk.path, false from able m join dk on dk.node = m.class
+  where dk.anc not in (select node from kn)),
+q as (select *, row_number() over (partition by class, name, params, ret order by path, sup, sup_ret) as pos from r)
+select m.class, m.name, m.params, m.ret, q.pos, q.sup, q.sup_ret, q.resolved, gap.gap::bigint as gap
+from able m join gap on gap.node = m.class
+left join q on q.class = m.class and q.name = m.name and q.params = m.params and q.ret = m.ret""")
+def override_ancestry(f):
+    return M.override_ancestry(f.method, f.parent, f.hier.filter("node % 9 <> 4").select("node"), f.returns)
+
+
 OBLIGATION = """
 ob as (select c.node, m.name, m.params, m.class as owner, m.ret, b.rank, m.ord, m.access_rank from v_concrete c
   join o_bfs b on b.node = c.node and b.anc <> c.node join v_method m on m.class = b.anc
