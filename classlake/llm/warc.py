@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from classlake.llm.shared import bounded_batches, tidied
+from classlake.llm.shared import bounded_batches, tidied, written
 
 LEAST = 1000
 PER_FILE = 5000
@@ -158,14 +158,31 @@ _ARROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "bina
     f.dataType.simpleString()]) for f in READ])
 
 
+HOT = 64  # a response with more than one revisit in so many is hot, so there are fewer hot ones
+
+
 def resolved(read: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to (page_id of the original).
 
-    A revisit takes length and digest of the response it refers to.
+    A revisit takes length and digest of the response it refers to; only
+    revisits are joined.  Responses that very many refer to, of which there are
+    fewer than ``HOT``, come by a broadcast, so their revisits stay where they are.
     """
-    original = read.filter("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("o_page"),
+    heads = written(read.drop("payload"))
+    original = heads.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"),
         F.col("payload_bytes").alias("o_bytes"), F.col("payload_sha1").alias("o_sha1")).dropDuplicates(["refers_to_id"])
-    return read.drop("payload").join(original, "refers_to_id", "left").select(
+    revisits = heads.filter("record_type <> 'response' and refers_to_id is not null")
+    often = revisits.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("n"))
+    often = written(often)
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = often.filter(F.col("n") * HOT > total).select("refers_to_id")
+    few = F.broadcast(original.join(F.broadcast(hot), "refers_to_id"))
+    near = revisits.join(few, "refers_to_id")
+    rest = revisits.join(F.broadcast(few.select("refers_to_id")), "refers_to_id", "left_anti").join(original, "refers_to_id", "left")
+    alone = heads.filter("record_type = 'response' or refers_to_id is null").select(
+        "*", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("long").alias("o_bytes"),
+        F.lit(None).cast("string").alias("o_sha1"))
+    return alone.unionByName(near).unionByName(rest).select(
         "page_id", F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"),
-        F.coalesce("payload_sha1", "o_sha1").alias("payload_digest"), "record_type", F.col("o_page").alias("refers_to"))
+        F.coalesce("payload_sha1", "o_sha1").alias("payload_digest"), "record_type", "refers_to")
