@@ -466,26 +466,46 @@ def split_irreducible(nodes: DataFrame, edges: DataFrame, sizes: DataFrame) -> t
 # ---------------------------------------------------------------- export, audit
 
 
-def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Graph text, one row per line: (unit, part, a, b, line); the lines' wording is a fixed format.
-
-    Lines sort by (unit, part, a, b); keeping them as rows lets a unit of any
-    size be written without gathering it.
+def dot_lines(nodes: DataFrame, edges: DataFrame, exceptions: DataFrame | None = None,
+              ranges: DataFrame | None = None) -> DataFrame:
+    """Graph text, one row per line: (unit, part, a, b, c, line); the lines' wording is a fixed format.
+
+    Lines sort by (unit, part, a, b, c); keeping them as rows lets a unit of any
+    size be written without gathering it.  ``exceptions(unit, src, dst)`` become
+    dotted edges behind the regular ones.  ``ranges(unit, from_idx, to_idx,
+    handler_idx, handler, block)``, a row for each protected block, become
+    clusters: an opening row and a label, a row for each member and a closing row,
+    numbered inside the unit by where they begin and end.
     """
-    none = F.lit(0).cast("long")
-    units = nodes.select("unit").distinct()
-    head = units.select("unit", F.lit(0).alias("part"), none.alias("a"), none.alias("b"),
-                        F.concat(F.lit("digraph u"), F.col("unit").cast("string"), F.lit(" {")).alias("line"))
-    tail = units.select("unit", F.lit(2).alias("part"), none.alias("a"), none.alias("b"),
-                        F.lit("}").alias("line"))
-    box = nodes.select(
-        "unit", F.lit(1).alias("part"), F.col("node").alias("a"), F.lit(-1).cast("long").alias("b"),
-        F.concat(F.col("node").cast("string"), F.lit(' [shape=box,label="Block '),
-                 F.col("node").cast("string"), F.lit('"];')).alias("line"))
-    arrow = edges.select("unit", "src", "dst").distinct().select(
-        "unit", F.lit(1).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"),
-        F.concat(F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string"), F.lit(";")).alias("line"))
-    return head.unionByName(box).unionByName(arrow).unionByName(tail)
+    none, text = F.lit(0).cast("long"), lambda *parts: F.concat(*[
+        F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+    def lines(df: DataFrame, part: int, a, b, c: int, line) -> DataFrame:
+        return df.select("unit", F.lit(part).alias("part"), a.cast("long").alias("a"), b.cast("long").alias("b"),
+                         F.lit(c).alias("c"), line.alias("line"))
+
+    units, col = nodes.select("unit").distinct(), F.col
+    out = [
+        lines(units, 0, none, none, 0, text("digraph u", col("unit"), " {")),
+        lines(nodes, 1, col("node"), F.lit(-1), 0, text(col("node"), ' [shape=box,label="Block ', col("node"), '"];')),
+        lines(edges.select("unit", "src", "dst").distinct(), 1, col("src"), col("dst"), 0,
+              text(col("src"), " -> ", col("dst"), ";"))]
+    if exceptions is not None:
+        out.append(lines(exceptions.select("unit", "src", "dst").distinct(), 1, col("src"), col("dst"), 1,
+                         text(col("src"), " -> ", col("dst"), " [style=dotted];")))
+    if ranges is not None:
+        spot = ["from_idx", "to_idx", "handler_idx"]
+        held = cut(ranges.select("unit", *spot, "handler", "block").distinct())
+        spans = held.select("unit", *spot, "handler").distinct()
+        number = cut(ranked(spans, ["unit"], spot, "i", F.floor(F.col("from_idx") / 65536)))
+        last = F.lit(2**62)
+        out += [
+            lines(number, 2, col("i"), F.lit(-1), 0, text("subgraph cluster_ex_", col("i"), " {")),
+            lines(number, 2, col("i"), F.lit(-1), 1, text('\tlabel="Exception range for Block ', col("handler"), ' ";')),
+            lines(held.join(number, ["unit", *spot, "handler"]), 2, col("i"), col("block"), 0, text("\t", col("block"), ";")),
+            lines(number, 2, col("i"), last, 0, text("\t}"))]
+    out.append(lines(units, 3, none, none, 0, text("}")))
+    return iterate._union(out)
 
 
 def audit(nodes: DataFrame, successors: DataFrame, predecessors: DataFrame,

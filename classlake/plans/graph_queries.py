@@ -249,12 +249,22 @@ def node_split_once(f):
 
 
 @query("graph_text", """
-select unit, 0 as part, 0 as a, 0 as b, concat('digraph u', cast(unit as string), ' {') as line from (select distinct unit from v_block) q
-union all select unit, 1, node, -1, concat(cast(node as string), ' [shape=box,label="Block ', cast(node as string), '"];') from v_node
-union all select distinct unit, 1, src, dst, concat(cast(src as string), ' -> ', cast(dst as string), ';') from v_edge
-union all select distinct unit, 2, 0, 0, '}' from v_block""")
+with hb as (select distinct m.unit, m.from_idx, m.to_idx, m.handler_idx, m.block, h.block as handler
+  from o_member_of m join v_block h on h.unit = m.unit and h.idx = m.handler_idx),
+nr as (select *, dense_rank() over (partition by unit order by from_idx, to_idx, handler_idx) - 1 as i from hb)
+select unit, 0 as part, 0 as a, 0 as b, 0 as c, concat('digraph u', cast(unit as string), ' {') as line from (select distinct unit from v_block) q
+union all select unit, 1, node, -1, 0, concat(cast(node as string), ' [shape=box,label="Block ', cast(node as string), '"];') from v_node
+union all select distinct unit, 1, src, dst, 0, concat(cast(src as string), ' -> ', cast(dst as string), ';') from v_edge
+union all select distinct unit, 1, src, dst, 1, concat(cast(src as string), ' -> ', cast(dst as string), ' [style=dotted];') from o_exc_edge
+union all select distinct unit, 2, i, -1, 0, concat('subgraph cluster_ex_', i, ' {') from nr
+union all select distinct unit, 2, i, -1, 1, concat(chr(9), 'label="Exception range for Block ', handler, ' ";') from nr
+union all select unit, 2, i, block, 0, concat(chr(9), block, ';') from nr
+union all select distinct unit, 2, i, 4611686018427387904, 0, concat(chr(9), '}') from nr
+union all select distinct unit, 3, 0, 0, 0, '}' from v_block""")
 def graph_text(f):
-    return G.dot_lines(f.node, f.edge).withColumn("part", F.col("part").cast("int"))
+    at = f.block.select("unit", F.col("idx").alias("handler_idx"), F.col("block").alias("handler"))
+    held = R.members(f.block, f.range).join(at, ["unit", "handler_idx"])
+    return G.dot_lines(f.node, f.edge, handler_edges(f), held)
 
 
 @query("graph_audit", """

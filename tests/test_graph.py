@@ -54,6 +54,20 @@ def test_dominators_match_removal(spark, rng):
     assert got == sorted(want, key=order)
 
 
+def test_graph_text(spark):
+    nodes = spark.createDataFrame([("u", 1), ("u", 2), ("u", 3)], "unit string, node long")
+    edges = spark.createDataFrame([("u", 1, 2), ("u", 1, 2), ("u", 1, 3)], "unit string, src long, dst long")
+    held = [("u", 0, 4, 6, 3, 1), ("u", 0, 4, 6, 3, 2), ("u", 0, 2, 6, 3, 1), ("u", 0, 2, 6, 3, 1)]
+    ranges = spark.createDataFrame(held, "unit string, from_idx long, to_idx long, handler_idx long, handler long, block long")
+    caught = spark.createDataFrame([("u", 1, 3), ("u", 2, 3)], "unit string, src long, dst long")
+    text = [r[-1] for r in rows(G.dot_lines(nodes, edges, caught, ranges), "unit", "part", "a", "b", "c", "line")]
+    assert text == [
+        "digraph uu {", '1 [shape=box,label="Block 1"];', "1 -> 2;", "1 -> 3;", "1 -> 3 [style=dotted];", '2 [shape=box,label="Block 2"];',
+        "2 -> 3 [style=dotted];", '3 [shape=box,label="Block 3"];', "subgraph cluster_ex_0 {", '\tlabel="Exception range for Block 3 ";',
+        "\t1;", "\t}", "subgraph cluster_ex_1 {", '\tlabel="Exception range for Block 3 ";', "\t1;", "\t2;", "\t}", "}"]
+    assert len(rows(G.dot_lines(nodes, edges), "line")) == 7
+
+
 def test_tree_intervals_and_common_ancestors(spark, rng):
     """The tree's interval test tells dominators apart, and the tour finds common ancestors."""
     parent = {n: rng.randrange(max(0, n - 4), n) for n in range(1, 40)} | {50: 0, 51: 50}
