@@ -289,15 +289,35 @@ def apply_policy(names: DataFrame, decide: Callable[[DataFrame], Column], genera
     return changed.select(*names.columns, "new_name").unionByName(kept.select(*names.columns, "new_name"))
 
 
-def provide_names(variables: DataFrame, provider: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """User-supplied naming per unit, as a grouped pandas function.
+SLICE = 1 << 16  # variables that a provider is given at once
 
-    The provider sees all variables of a unit at once, so a unit is one group.
+
+def provide_names(variables: DataFrame, provider: Callable[[pd.DataFrame], pd.Series], counted: Column | None = None,
+                  whole: bool = False) -> DataFrame:
+    """User-supplied naming of each unit's variables, in order of ``var`` (and ``version``).
+
+    The provider is called on ordered slices of at most ``SLICE`` variables of a
+    unit, with two more columns: ``at``, a variable's place in its unit, and, if
+    ``counted`` names a value, ``seen``, how many earlier variables of the unit
+    have the same one.  Both count over all earlier slices: slices are counted
+    first and their sums carried on, so no task holds more than a slice, however
+    large a unit.  A provider that has to see a unit as one asks for ``whole``.
     """
+    order = [c for c in ("var", "version") if c in variables.columns]
+    cut_at = F.floor(F.col("var") / SLICE)
+    placed = ranked(variables, ["unit"], order, "at", cut_at)
+    names = ["at"]
+    if counted is not None:
+        placed = ranked(placed.withColumn("_value", counted), ["unit", "_value"], ["at"], "seen", F.floor(F.col("at") / SLICE)).drop("_value")
+        names.append("seen")
+    placed = placed.withColumn("_slice", F.lit(0).cast("long") if whole else F.floor(F.col("at") / SLICE))
+
+    out = [*variables.columns, "new_name"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c for c in ("var", "version") if c in pdf.columns])
-        return pdf.assign(new_name=provider(pdf))
+        pdf = pdf.sort_values("at", ignore_index=True)
+        return pdf.assign(new_name=provider(pdf.drop(columns="_slice")))[out]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in variables.schema.fields)
-    return variables.groupBy("unit").applyInPandas(run, f"{fields}, new_name string")
+    columns = [c for c in variables.columns if c not in names]
+    return placed.select(*columns, *names, "_slice").groupBy("unit", "_slice").applyInPandas(run, f"{fields}, new_name string")

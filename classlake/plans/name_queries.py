@@ -146,7 +146,16 @@ select unit, cast(idx as int) as var, concat('p', cast(row_number() over (partit
 from v_seq where op = 'store'""")
 def provided_names(f):
     rows = f.seq.filter("op = 'store'").select("unit", F.col("idx").cast("int").alias("var"))
-    return N.provide_names(rows, lambda pdf: [f"p{i}" for i in range(len(pdf))])
+    return N.provide_names(rows, lambda pdf: "p" + pdf["at"].astype(str))
+
+
+@query("provided_counters", """
+select unit, cast(idx as int) as var, slot, concat('s', slot, '_', cast(row_number() over (partition by unit, slot order by idx) - 1 as varchar)) as new_name
+from v_seq where op in ('store', 'load')""")
+def provided_counters(f):
+    """Names that count a slot's earlier uses over all slices of a unit."""
+    rows = f.seq.filter("op in ('store', 'load')").select("unit", F.col("idx").cast("int").alias("var"), "slot")
+    return N.provide_names(rows, lambda pdf: "s" + pdf["slot"].astype(str) + "_" + pdf["seen"].astype(str), counted=F.col("slot"))
 
 
 # ---------------------------------------------------------------- descriptors

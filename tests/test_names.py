@@ -1,3 +1,5 @@
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -122,3 +124,26 @@ def test_policy_and_provider(spark):
     got = N.apply_policy(df, lambda d: N.must_rename_member(F.col("name"), F.lit(False)),
                          lambda d: d.withColumn("new_name", F.concat(F.lit("n"), F.col("ord").cast("string"))))
     assert rows(got, "ord", "new_name") == [(1, "n1"), (2, "good")]
+
+
+def test_providers_see_slices(spark, monkeypatch):
+    """Places and counts go on over slices; no call gets more than a slice, unless it asks for the unit."""
+    monkeypatch.setattr(N, "SLICE", 4)
+    rng = random.Random(3)
+    data = [(u, v, w, rng.choice("abc")) for u, n in ((1, 30), (2, 3)) for v in range(n) for w in range(rng.randint(1, 2))]
+    df = spark.createDataFrame(data, "unit long, var int, version int, kind string").repartition(5)
+    seen = {}
+    want = []
+    for u in (1, 2):
+        for at, (_, v, w, k) in enumerate(sorted(r for r in data if r[0] == u)):
+            want.append((u, v, w, k, f"{k}{seen.setdefault((u, k), 0)}@{at}"))
+            seen[u, k] += 1
+
+    def name(pdf):
+        assert len(pdf) <= 4 and pdf["at"].is_monotonic_increasing
+        return pdf["kind"] + pdf["seen"].astype(str) + "@" + pdf["at"].astype(str)
+
+    got = N.provide_names(df, name, counted=F.col("kind"))
+    assert got.columns == ["unit", "var", "version", "kind", "new_name"] and sorted(map(tuple, got.collect())) == want
+    sizes = N.provide_names(df, lambda pdf: [str(len(pdf))] * len(pdf), whole=True).collect()
+    assert {(r.unit, int(r.new_name)) for r in sizes} == {(u, sum(r[0] == u for r in data)) for u in (1, 2)}

@@ -21,9 +21,8 @@ def db():
 
 
 # long loops whose operators the fixture tests cover; CLASSLAKE_ALL=1 adds them
-LONG = set("""post_dominators component_levels call_components type_bound_conflicts node_split_once dominator_pairs
-immediate_dominators back_edges natural_loops loop_depth type_bounds equal_subgraphs split_range_merge phi_sets
-live_versions circular_range_parts dead_block_removal unreachable_blocks""".split())
+LONG = set("""post_dominators component_levels call_components type_bound_conflicts node_split_once
+type_bounds split_range_merge phi_sets live_versions dead_block_removal unreachable_blocks""".split())
 CHOSEN = [n for n in QUERIES if n not in LONG or os.environ.get("CLASSLAKE_ALL")]
 
 
