@@ -95,14 +95,24 @@ def typed_variable_names(f):
     return N.typed_names(typed_variables(f))
 
 
-@query("type_name_bases", f"""
-with v as (select distinct {TYPE_LIST}[event_id % {len(TYPES)} + 1] as type from v_seq)
-select type, case type when 'File' then 'file' when 'java.lang.String' then 'string' when 'java.util.List<java.lang.String>' then 'list'
-  when 'Foo[]' then 'foos' when 'foo[][]' then 'foos' else type end as base from v""")
+@query("type_name_bases", """
+with p as (select ord, lower(word) as w, lower(split_part(raw, ' ', -1)) as z from v_name),
+t as (select ord, w, z, concat(upper(w[1]), w[2:]) as cw, concat(upper(z[1]), z[2:]) as cz from p)
+select ord, case ord % 6 when 0 then cw when 1 then concat('com.', z, '.', cw) when 2 then concat('java.util.Map<', cw, ', x.', cz, '>')
+    when 3 then concat('q.', cw, '$', cz) when 4 then concat(cw, '[]') else concat('a.b.', cw, '$', cz, '[][]') end as type,
+  case ord % 6 when 2 then 'map' when 3 then z when 4 then concat(w, case when w[-1:] = 's' then '' else 's' end)
+    when 5 then concat(z, case when z[-1:] = 's' then '' else 's' end) else w end as base from t""")
 def type_name_bases(f):
-    kinds = F.array(*[F.lit(t) for t in TYPES])
-    kind = F.element_at(kinds, (F.col("event_id") % len(TYPES) + 1).cast("int")).alias("type")
-    return f.seq.select(kind).distinct().select("type", N.name_base(F.col("type")).alias("base"))
+    """A type for each part: plain, qualified, generic, nested and array types made of its words."""
+    w, z = F.lower("word"), F.lower(F.split_part("raw", F.lit(" "), F.lit(-1)))
+    title = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
+    cw, cz, k = title(w), title(z), F.col("ord") % 6
+    kind = (
+        F.when(k == 0, cw).when(k == 1, F.concat(F.lit("com."), z, F.lit("."), cw))
+        .when(k == 2, F.concat(F.lit("java.util.Map<"), cw, F.lit(", x."), cz, F.lit(">")))
+        .when(k == 3, F.concat(F.lit("q."), cw, F.lit("$"), cz)).when(k == 4, F.concat(cw, F.lit("[]")))
+        .otherwise(F.concat(F.lit("a.b."), cw, F.lit("$"), cz, F.lit("[][]"))))
+    return f.name.select("ord", kind.alias("type")).select("ord", "type", N.name_base(F.col("type")).alias("base"))
 
 
 @query("scope_free_names", """
