@@ -10,7 +10,7 @@ from classlake.operators import effects as E
 from classlake.operators import hierarchy as H
 from classlake.operators import lines as L
 from classlake.operators import regions as R
-from classlake.plans.graph_queries import handler_edges
+from classlake.plans.graph_queries import handler_edges, live_dominators, live_flow, live_graph
 from classlake.plans.registry import query
 
 # ---------------------------------------------------------------- lines and locals
@@ -199,6 +199,58 @@ def live_slots(f):
     return D.live_slots(f.block, f.edge, handler_edges(f))
 
 
+SSA = f"""{LIVE},
+df as (select distinct e.unit, d.d as node, e.dst as front from o_live_flow e join o_dom d on d.unit = e.unit and d.n = e.src
+  where not exists (select 1 from o_dom s where s.unit = e.unit and s.n = e.dst and s.d = d.d and s.n <> s.d)),
+lp as (select l.* from lv l join o_reach r on r.unit = l.unit and r.node = l.block),
+ph as (
+  select distinct df.unit, df.front as block, lp.slot from df join lp on lp.unit = df.unit and lp.block = df.front
+  where df.node = 1 or exists (select 1 from wr where wr.unit = df.unit and wr.block = df.node and wr.slot = lp.slot)
+  union select df.unit, df.front, ph.slot from ph join df on df.unit = ph.unit and df.node = ph.block
+  join lp on lp.unit = df.unit and lp.block = df.front and lp.slot = ph.slot)"""
+
+
+def live_pairs(f):
+    """Slots live at the start of the blocks that are reached."""
+    if not hasattr(f, "_live_pairs"):
+        reached = live_graph(f)[0].withColumnRenamed("node", "block")
+        f._live_pairs = cut(D.live_slots(f.block, f.edge, handler_edges(f)).join(reached, ["unit", "block"], "left_semi"))
+    return f._live_pairs
+
+
+def phis(f):
+    if not hasattr(f, "_phis"):
+        tree = live_dominators(f)
+        reached = f.block.join(live_graph(f)[0].withColumnRenamed("node", "block"), ["unit", "block"], "left_semi")
+        f._phis = cut(D.phi_places(reached, D.dominance_frontiers(live_flow(f), tree), tree, live_pairs(f)))
+    return f._phis
+
+
+@query("dominance_frontiers", f"with {SSA} select unit, node, front from df")
+def dominance_frontiers(f):
+    return D.dominance_frontiers(live_flow(f), live_dominators(f))
+
+
+@query("phi_places", f"with {SSA} select unit, block, slot from ph")
+def phi_places(f):
+    return phis(f)
+
+
+@query("slot_versions", f"""with {SSA},
+dp as (select unit, n, count(*) as depth from o_dom group by unit, n),
+ls as (select unit, block, slot, max(idx) as idx from v_block where op = 'store' group by unit, block, slot),
+ca as (
+  select lp.unit, lp.block, lp.slot, dp.depth * 2 as r, 'phi' as kind, ph.block as spot from lp join o_dom d on d.unit = lp.unit and d.n = lp.block
+  join ph on ph.unit = lp.unit and ph.block = d.d and ph.slot = lp.slot join dp on dp.unit = d.unit and dp.n = d.d
+  union all
+  select lp.unit, lp.block, lp.slot, dp.depth * 2 + 1, 'store', ls.idx from lp join o_dom d on d.unit = lp.unit and d.n = lp.block and d.d <> d.n
+  join ls on ls.unit = lp.unit and ls.block = d.d and ls.slot = lp.slot join dp on dp.unit = d.unit and dp.n = d.d)
+select lp.unit, lp.block, lp.slot, coalesce(arg_max(ca.kind, ca.r), 'entry') as kind, arg_max(ca.spot, ca.r) as "at"
+from lp left join ca on ca.unit = lp.unit and ca.block = lp.block and ca.slot = lp.slot group by lp.unit, lp.block, lp.slot""")
+def slot_versions(f):
+    return D.versions_in(f.block, phis(f), live_dominators(f), live_pairs(f))
+
+
 @query("live_versions", f"""with {REACHING}, {LIVE}
 select r.unit, r.block, r.slot, r.def from rd r where exists
   (select 1 from lv l where l.unit = r.unit and l.block = r.block and l.slot = r.slot)""")
