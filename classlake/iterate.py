@@ -234,6 +234,65 @@ def converge(state: DataFrame, step: Step, changed: Callable[[DataFrame, DataFra
             return current
 
 
+def until_settled(parts: list[DataFrame], keys: list[str], open_: Callable[..., DataFrame],
+                  step: Callable[..., list[DataFrame]]) -> list[DataFrame]:
+    """Rewrite groups of rows until each is settled; a group that is settled leaves the loop.
+
+    ``parts`` are tables with the columns ``keys``, ``open_(*parts)`` names the
+    groups that go on, ``step(*parts)`` gives the tables of those groups anew.
+    A round reads and writes the groups that are still open alone: the rows of
+    the others go once to the folder that the result is read from.
+    """
+    spark = parts[0].sparkSession
+    done = [f"{work_dir(spark)}/{uuid.uuid4().hex}" for _ in parts]
+    schemas = [p.schema for p in parts]
+    held = [_write(p) for p in parts]
+    while True:
+        tables = [df for df, _ in held]
+        on, on_path = _write(open_(*tables).select(*keys).distinct())
+        for table, path in zip(tables, done, strict=True):
+            table.join(on, keys, "left_anti").select(table.columns).write.mode("append").parquet(path)
+        if on.isEmpty():
+            following = []
+        else:
+            following = [_write(df.select(s.names)) for df, s in zip(
+                step(*[t.join(on, keys, "left_semi").select(t.columns) for t in tables]), schemas, strict=True)]
+        for path in [on_path, *(path for _, path in held)]:
+            _drop(spark, path)
+        if not following:
+            return [spark.read.schema(s).parquet(path) for s, path in zip(schemas, done, strict=True)]
+        held = following
+
+
+def looping_passes(state: DataFrame, keys: list[str], passes: list[tuple[Step, bool]]) -> DataFrame:
+    """Passes over every group of rows, in order: (pass, loops).
+
+    Where a pass that loops changes a group, the group starts again at the first
+    pass; a pass that does not loop goes on either way.  Groups are independent,
+    and one that gets through to the end is done: later rounds do not read it.
+    A pass must treat each group by itself; equal rows count.
+    """
+    on, path = _write(state)
+    done: list[DataFrame] = []
+    while True:
+        again: list[DataFrame] = []
+        for one, loops in passes:
+            after, after_path = _write(one(on).select(state.columns))
+            if loops:
+                moved = cut(after.exceptAll(on).unionByName(on.exceptAll(after)).select(*keys).distinct())
+                # a group without rows has nothing left to do
+                again.append(cut(after.join(moved, keys, "left_semi").select(state.columns)))
+                after, left_path = _write(after.join(moved, keys, "left_anti").select(state.columns))
+                _drop(state.sparkSession, after_path)
+                after_path = left_path
+            _drop(state.sparkSession, path)
+            on, path = after, after_path
+        done.append(on)
+        if not again or (following := _union(again)).isEmpty():
+            return _union(done)
+        on, path = _write(following)
+
+
 def run_passes(state: DataFrame, passes: list[Step],
                changed: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """User-supplied passes over a frame, in order; with ``changed`` the whole

@@ -380,10 +380,17 @@ def irreducible_units(edges: DataFrame, with_exceptions: DataFrame | None = None
     not matter.  An entry with one predecessor folds like any other node.
     Units with exception edges are reported reducible.
     """
+    return collapsed(edges, with_exceptions)[0].select("unit").distinct()
+
+
+def collapsed(edges: DataFrame, with_exceptions: DataFrame | None = None,
+              nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """What is left of each graph that does not collapse: edges among its parts, and with ``nodes`` (unit, node, part)."""
     plain = edges.select("unit", "src", "dst").filter("src <> dst").distinct()
     if with_exceptions is not None:
         plain = plain.join(with_exceptions.select("unit").distinct(), "unit", "left_anti")
     live = cut(plain)
+    parts = nodes and nodes.select("unit", "node", F.col("node").alias("part"))
     key = lambda c: F.struct(F.col("unit").alias("unit"), F.col(c).alias("node"))
     while True:
         folds = cut(
@@ -391,7 +398,7 @@ def irreducible_units(edges: DataFrame, with_exceptions: DataFrame | None = None
             .agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("pred"))
             .filter("_n = 1").select(key("node").alias("a"), key("pred").alias("b")))
         if folds.isEmpty():
-            return live.select("unit").distinct()
+            return live, parts and parts.join(live.select("unit").distinct(), "unit", "left_semi")
         groups = iterate.components(folds, "a", "b").select(
             "node.unit", "node.node", F.col("component.node").alias("_g"))
         groups = cut(groups)
@@ -400,6 +407,9 @@ def irreducible_units(edges: DataFrame, with_exceptions: DataFrame | None = None
             live.join(at("src"), ["unit", "src"], "left").join(at("dst"), ["unit", "dst"], "left")
             .select("unit", F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
             .filter("src <> dst").distinct())
+        if parts is not None:
+            parts = cut(parts.join(at("part"), ["unit", "part"], "left").select(
+                "unit", "node", F.coalesce("_part", "part").alias("part")))
 
 
 def split_candidate(nodes: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -449,18 +459,55 @@ def split_once(nodes: DataFrame, edges: DataFrame, sizes: DataFrame,
     return (nodes.unionByName(more), into.unionByName(outof).distinct(), sizes.unionByName(size))
 
 
-def split_irreducible(nodes: DataFrame, edges: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split nodes until every unit is reducible: (nodes, edges).
+def split_parts(nodes: DataFrame, edges: DataFrame, sizes: DataFrame) -> list[DataFrame]:
+    """Copy a part of each irreducible unit for its predecessors but the last: [nodes, edges, sizes].
 
-    Expects a graph without dead nodes; goes on until no unit is left over.
+    Parts are what the nodes of a unit collapse to, so a part is entered at one
+    node.  The part is chosen like a node (:func:`split_candidate`) and copied
+    whole, once for each predecessor part in order; a copy repeats the edges
+    inside and out of the part and takes over those from its predecessor.
+    Copies are numbered behind the greatest node by predecessor, then node.
     """
-    edges = edges.select("unit", "src", "dst").distinct()
-    while True:
-        nodes, edges, sizes = cut(nodes), cut(edges), cut(sizes)
-        bad = cut(irreducible_units(edges))
-        if bad.isEmpty():
-            return nodes, edges
-        nodes, edges, sizes = split_once(nodes, edges, sizes, bad)
+    left, parts = collapsed(edges, nodes=nodes)
+    parts = cut(parts)
+    weight = parts.join(sizes, ["unit", "node"]).groupBy("unit", F.col("part").alias("node")).agg(F.sum("size").alias("size"))
+    pick = split_candidate(parts.select("unit", F.col("part").alias("node")).distinct(), left, weight)
+    pick = cut(pick.select("unit", F.col("node").alias("part")))
+    into = left.join(pick.withColumnRenamed("part", "dst"), ["unit", "dst"]).select("unit", F.col("src").alias("pred"))
+    pred = cut(into.join(into.groupBy("unit").agg(F.max("pred").alias("_last")), "unit").filter("pred <> _last")
+               .select("unit", "pred"))
+    inside = cut(parts.join(pick, ["unit", "part"], "left_semi").select("unit", "node"))
+    number = ranked(inside.join(pred, "unit"), ["unit"], ["pred", "node"], "_i",
+                    F.struct("pred", F.floor(F.col("node") / 65536)))
+    top = nodes.groupBy("unit").agg(F.max("node").alias("_top"))
+    copies = cut(number.join(top, "unit").select("unit", "pred", "node", (F.col("_top") + 1 + F.col("_i")).alias("copy")))
+    at = lambda c: copies.select("unit", "pred", F.col("node").alias(c), F.col("copy").alias("_" + c))
+    of = parts.select("unit", F.col("node").alias("src"), F.col("part").alias("pred"))
+    moved = edges.join(of, ["unit", "src"]).join(at("dst"), ["unit", "pred", "dst"], "left")
+    kept = moved.select("unit", "src", F.coalesce("_dst", "dst").alias("dst"))
+    outof = edges.join(at("src"), ["unit", "src"]).join(at("dst"), ["unit", "pred", "dst"], "left").select(
+        "unit", F.col("_src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
+    return [nodes.unionByName(copies.select("unit", F.col("copy").alias("node"))),
+            kept.unionByName(outof).distinct(),
+            sizes.unionByName(copies.join(sizes, ["unit", "node"]).select("unit", F.col("copy").alias("node"), "size"))]
+
+
+def split_irreducible(nodes: DataFrame, edges: DataFrame, sizes: DataFrame,
+                      with_exceptions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split parts until every unit is reducible: (nodes, edges).
+
+    Expects a graph without dead nodes.  A part that has been split folds into
+    its predecessors, so a unit is through after as many rounds as it had parts.
+    A round tests and rewrites only the units that the round before left
+    irreducible.  Units with exception edges count as reducible and stay.
+    """
+    plain = edges.select("unit", "src", "dst").distinct()
+    if with_exceptions is not None:
+        with_exceptions = cut(with_exceptions.select("unit").distinct())
+    more, split, _ = iterate.until_settled(
+        [nodes.select("unit", "node").distinct(), plain, sizes.select("unit", "node", "size").distinct()], ["unit"],
+        lambda nodes, edges, sizes: irreducible_units(edges, with_exceptions), split_parts)
+    return more, split
 
 
 # ---------------------------------------------------------------- export, audit

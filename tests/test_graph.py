@@ -150,6 +150,57 @@ def test_reducibility_and_splitting(spark, rng):
     assert not any(irreducible(d, spread[u]) for u, d in after.items())
 
 
+def limit(data, nodes):
+    """What a graph collapses to: {least node of a part: its nodes}, and the edges among parts."""
+    parts = {n: {n} for n in nodes}
+    while True:
+        at = {n: p for p, members in parts.items() for n in members}
+        left = {(at[a], at[b]) for a, b in data if at[a] != at[b]}
+        one = next(((b, preds[0]) for b in sorted(parts) if len(preds := [a for a, c in left if c == b]) == 1), None)
+        if one is None:
+            return parts, left
+        both = parts.pop(one[0]) | parts.pop(one[1])
+        parts[min(both)] = both
+
+
+def split_until_reducible(data, size):
+    """The edges after copying one part at a time for all its predecessors but the last."""
+    data, size = set(data), dict(size)
+    while True:
+        parts, left = limit(data, size)
+        if not left:
+            return data
+        preds = {p: sorted(a for a, b in left if b == p) for p in parts}
+        cost = lambda p: (sum(a == p for a, b in left), sum(size[n] for n in parts[p]) * (len(preds[p]) - 1), p)
+        pick = min((p for p in parts if len(preds[p]) > 1), key=cost)
+        inside, at = parts[pick], {n: p for p, members in parts.items() for n in members}
+        before, top = set(data), max(size)
+        for pred in preds[pick][:-1]:
+            copy = {n: top + k for k, n in enumerate(sorted(inside), 1)}
+            top += len(inside)
+            size.update((copy[n], size[n]) for n in inside)
+            data = {(a, copy[b] if b in inside and at.get(a) == pred else b) for a, b in data}
+            data |= {(copy[a], copy.get(b, b)) for a, b in before if a in inside}
+
+
+def test_splitting_goes_on_in_open_units_alone(spark, rng):
+    g, nodes, edges = graphs(spark, rng, units=9, n=7, m=4)
+    live, kept = G.drop_dead(nodes, edges)
+    size = live.withColumn("size", F.col("node") % 3 + 1)
+    kept, live = kept.unionByName(kept.limit(3)), live.unionByName(live.limit(2))  # repeated rows
+    got = {}
+    for u, a, b in rows(G.split_irreducible(live, kept, size)[1], "unit", "src", "dst"):
+        got.setdefault(u, set()).add((a, b))
+    for u, d in g.items():
+        there = reach(d, 0)
+        assert got.get(u, set()) == split_until_reducible([e for e in d if e[0] in there], {n: n % 3 + 1 for n in there})
+    held = spark.createDataFrame([(u,) for u in g], "unit long")
+    assert rows(G.split_irreducible(live, kept, size, held)[1], "unit", "src", "dst") == rows(
+        kept.select("unit", "src", "dst").distinct(), "unit", "src", "dst")
+    none = G.split_irreducible(live.limit(0), kept.limit(0), size.limit(0))
+    assert none[0].isEmpty() and none[1].isEmpty()
+
+
 def test_bypass_leaves_circles_alone(spark):
     u = "unit long, src long, dst long, ord int"
     edges = spark.createDataFrame([(1, 0, 1, 0), (1, 1, 2, 0), (1, 2, 3, 0), (1, 0, 4, 1), (1, 4, 5, 0), (1, 5, 4, 0)], u)

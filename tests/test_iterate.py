@@ -109,3 +109,44 @@ def test_work_dir_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         iterate.work_dir(Session())
+
+
+def test_looping_passes_restart_changed_groups(spark):
+    """Each group goes its own way: halve while even (loops), raise to five (loops), mark (does not)."""
+    data = [(k, v) for k, v in enumerate((0, 1, 7, 8, 9, 40, 63, 64))] + [(3, 8), (3, 5)]
+
+    def one(values):
+        while True:
+            for change in (lambda v: v // 2 if v > 0 and v % 2 == 0 else v, lambda v: 5 if v < 5 else v):
+                after = sorted(map(change, values))
+                if after != values:
+                    break
+            else:
+                return [*values, -1]
+            values = after
+
+    halve = lambda d: d.withColumn("v", F.when((F.col("v") > 0) & (F.col("v") % 2 == 0), F.expr("v div 2")).otherwise(F.col("v")))
+    more = lambda d: d.withColumn("v", F.when(F.col("v") < 5, 5).otherwise(F.col("v")))
+    mark = lambda d: d.unionByName(d.select("k", F.lit(-1).cast("long").alias("v")).distinct())
+    df = spark.createDataFrame(data, "k long, v long")
+    want = sorted((k, v) for k in {k for k, _ in data} for v in one(sorted(v for q, v in data if q == k)))
+    assert rows(iterate.looping_passes(df, ["k"], [(halve, True), (more, True), (mark, False)]), "k", "v") == want
+    # a pass that does not loop changes a group without a restart, each time the chain gets to it
+    twice = iterate.looping_passes(df, ["k"], [(mark, False), (halve, True)])
+    marks = twice.filter("v = -1").groupBy("k").count()
+    halvings = {k: max(bin(v)[::-1].index("1") if v else 0 for q, v in data if q == k) for k, _ in data}
+    assert rows(marks, "k", "count") == sorted((k, n + 1) for k, n in halvings.items())
+    assert iterate.looping_passes(df.limit(0), ["k"], [(halve, True)]).isEmpty()
+
+
+def test_settled_groups_leave(spark):
+    seen = []
+    df = spark.createDataFrame([(k, k) for k in range(6)], "k long, v long")
+
+    def step(part):
+        seen.append(part.count())
+        return [part.withColumn("v", F.col("v") - 1)]
+
+    done, = iterate.until_settled([df], ["k"], lambda part: part.filter("v > 0").select("k"), step)
+    assert rows(done, "k", "v") == [(k, 0) for k in range(6)]
+    assert seen == [5, 4, 3, 2, 1]
