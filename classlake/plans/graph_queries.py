@@ -248,12 +248,6 @@ def node_split_once(f):
     return G.split_once(nodes, plain, block_sizes(f), bad)[1]
 
 
-@query("node_splitting", None)
-def node_splitting(f):
-    nodes, edges = live_graph(f)
-    return G.split_irreducible(nodes, edges, block_sizes(f), handler_edges(f))[1]
-
-
 @query("graph_text", """
 with hb as (select distinct m.unit, m.from_idx, m.to_idx, m.handler_idx, m.block, h.block as handler
   from o_member_of m join v_block h on h.unit = m.unit and h.idx = m.handler_idx),
