@@ -1,14 +1,14 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join by banded MinHash labels and exact verification.
 
 A document is its set of distinct five-word shingles (lower-cased A-Z; words are
 runs of letters, digits and non-ASCII characters; a text of fewer words, but not
 none, has one shingle of all its words).
 
 1. Documents of equal sets form a class, led by the least doc_id; only leaders go on.
-2. Each leader has ``TREES`` labels of ``DEEPEST`` MinHash bytes.  A tree is the
-   sorted order of its labels, where leaders with a common prefix stand together.
-   Matched prefixes are shortened from the deepest level until a pair at the
-   threshold shares one in some tree with probability ``target``.
+2. Each leader has ``TREES`` labels of ``DEEPEST`` MinHash bytes, cut to one fixed
+   prefix: the longest with which a pair at the threshold shares one in some tree
+   with probability ``target``.  This is fixed banding, in place of an LSH forest:
+   no label is sorted and no prefix is shortened from the data.
 3. Leaders under one prefix are tied to the least of them (a star, never all
    pairs), and the stars' connected components bound what can be similar.
 4. Each component's sets come together in squares of at most ``SQUARE`` x ``SQUARE``
