@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from classlake import iterate
@@ -23,15 +25,74 @@ def closure(parents: DataFrame, start: DataFrame | None = None) -> DataFrame:
         lambda f: f.join(up, "anc").select("node", F.col("_p").alias("anc")))
 
 
+def ordered_supertypes(parents: DataFrame, start: DataFrame, breadth_first: bool = False) -> DataFrame:
+    """One row for each class with its reflexive supertypes in visit order: (node, ancs).
+
+    Depth first, a class's list is itself and then its parents' lists by ``pos``,
+    each supertype at its first place; breadth first, supertypes fewer steps
+    away come before.  Lists are built from the top of the hierarchy down and
+    sent to the children alone, so a list is written once for each child.  On
+    cycles, which have no top, paths are compared instead.
+    """
+    type_ = dict(parents.dtypes)["node"]
+    up = cut(parents.select("node", "parent", F.col("pos").cast("int").alias("pos"))
+             .filter("node is not null and parent is not null").distinct())
+    asked = cut(iterate.fixpoint(
+        start.select("node"), lambda f: f.join(up, "node").select(F.col("parent").alias("node"))))
+    arcs = up.join(asked, "node", "left_semi")
+    try:
+        levels = cut(iterate.levels(arcs.select(F.col("parent").alias("src"), F.col("node").alias("dst")), asked))
+    except ValueError:
+        order = Window.partitionBy("node").orderBy("rank")
+        lists = _ranked_paths(up, start, breadth_first).withColumn("_at", F.row_number().over(order)).groupBy("node").agg(
+            F.array_sort(F.collect_list(F.struct("_at", "anc"))).alias("_l"))
+        return lists.select("node", F.col("_l.anc").alias("ancs"))
+    spark = parents.sparkSession
+    base = f"{iterate.work_dir(spark)}/{uuid.uuid4().hex}"
+    # a class sends its list to its children's levels, and to level -1 as the result if it is asked for
+    child = cut(arcs.join(levels, "node").select(F.col("parent").alias("_p"), F.col("node").alias("_child"), "pos", "level").unionByName(
+        start.select("node").distinct().select(F.col("node").alias("_p"), F.col("node").alias("_child"), F.lit(-1).alias("pos"), F.lit(-1).cast("long").alias("level"))))
+    zeros = F.array(F.lit(0))
+    sent = spark.createDataFrame([], f"node {type_}, pos int, parent {type_}, ancs array<{type_}>, lens array<int>").schema
+    last = levels.agg(F.max("level")).first()[0]
+    for level in range(0, -1 if last is None else int(last) + 1):
+        if level == 0:
+            done = levels.filter("level = 0").select("node", F.array("node").alias("ancs"), zeros.alias("lens"))
+        else:
+            parts = spark.read.schema(sent).parquet(f"{base}/level={level}").groupBy("node").agg(
+                F.array_sort(F.collect_list(F.struct("pos", "parent", "ancs", "lens"))).alias("_l"))
+            ancs = F.concat(F.array("node"), F.flatten("_l.ancs"))
+            if breadth_first:
+                far = F.concat(zeros, F.transform(F.flatten("_l.lens"), lambda n: n + 1))
+                met = parts.select("node", F.array_sort(F.transform(
+                    F.arrays_zip(ancs.alias("anc"), far.alias("far")),
+                    lambda x, i: F.struct(x["far"].alias("far"), i.alias("at"), x["anc"].alias("anc")))).alias("_s"))
+                done = met.select("node", "_s", F.array_distinct("_s.anc").alias("ancs")).select(
+                    "node", "ancs", F.transform("ancs", lambda a: F.element_at(
+                        F.col("_s.far"), F.array_position(F.col("_s.anc"), a).cast("int"))).alias("lens"))
+            else:
+                done = parts.select("node", F.array_distinct(ancs).alias("ancs"), F.array().cast("array<int>").alias("lens"))
+        done.join(child, F.col("node").eqNullSafe(F.col("_p")) if level == 0 else F.col("node") == F.col("_p")).select(
+            F.col("_child").alias("node"), "pos", F.col("_p").alias("parent"), "ancs", "lens", "level",
+        ).write.mode("append").partitionBy("level").parquet(base)
+    if last is None:
+        return spark.createDataFrame([], sent).select("node", "ancs")
+    return spark.read.schema(sent).parquet(f"{base}/level=-1").select("node", "ancs")
+
+
 def ranked_closure(parents: DataFrame, start: DataFrame, breadth_first: bool = False) -> DataFrame:
     """Reflexive supertypes with visit order: (node, anc, rank).
 
-    ``rank.path`` lists the ordinals taken; compared element by element with
-    the shorter first it is depth-first order.  ``rank.len`` puts shorter
-    paths first for breadth-first order and is 0 otherwise.
+    ``rank`` is the place among the node's supertypes, from 0 for itself,
+    depth first or breadth first (see :func:`ordered_supertypes`).
     """
-    up = cut(parents.select(F.col("node").alias("anc"), F.col("parent").alias("_p"),
-                            F.col("pos").cast("int").alias("_pos")).distinct())
+    return cut(ordered_supertypes(parents, start, breadth_first).select("node", F.posexplode("ancs").alias("rank", "anc"))
+               .select("node", "anc", "rank"))
+
+
+def _ranked_paths(parents: DataFrame, start: DataFrame, breadth_first: bool) -> DataFrame:
+    """(node, anc, rank) by the least path of ordinals, shorter ones first where ``breadth_first``; cycles are harmless."""
+    up = cut(parents.select(F.col("node").alias("anc"), F.col("parent").alias("_p"), F.col("pos").alias("_pos")))
 
     def rank(path):
         length = F.size(path) if breadth_first else F.lit(0)
@@ -77,14 +138,13 @@ def common_ancestor(pairs: DataFrame, ranked: DataFrame, root) -> DataFrame:
     """``pairs(a, b)`` with ``common``: the first supertype of a, depth first,
     that is also a supertype of b; the root counts only when it is a itself.
     """
-    up = ranked.select(F.col("node").alias("a"), F.col("anc").alias("common"), "rank")
-    other = ranked.select(F.col("node").alias("b"), F.col("anc").alias("common"))
-    best = (
-        pairs.select("a", "b").distinct().join(up, "a")
-        .filter((F.col("common") != F.lit(root)) | (F.col("common") == F.col("a")))
-        .join(other, ["b", "common"])
-        .groupBy("a", "b").agg(F.min_by("common", "rank").alias("common")))
-    return pairs.join(best, ["a", "b"], "left")
+    listed = cut(ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "anc"))).alias("_l")).select(
+        "node", F.col("_l.anc").alias("_l")))
+    # lists meet, not their elements: a pair stays one row
+    mine = listed.select(F.col("node").alias("a"), F.filter("_l", lambda x: (x != F.lit(root)) | (x == F.col("node"))).alias("_a"))
+    other = listed.select(F.col("node").alias("b"), F.col("_l").alias("_b"))
+    return pairs.join(mine, "a", "left").join(other, "b", "left").select(
+        *pairs.columns, F.get(F.array_intersect("_a", "_b"), F.lit(0)).alias("common"))
 
 
 def inheritance_levels(parents: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -146,8 +146,7 @@ class Facts:
 
     @cached_property
     def up(self) -> DataFrame:
-        from classlake.operators.hierarchy import closure
-        return cut(closure(self.parent, self.hier.select("node")))
+        return self.depth_first.select("node", "anc")
 
     @cached_property
     def depth_first(self) -> DataFrame:
