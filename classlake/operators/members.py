@@ -6,6 +6,8 @@ matters for overriding is (name, params).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def resolve(refs: DataFrame, ranked: DataFrame, members: DataFrame,
     constructor never leaves the named class.  With ``renames(owner, name,
     params, target)`` an unresolved reference is tried again under its new name.
     """
-    keys = refs.select(*REF).distinct()
+    keys = cut(refs.select(*REF).distinct())
     found = _search(keys, ranked, members)
     if renames is not None:
         lost = keys.join(found, REF, "left_anti").join(renames, ["owner", "name", "params"])
@@ -38,12 +40,41 @@ def resolve(refs: DataFrame, ranked: DataFrame, members: DataFrame,
 
 
 def _search(keys: DataFrame, ranked: DataFrame, members: DataFrame) -> DataFrame:
-    up = ranked.select(F.col("node").alias("owner"), F.col("anc").alias("class"), "rank")
-    return (
-        keys.join(up, "owner")
-        .filter((F.col("name") != "<init>") | (F.col("owner") == F.col("class")))
-        .join(members.select(*KEY).distinct(), KEY)
-        .groupBy(*REF).agg(F.min_by("class", "rank").alias("found")))
+    names = members.select(*KEY).distinct()
+
+    def look(wanted: DataFrame, places: DataFrame) -> DataFrame:
+        return (
+            wanted.join(places.select(F.col("node").alias("owner"), F.col("anc").alias("class"), "rank"), "owner")
+            .filter((F.col("name") != "<init>") | (F.col("owner") == F.col("class")))
+            .join(names, KEY).groupBy(*REF).agg(F.min_by("class", "rank").alias("found")))
+
+    return in_slices(keys, ranked, look, REF)
+
+
+def in_slices(keys: DataFrame, ranked: DataFrame, look: Callable[[DataFrame, DataFrame], DataFrame],
+              key: list[str]) -> DataFrame:
+    """Search the supertypes of each key's ``owner`` in order and stop at the first slice that answers.
+
+    ``ranked(node, anc, rank)`` counts places from 0; ``look(keys, places)`` gives
+    one row for each key that the places answer.  Slices double in size: the
+    class itself, two more places, four more ...  Only keys without an answer
+    whose owner has further places meet the next slice.
+    """
+    wanted = keys
+    low, width = 0, 1
+    found: list[DataFrame] = []
+    while True:
+        places = ranked.filter((F.col("rank") >= low) & (F.col("rank") < low + width))
+        found.append(cut(look(wanted, places)))
+        low, width = low + width, width * 2
+        further = ranked.filter(F.col("rank") == low).select(F.col("node").alias("owner"))
+        wanted = cut(wanted.join(found[-1], key, "left_anti").join(further, "owner", "left_semi").select(keys.columns))
+        if wanted.isEmpty():
+            break
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def resolve_rename(refs: DataFrame, breadth: DataFrame, members: DataFrame, renames: DataFrame) -> DataFrame:

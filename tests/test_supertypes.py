@@ -1,6 +1,7 @@
 """Ordered supertypes, the search along them and class pairs, against plain loops."""
 
 from classlake.operators import hierarchy as H
+from classlake.operators import members as M
 from conftest import rows
 
 
@@ -53,3 +54,19 @@ def test_first_common_supertype(spark, rng):
     got = rows(H.common_ancestor(spark.createDataFrame(asked, "a long, b long"), H.ranked_closure(arcs, nodes), 0), "a", "b", "common")
     want = [(a, b, next((x for x in seen.get(a, []) if x in seen.get(b, []) and (x != 0 or a == 0)), None)) for a, b in asked]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_answered_keys_leave_the_search(spark):
+    """Only what the first places leave open meets the later ones."""
+    chain = spark.createDataFrame([("n", f"a{k:02}", k) for k in range(12)] + [("m", "m", 0)], "node string, anc string, rank int")
+    keys = spark.createDataFrame([("n", "near"), ("n", "far"), ("n", "none"), ("m", "far")], "owner string, name string")
+    holds = spark.createDataFrame([("a00", "near"), ("a09", "far"), ("a11", "far")], "anc string, name string")
+    met = []
+
+    def look(wanted, places):
+        met.append((rows(wanted, "owner", "name"), rows(places, "rank")[-1][0]))
+        return (wanted.join(places.withColumnRenamed("node", "owner"), "owner").join(holds, ["anc", "name"])
+                .groupBy("owner", "name").agg({"anc": "min"}).withColumnRenamed("min(anc)", "found"))
+
+    assert rows(M.in_slices(keys, chain, look, ["owner", "name"]), "name", "found") == [("far", "a09"), ("near", "a00")]
+    assert [top for _, top in met] == [0, 2, 6, 11] and all(w == [("n", "far"), ("n", "none")] for w, _ in met[1:])
