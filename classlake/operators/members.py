@@ -84,19 +84,19 @@ def resolve_rename(refs: DataFrame, breadth: DataFrame, members: DataFrame, rena
     itself without a rename stops the search.
     """
     key = ["owner", "name", "params"]
-    keys = refs.select(*key).distinct()
-    up = breadth.select(F.col("node").alias("owner"), F.col("anc").alias("_c"), "rank")
-    spread = keys.join(up, "owner")
-    hit = spread.join(
-        renames.select(F.col("owner").alias("_c"), "name", "params", "target"), ["_c", "name", "params"]
-    ).groupBy(*key).agg(F.min("rank").alias("_hit"), F.min_by("target", "rank").alias("target"))
-    block = spread.join(
-        members.select(F.col("class").alias("_c"), "name", "params").distinct(), ["_c", "name", "params"]
-    ).groupBy(*key).agg(F.min("rank").alias("_stop"))
-    return (
-        keys.join(hit, key, "left").join(block, key, "left")
-        .select(*key, F.when(F.col("_stop").isNull() | (F.col("_hit") <= F.col("_stop")),
-                             F.col("target")).alias("target")))
+    keys = cut(refs.select(*key).distinct())
+    spot = ["class", "name", "params"]
+    renamed = renames.select(F.col("owner").alias("class"), "name", "params", "target")
+    marks = renamed.unionByName(
+        members.select(*spot).distinct().join(renamed, spot, "left_anti")
+        .select(*spot, F.lit(None).cast(dict(renames.dtypes)["target"]).alias("target")))
+
+    def look(wanted: DataFrame, places: DataFrame) -> DataFrame:
+        return (
+            wanted.join(places.select(F.col("node").alias("owner"), F.col("anc").alias("class"), "rank"), "owner")
+            .join(marks, spot).groupBy(*key).agg(F.min_by("target", "rank").alias("target")))
+
+    return keys.join(in_slices(keys, breadth, look, key), key, "left").select(*key, "target")
 
 
 def missing_targets(refs: DataFrame, ranked: DataFrame, members: DataFrame, owners: DataFrame) -> DataFrame:
