@@ -151,15 +151,19 @@ def inherited_implementations(methods: DataFrame, closed: DataFrame, returns: Da
     # only signatures that classes and interfaces share are spread over subclasses
     shared = able.groupBy("name", "params").agg(F.min("in_iface").alias("_lo"), F.max("in_iface").alias("_hi"))
     able = able.join(shared.filter("not _lo and _hi").select("name", "params"), ["name", "params"], "left_semi")
-    seen = able.join(below.withColumnRenamed("anc", "class"), "class")
-    impl = seen.filter("not in_iface").select("node", *KEY, "final", "public")
-    intf = seen.filter("in_iface").select(
-        "node", "name", "params", F.col("class").alias("sup"), F.col("ret").alias("sup_ret"))
+    impl = cut(able.filter("not in_iface").select(*KEY, "final", "public").distinct())
+    intf = cut(able.filter("in_iface").select(
+        F.col("class").alias("sup"), "name", "params", F.col("ret").alias("sup_ret")).distinct())
+    # classes meet below first, once for each pair; their methods follow
     related = closed.filter("node <> anc")
-    pairs = (
-        impl.join(intf, ["node", "name", "params"]).drop("node").distinct()
-        .join(related.select(F.col("node").alias("class"), F.col("anc").alias("sup")), ["class", "sup"], "left_anti")
+    met = (
+        below.select("node", F.col("anc").alias("class")).join(impl.select("class").distinct(), "class", "left_semi")
+        .join(below.select("node", F.col("anc").alias("sup")).join(intf.select("sup").distinct(), "sup", "left_semi"), "node")
+        .select("class", "sup").distinct())
+    apart = (
+        met.join(related.select(F.col("node").alias("class"), F.col("anc").alias("sup")), ["class", "sup"], "left_anti")
         .join(related.select(F.col("node").alias("sup"), F.col("anc").alias("class")), ["class", "sup"], "left_anti"))
+    pairs = apart.join(impl, "class").join(intf, ["sup", "name", "params"])
     down = returns.select(F.col("child").alias("ret"), F.col("parent").alias("sup_ret"), F.lit(True).alias("_down"))
     up = returns.select(F.col("child").alias("sup_ret"), F.col("parent").alias("ret"), F.lit(True).alias("_up"))
     pairs = pairs.join(down, ["ret", "sup_ret"], "left").join(up, ["ret", "sup_ret"], "left")

@@ -70,3 +70,24 @@ def test_answered_keys_leave_the_search(spark):
 
     assert rows(M.in_slices(keys, chain, look, ["owner", "name"]), "name", "found") == [("far", "a09"), ("near", "a00")]
     assert [top for _, top in met] == [0, 2, 6, 11] and all(w == [("n", "far"), ("n", "none")] for w, _ in met[1:])
+
+
+def test_inherited_by_an_own_class(spark, rng):
+    """Class and interface methods that one own class sees, with more rows than pairs of classes."""
+    up, arcs, nodes = hierarchy(spark, rng, 24)
+    seen = {n: set(visit(up, n, False)) for n in range(24)}
+    methods = [(n, f"m{k}", "()", rng.choice("VW"), rng.random() < 0.8, rng.random() < 0.3, rng.random() < 0.5, n % 3 == 0)
+               for n in range(24) for k in range(3) if rng.random() < 0.6]
+    ms = spark.createDataFrame(methods, "class long, name string, params string, ret string, overridable boolean, final boolean, public boolean, in_iface boolean")
+    own = spark.createDataFrame([(n,) for n in range(24) if n % 3 and n % 4], "node long")
+    fits = lambda a, b: a == b or (a, b) == ("V", "W")
+    want = set()
+    for c, name, _, ret, able, final, public, iface in methods:
+        for s, sname, _, sret, sable, *_, siface in methods:
+            if able and sable and not iface and siface and name == sname and s not in seen[c] and c not in seen[s] \
+                    and any(c in seen[n] and s in seen[n] for n in range(24) if n % 3 and n % 4) \
+                    and ((public and fits(ret, sret)) or (not final and (fits(ret, sret) or fits(sret, ret)))):
+                want.add((c, name, ret, s, sret))
+    returns = spark.createDataFrame([("V", "W")], "child string, parent string")
+    got = rows(M.inherited_implementations(ms.unionByName(ms.limit(9)), H.closure(arcs, nodes), returns, own), "class", "name", "ret", "sup", "sup_ret")
+    assert want and got == sorted(want)
