@@ -385,7 +385,7 @@ with st as (
     from s left join num on num.class = s.class and num.name = s.name where exists (select 1 from num)) q)
 select class, name, new_name from st where round = (select max(round) from st)""")
 def field_renaming(f):
-    return R.rename_fields(all_fields(f), f.depth_first)
+    return R.rename_fields(all_fields(f), None, (f.parent, f.levels))
 
 
 @query("field_keepers", """
