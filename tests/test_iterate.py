@@ -150,3 +150,34 @@ def test_settled_groups_leave(spark):
     done, = iterate.until_settled([df], ["k"], lambda part: part.filter("v > 0").select("k"), step)
     assert rows(done, "k", "v") == [(k, 0) for k in range(6)]
     assert seen == [5, 4, 3, 2, 1]
+
+
+def test_loops_broadcast_small_sides_alone(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    right = spark.range(200_000).select(F.col("id").alias("n"), F.xxhash64("id").alias("h"))
+    held, few = iterate.cut(right), iterate.cut(right.limit(10))
+    plan = lambda side: spark.range(10).select(F.col("id").alias("n")).join(side, "n", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(held)
+    with iterate.few_broadcasts(spark):
+        assert "BroadcastHashJoin" not in plan(held) and "BroadcastHashJoin" in plan(few)
+    assert spark.conf.get(threshold) == before
+    spark.conf.set(threshold, "-1")
+    try:
+        with iterate.few_broadcasts(spark):
+            assert spark.conf.get(threshold) == "-1"
+    finally:
+        spark.conf.set(threshold, before)
+
+
+def test_rounds_run_with_few_broadcasts(spark, monkeypatch):
+    seen = []
+
+    def step(f):
+        seen.append(1)
+        return f.select((F.col("n") + 1).alias("n")).filter("n < 6")
+
+    inside = iterate.few_broadcasts
+    monkeypatch.setattr(iterate, "few_broadcasts", lambda s: (seen.append(2), inside(s))[1])
+    got = iterate.fixpoint(spark.range(1).select(F.col("id").alias("n")), step, hops=2)
+    assert rows(got, "n") == [(k,) for k in range(6)] and 2 in seen
