@@ -88,3 +88,22 @@ def test_queries_take_the_descent(spark, monkeypatch):
     monkeypatch.setattr(name_queries, "all_fields", lambda _: None)
     monkeypatch.setattr(R, "rename_fields", lambda fields, closure, descent: (closure, descent))
     assert name_queries.field_renaming(f) == (None, ("p", "l"))
+
+
+def test_obligations_handed_down(spark):
+    rng = random.Random(11)
+    for n in (2, 9, 16, 22):
+        ids, p, nodes, levels = hierarchy(spark, rng, n)
+        made = [(c, name, "()", ret, rng.randrange(9), rng.random() < 0.8, rng.random() < 0.7, rng.random() < 0.4, c % 3 == 0,
+                 rng.choice([0, 1, None]), rng.choice([1, 2, 3])) for c in ids for name in ("a", "b", None) for ret in "FOX" if rng.random() < 0.5]
+        methods = spark.createDataFrame(
+            made + made[:2], "class long, name string, params string, ret string, ord long, overridable boolean, abstract boolean, "
+            "visible boolean, in_iface boolean, package int, access_rank int")
+        targets = spark.createDataFrame([(c, rng.choice([0, 1])) for c in ids], "node long, package int")
+        closed = M.abstract_obligations(targets, H.ranked_closure(p, targets, breadth_first=True), methods)
+        flowing = M.abstract_obligations(targets, None, methods, p, levels)
+        kind = ["node", "name", "params", "ret"]
+        assert rows(flowing.select(kind).distinct(), *kind) == rows(closed.select(kind).distinct(), *kind)
+        for found in (M.most_specific_return, lambda o, _: o.groupBy("node", "name", "params").agg({"access_rank": "max"})):
+            was, now = found(closed, fits(spark)), found(flowing, fits(spark))
+            assert rows(now, *was.columns) == rows(was, *was.columns)
