@@ -115,6 +115,34 @@ def test_post_dominators_with_endless_loop(spark):
     assert got == {0: {0}, 1: {1, 2}, 2: {1, 2}, 3: {3, 5}, 4: {4, 5}, 5: {5}}
 
 
+def test_exits_look_for_components_in_endless_loops_alone(spark, monkeypatch):
+    data = [(0, 1), (1, 0), (1, 2), (2, 3), (3, 2), (3, 4), (0, 5), (5, 6), (6, 5), (6, 7), (7, 8), (8, 7), (9, 9)]
+    edges = spark.createDataFrame([(1, a, b, 0) for a, b in data], "unit long, src long, dst long, ord int")
+    nodes = spark.createDataFrame([(1, i) for i in range(10)], "unit long, node long")
+    searched, search = [], G.unit_components
+    monkeypatch.setattr(G, "unit_components", lambda n, e: searched.append(rows(n, "node")) or search(n, e))
+    assert rows(G.exit_components(nodes, edges), "node", "component") == [(4, 4), (7, 7), (8, 7), (9, 9)]
+    assert searched == [[(5,), (6,), (7,), (8,)]]  # all others reach 4 or 9
+
+
+def test_common_ancestors_of_a_deep_tree(spark, rng, monkeypatch):
+    n = 150
+    up = {k: max(0, k - rng.choice([1, 1, 1, 7])) for k in range(1, n)}
+    tree = spark.createDataFrame([(1, k, p) for k, p in up.items()], "unit long, n long, p long")
+    steps = (2 * n + 2).bit_length()
+    places = G.tour(tree, steps)
+    above = {0: [0]}
+    for k, p in up.items():
+        above[k] = [k, *above[p]]
+    asked = {k: rng.sample(range(n), rng.choice([1, 2, 3])) for k in range(n)}
+    written, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = rows(G.nearest_common(spark.createDataFrame(
+        [(1, k, p) for k, ps in asked.items() for p in ps], "unit long, n long, p long"), places, steps), "n", "common")
+    assert got == [(k, max(set.intersection(*(set(above[p]) for p in ps)))) for k, ps in asked.items()]
+    assert sum(df.count() for df in written) <= 2 * n  # no table of n log n minima
+
+
 def irreducible(data, nodes):
     """Collapse self loops and single predecessors until stuck."""
     succ = {n: set() for n in nodes}
