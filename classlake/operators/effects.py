@@ -93,39 +93,54 @@ def propagate(raised: DataFrame, calls: DataFrame, catches: DataFrame, closed: D
     overridden declaration, what it allows (a null ``exc`` row keeps an empty
     declaration); a type must fit every one.  ``silent(node)`` methods infer
     nothing.  The state only grows, so no component order is needed.
+
+    Whether a site catches a type, or a method admits it, is told from the
+    type's own supertypes: a call carries the types caught around it, a method
+    has one row of rules, and rows are distinct before they meet the rules.
     """
-    up = closed.select(F.col("node").alias("exc"), "anc")
-    caught = cut(
-        catches.filter("exc is not null").select("site", F.col("exc").alias("anc")).join(up, "anc")
-        .select("site", "exc").distinct())
-    sites = cut(calls.select("site", "src", F.col("dst").alias("node")).distinct())
-    blocked = None
+    above = cut(
+        closed.select(F.col("node").alias("exc"), "anc").filter("exc is not null and anc is not null")
+        .groupBy("exc").agg(F.collect_set("anc").alias("_up")))
+    kind = dict(closed.dtypes)["anc"]
+    lift = lambda df: df.join(above, "exc", "left").withColumn("_up", F.coalesce("_up", F.array().cast(f"array<{kind}>")))
+    held = catches.filter("exc is not null").groupBy("site").agg(F.array_sort(F.collect_set("exc")).alias("_caught"))
+    sites = cut(
+        calls.select("site", "src", F.col("dst").alias("node")).distinct().join(held, "site", "left")
+        .select("node", "src", "_caught").distinct())
+    none = F.lit(None).cast(kind)
+    rules = None
+
+    def ruled(who: DataFrame, exc=none, decl=none, allows=none, bound: bool = False, silent: bool = False) -> DataFrame:
+        rows = who.filter("node is not null").select(
+            "node", exc.alias("_d"), decl.cast("string").alias("_decl"),
+            F.when(allows.isNotNull(), F.struct(decl.cast("string").alias("decl"), allows.alias("exc"))).alias("_l"),
+            F.lit(bound).alias("_bound"), F.lit(silent).alias("_silent"))
+        return rows if rules is None else rules.unionByName(rows)
+
     if declared is not None:
-        blocked = cut(declared.select("node", F.col("exc").alias("anc")).join(up, "anc").select("node", "exc").distinct())
-    allowed = bound = None
+        rules = ruled(declared, exc=F.col("exc"))
     if limits is not None:
-        per = limits.groupBy("node").agg(F.countDistinct("decl").alias("_n"))
-        bound = cut(per)
-        fits = limits.filter("exc is not null").select("node", "decl", F.col("exc").alias("anc")).join(up, "anc")
-        allowed = cut(
-            fits.groupBy("node", "exc").agg(F.countDistinct("decl").alias("_k")).join(per, "node")
-            .filter("_k = _n").select("node", "exc"))
+        rules = ruled(limits, decl=F.col("decl"), allows=F.col("exc"), bound=True)
+    if silent is not None:
+        rules = ruled(silent, silent=True)
+    if rules is not None:
+        rules = cut(rules.groupBy("node").agg(
+            F.collect_set("_d").alias("_d"), F.size(F.collect_set("_decl")).alias("_n"), F.collect_set("_l").alias("_l"),
+            F.max("_bound").alias("_bound"), F.max("_silent").alias("_silent")))
 
     def admit(df: DataFrame) -> DataFrame:
-        if blocked is not None:
-            df = df.join(blocked, ["node", "exc"], "left_anti")
-        if allowed is not None:
-            ok = allowed.withColumn("_ok", F.lit(True))
-            df = (
-                df.join(bound, "node", "left").join(ok, ["node", "exc"], "left")
-                .filter("_n is null or _ok").select("node", "exc"))
-        if silent is not None:
-            df = df.join(silent.select("node"), "node", "left_anti")
-        return df
+        if rules is None:
+            return df
+        fits = F.filter("_l", lambda x: F.array_contains("_up", x["exc"]))
+        decls = F.array_distinct(F.filter(F.transform(fits, lambda x: x["decl"]), lambda d: d.isNotNull()))
+        return lift(df).join(rules, "node", "left").filter(
+            F.col("_silent").isNull()
+            | (~F.col("_silent") & ~F.arrays_overlap("_up", "_d")
+               & (~F.col("_bound") | ((F.size(fits) > 0) & (F.size(decls) == F.col("_n")))))).select("node", "exc")
 
     def step(f: DataFrame) -> DataFrame:
-        out = f.join(sites, "node").join(caught, ["site", "exc"], "left_anti")
-        return admit(out.select(F.col("src").alias("node"), "exc"))
+        out = lift(f).join(sites, "node").filter("_caught is null or not arrays_overlap(_caught, _up)")
+        return admit(out.select(F.col("src").alias("node"), "exc").distinct())
 
     seed = admit(raised.select("node", "exc").distinct())
     if declared is not None:
